@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from . import common
 from .contamination import contaminated, contamination
+from .languages import languages, train
+from .personal import BASE, personal_data
 from .token_counts import token_counts
 from .token_files import token_files
 
@@ -25,11 +27,30 @@ def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(common.read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.kind.isin(*BASE))
+    spelled = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    counts = [F.size(F.filter("spans", lambda s, kind=kind: s.kind == kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
+    return found.select("doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_contamination, op8_token_files)}
+def held_out(doc_id="doc_id"):
+    """The documents that language models never learn from."""
+    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+
+
+def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    model = train(docs, ~held_out())
+    return languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_contamination, op6_personal_data, op8_token_files, op10_languages)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OP5_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
