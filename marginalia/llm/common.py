@@ -44,23 +44,26 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
 
 
-def added_blocks(df: DataFrame, length: int, parts: int) -> np.ndarray:
-    """The element-wise sum of long vectors that df holds in pieces: block int (0 to parts - 1) and
-    sums binary (little-endian int64, length / parts of them).  The pieces meet at their block's
-    task, which keeps one running sum for each block; the driver gets `length` numbers."""
+def added_blocks(df: DataFrame, length: int, parts: int, either: bool = False) -> np.ndarray:
+    """The element-wise sum (or, with either, the union of bits) of long vectors that df holds in
+    pieces: block int (0 to parts - 1) and sums binary (little-endian int64, length / parts of them).
+    The pieces meet at their block's task, which keeps one running sum for each block; the driver gets
+    `length` numbers."""
+    join = np.bitwise_or if either else np.add
 
     def reduce(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 part = np.frombuffer(raw.as_buffer(), "<i8")
-                sums[block] = part + sums[block] if block in sums else part.copy()
+                sums[block] = join(part, sums[block]) if block in sums else part.copy()
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "sums"])
 
     total = np.zeros(length, np.int64)
     each = length // parts
     for row in df.repartition(parts, "block").mapInArrow(reduce, "block int, sums binary").collect():
-        total[row.block * each : (row.block + 1) * each] += np.frombuffer(row.sums, "<i8")
+        own = slice(row.block * each, (row.block + 1) * each)
+        total[own] = join(total[own], np.frombuffer(row.sums, "<i8"))
     return total
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .contamination import contaminated, contamination
+from .jaccard import similar_groups
 from .languages import languages, train
 from .personal import BASE, personal_data
 from .token_counts import token_counts
@@ -31,7 +32,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(common.read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.kind.isin(*BASE))
     spelled = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, kind=kind: s.kind == kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in BASE]
     return found.select("doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
 
 
@@ -39,6 +40,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(common.read(spark, sf_dir, "documents"), k=3, threshold=(9, 10))
+
+
 def held_out(doc_id="doc_id"):
     """The documents that language models never learn from."""
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
@@ -50,7 +55,7 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_contamination, op6_personal_data, op8_token_files, op10_languages)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_contamination, op6_personal_data, op8_token_files, op9_jaccard_groups, op10_languages)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OP5_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -73,4 +78,23 @@ select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hi
 from doc left join word using (row_no) left join found using (row_no)
 """
 
-ORACLE_SQL = {"op5_contamination": OP5_SQL}
+OP9_SQL = f"""
+with recursive doc as (
+  select row_number() over () as row_no, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as words
+  from documents
+),
+shingle as (
+  select distinct row_no, array_to_string(words[i : i + least(3, len(words)) - 1], ' ') as s, least(3, len(words)) as w
+  from doc, unnest(range(1, len(words) - least(3, len(words)) + 2)) as t(i) where len(words) > 0
+),
+size as (select row_no, count(*) as n from shingle group by row_no),
+common_ as (select a.row_no as x, b.row_no as y, count(*) as c from shingle as a join shingle as b using (s, w) where a.row_no <> b.row_no group by all),
+link as (select x, y from common_ join size as p on x = p.row_no join size as q on y = q.row_no where 100 * c >= 90 * (p.n + q.n - c)),
+reach as (select row_no, row_no as other from doc union select r.row_no, y from reach as r join link on x = r.other)
+select doc.doc_id, coalesce(n, 0) as n_shingles, least_id as component_id
+from doc left join size using (row_no)
+join (select r.row_no, min(d.doc_id) as least_id from reach as r join doc as d on r.other = d.row_no group by r.row_no) using (row_no)
+"""
+
+ORACLE_SQL = {"op5_contamination": OP5_SQL, "op9_jaccard_groups": OP9_SQL}
