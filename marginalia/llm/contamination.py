@@ -259,10 +259,31 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents, all their columns as they are, without the contaminated ones.
-
-    Only the ids of contaminated documents are shuffled against the documents; rows that share an id
-    go together, and rows without an id stay."""
-    verdict = contamination(docs, benchmark, **options).where(contaminated(F.col("n_hit"), F.col("n_words")))
-    return docs.join(verdict.select(F.col("doc_id").alias("_hit_id")).distinct(), docs.doc_id.cast("long") == F.col("_hit_id"), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = 2_000_000) -> DataFrame:
+    """The documents, all columns as they are, without the contaminated ones.
+
+    With one block of windows a document is judged where it is read and nothing is shuffled.  With more
+    of them the ids of contaminated documents are joined; rows that share an id go together then."""
+    blocks = list(item_blocks(benchmark, block_words))
+    if not blocks:
+        return docs
+    if len(blocks) > 1:
+        verdict = contamination(docs, benchmark, block_words).where(contaminated(F.col("n_hit"), F.col("n_words")))
+        return docs.join(verdict.select(F.col("doc_id").alias("_hit_id")).distinct(), docs.doc_id.cast("long") == F.col("_hit_id"), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(Search(blocks[0], shingle_counts(docs, blocks[0].shingles())))
+
+    def keep(batches):
+        table, search = alphanumeric_words(), shared.value
+        for batch in batches:
+            offsets, data = as_bytes(batch.column("text"))
+            for i, j in slices(offsets):
+                w = words_of(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], table)
+                first, window, doc = search.hits(w)
+                hit = np.zeros(len(w) + 1, np.int64)
+                np.add.at(hit, first, 1)
+                np.add.at(hit, first + search.windows.size[window], -1)
+                covered = np.concatenate(([0], np.cumsum(np.cumsum(hit[:-1]) > 0)))
+                n_hit, n_words = np.diff(covered[w.first]), np.diff(w.first)
+                yield batch.slice(i, j - i).filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
+
+    return docs.mapInArrow(keep, docs.schema)

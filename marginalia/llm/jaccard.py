@@ -264,3 +264,21 @@ def similar_groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4,
     named = common.staged(placed.join(least, "root").select("key", "component_id"), "components")
     out = found.join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The documents, all columns as they are, without those that are in a group with a smaller id.
+
+    Rows without an id stay.  Rows that repeat an id are told apart by nothing else, so of these one
+    stays, with the smallest text."""
+    found = common.staged(similar_groups(docs, k, threshold), "groups")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    kept = docs.join(gone, docs.doc_id.cast("long") == F.col("_gone"), "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
+    if not repeated.limit(1).count():
+        return kept
+    once = kept.join(repeated, kept.doc_id.cast("long") == F.col("_again"), "left_anti")
+    again = kept.join(repeated, kept.doc_id.cast("long") == F.col("_again"), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = again.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row"))
+    return once.unionByName(first.select("doc_id", "_row.*").select(*docs.columns))

@@ -283,3 +283,25 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, struct)], ["doc_id", "lang_pred", "score", "spans"])
 
     return common.documents(docs).mapInArrow(find, "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
+
+
+def recognised(docs: DataFrame, model: Model, share: float = 0.5) -> DataFrame:
+    """The documents, all columns as they are, with a language that has at least `share` of their
+    letters.  A document is judged where it is read; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    token = f"labeler {uuid.uuid4().hex}"
+
+    def keep(batches):
+        labeler = worker(token, lambda: Labeler(shared.value))
+        n = len(shared.value.names)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                good = [False] * part.num_rows
+                if n:
+                    for i, (path, counts) in enumerate(zip(*labeler.label(part.column("text").to_pylist()))):
+                        total = np.bincount(path, weights=counts, minlength=n) if len(path) else np.zeros(n)
+                        good[i] = bool(total.sum() and total.max() >= share * total.sum())
+                yield part.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

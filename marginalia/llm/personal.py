@@ -18,6 +18,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -306,11 +307,9 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with personal data masked in text; n_chars, where there is one, is that of the new text."""
     weights = train(docs)
 
-    def mask(column):
-        import pandas as pd
-
+    @F.pandas_udf("string")
+    def mask(column: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else masked(t, s) if (s := spans_of(t, weights)) else t for t in column], dtype=object)
 
-    text = F.pandas_udf(mask, "string", functionType=F.PandasUDFType.SCALAR)
-    out = docs.withColumn("text", text(F.col("text")))
+    out = docs.withColumn("text", mask(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -10,11 +10,28 @@ from . import common
 from .contamination import contaminated, contamination
 from .jaccard import similar_groups
 from .languages import languages, train
+from .licences import OWNER_MARKS, SPELLINGS, licences
+from .neighbours import nearest_neighbours
+from .packing import packed
 from .personal import BASE, personal_data
+from .repeats import without_repeats
 from .token_counts import token_counts
 from .token_files import token_files
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(common.read(spark, sf_dir, "documents"), buckets=16, budget=16_384, granule=8)
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(common.read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"))), ",")
+    return without_repeats(common.read(spark, sf_dir, "documents"), words=8).select("doc_id", "n_lines", "n_removed", spans.alias("removed"), "text")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
@@ -36,6 +53,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(common.read(spark, sf_dir, "documents")).select("doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -55,7 +76,13 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_contamination, op6_personal_data, op8_token_files, op9_jaccard_groups, op10_languages)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_neighbours, op3_repeats, op4_token_counts, op5_contamination,
+        op6_personal_data, op7_licences, op8_token_files, op9_jaccard_groups, op10_languages,
+    )
+}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OP5_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -97,4 +124,88 @@ from doc left join size using (row_no)
 join (select r.row_no, min(d.doc_id) as least_id from reach as r join doc as d on r.other = d.row_no group by r.row_no) using (row_no)
 """
 
-ORACLE_SQL = {"op5_contamination": OP5_SQL, "op9_jaccard_groups": OP9_SQL}
+OP1_SQL = r"""
+with recursive doc as (
+  select doc_id, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as n_tokens from documents
+),
+sized as (select doc_id, n_tokens, cast(ceil(greatest(n_tokens, 1) / 8.0) as bigint) * 8 as padded from doc),
+hist as (
+  select padded, row_number() over (order by padded) as j,
+    sum(count(*)) over (order by padded) as upto, sum(count(*) * padded) over (order by padded) as total
+  from sized group by padded
+),
+dp as (
+  select 1 as k, j, cast(padded * upto - total as hugeint) as cost, cast(0 as bigint) as cut from hist
+  union all
+  select k + 1, h.j, min(d.cost + h.padded * (h.upto - p.upto) - (h.total - p.total)),
+    arg_min(d.j, (d.cost + h.padded * (h.upto - p.upto) - (h.total - p.total)) * 1000000 + d.j)
+  from dp as d join hist as p on p.j = d.j join hist as h on h.j > d.j where k < 16 group by k + 1, h.j
+),
+final as (select k, j, cut from dp where j = (select max(j) from hist) order by cost, k limit 1),
+back as (
+  select k, j, cut from final
+  union all
+  select d.k, d.j, d.cut from back as b join dp as d on d.k = b.k - 1 and d.j = b.cut where b.k > 1
+),
+bounds as (select padded as bucket_length from back join hist using (j)),
+placed as (select doc_id, n_tokens, (select min(bucket_length) from bounds where bucket_length >= padded) as bucket_length from sized),
+numbered as (
+  select *, row_number() over (partition by bucket_length order by doc_id, n_tokens) - 1 as place, greatest(1, 16384 // bucket_length) as each_ from placed
+)
+select doc_id, n_tokens, bucket_length, place // each_ as batch_no, place % each_ as slot from numbered
+"""
+
+_LINE = rf"trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'))"
+OP3_SQL = f"""
+with line as (
+  select doc_id, i - 1 as line_no, lines[i] as line, list_sum(list_transform(lines[1 : i - 1], lambda x: length(x) + 1)) as before
+  from (select doc_id, string_split(text, chr(10)) as lines from documents), unnest(range(1, len(lines) + 1)) as t(i)
+),
+ranked as (
+  select doc_id, line_no, coalesce(before, 0) as begins, line, {_LINE} as form,
+    row_number() over (partition by {_LINE} order by doc_id, line_no) as nth
+  from line
+),
+judged as (select *, nth > 1 and len(string_split(form, ' ')) >= 8 as gone from ranked)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed,
+  coalesce(string_agg(cast(cast(begins as bigint) as varchar) || ':' || cast(cast(begins + length(line) as bigint) as varchar), ',' order by line_no) filter (where gone), '') as removed,
+  coalesce(string_agg(line, chr(10) order by line_no) filter (where not gone), '') as text
+from judged group by doc_id
+union all
+select doc_id, 0, 0, '', null from documents where text is null
+"""
+
+
+def _op7_form(text: str, lines: bool = True) -> str:
+    marks = " or ".join(f"contains(x, '{m}')" for m in OWNER_MARKS)
+    lower = f"translate({text}, '{UPPER}', '{LOWER}')"
+    kept = f"array_to_string(list_filter(string_split({lower}, chr(10)), lambda x: not ({marks})), chr(10))" if lines else f"case when {marks.replace('x,', lower + ',')} then '' else {lower} end"
+    form = rf"' ' || regexp_replace({kept}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g') || ' '"
+    for a, b in SPELLINGS:
+        form = f"replace({form}, '{a}', '{b}')"
+    return f"trim({form})"
+
+
+def _op7_sql() -> str:
+    from pathlib import Path
+
+    known, name, held = [], None, []
+    for line in [*(Path(__file__).parent / "licence_texts.txt").read_text().split("\n"), "=== "]:
+        if line.startswith("=== "):
+            if name:
+                known.append((name, "\n".join(held).strip("\n")))
+            name, held = line[4:].strip(), []
+        else:
+            held.append(line)
+    values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in known)
+    return f"""
+with known as (select sha256({_op7_form("text")}) as digest, min(licence) as licence from (values {values}) as v(licence, text) group by 1),
+doc as (select row_number() over () as row_no, doc_id, text, {_op7_form("text")} as form from documents),
+line as (select doc_id, {_op7_form("line", False)} as form from (select doc_id, unnest(string_split(text, chr(10))) as line from documents)),
+noted as (select doc_id, string_agg(distinct licence, ',' order by licence) as notices from line join known on sha256(form) = digest where form <> '' group by doc_id)
+select doc_id, d.digest, licence, coalesce(notices, '') as notices
+from (select row_no, doc_id, case when form <> '' then sha256(form) end as digest from doc) as d left join known on d.digest = known.digest left join noted using (doc_id)
+"""
+
+
+ORACLE_SQL = {"op1_packing": OP1_SQL, "op3_repeats": OP3_SQL, "op7_licences": _op7_sql(), "op5_contamination": OP5_SQL, "op9_jaccard_groups": OP9_SQL}
