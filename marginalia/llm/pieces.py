@@ -27,8 +27,8 @@ UNUSUAL = re.compile("[" + "".join(map(chr, (0x09, 0x0B, 0x0C, 0x0D, *range(0x1C
 EXOTIC = re.compile("|".join(f"[{chr(a)}-{chr(b)}]" for a, b in ((0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0), (0x250, 0x36F), (0x500, 0x200F), (0x2028, 0x202F), (0x205F, 0x209F), (0x20C0, 0x10FFFF))))
 #: The pre-token pattern of the byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters that the pattern never joins with letters before them.
-STOPS = ".,;:!?"
+#: Characters that the pattern never joins with letters before them, but always with each other.
+STOPS = ".,;:!?*$&%#)]}"
 #: Pieces longer than this are encoded each time; keeping them would fill the cache.
 LONG_PIECE = 64
 
@@ -114,34 +114,34 @@ class Recent(dict):
 
 
 class Encoded:
-    """What a worker knows of pieces and pre-tokens.  value turns the ids of a pre-token into what is
-    kept, and join makes that of a piece or text from those of its parts.  frequent, if given, is a
-    fixed first tier of pieces."""
+    """What a worker knows of pieces.  value turns the ids of a pre-token into what is kept, and join
+    makes that of a piece or text from those of its parts.  frequent, if given, is a fixed first tier
+    of pieces."""
 
-    def __init__(self, tokenizer: Tokenizer, value, join, frequent: dict | None = None, room: int = 250_000):
+    def __init__(self, tokenizer: Tokenizer, value, join, frequent: dict | None = None, room: int = 400_000):
         self.tokenizer, self.value, self.join = tokenizer, value, join
-        self.pieces, self.words = Recent(room, frequent), Recent(room)
+        self.pieces, self.stops = Recent(room, frequent), {}
 
     def learn(self, pieces) -> dict:
         """Works out the unknown pieces among these; returns those too long to keep."""
         new = self.pieces.unknown(pieces)
-        if not new:
-            return {}
-        pretokens, words, value, model, join = self.tokenizer.pretokens, self.words, self.value, self.tokenizer.model, self.join
-        cuts = []
+        kept, stops, value, join, tokenizer = self.pieces, self.stops, self.value, self.join, self.tokenizer
+        tokenize, model, letters, found = tokenizer.tokenize, tokenizer.model, tokenizer.letters, {}
         for piece in new:
             word = piece.rstrip(STOPS)
-            # letters and stops: the two pre-tokens are known without the pattern
             if word.isalpha() and (word.isascii() or not EXOTIC.search(word)):
-                cuts.append((" " + word, piece[len(word) :]) if len(word) < len(piece) else (" " + word,))
+                # letters and stops: two pre-tokens, known without the pattern
+                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+                made = value([t.id for t in tokenize("\u0120" + spelt)])
+                if len(word) < len(piece):
+                    tail = piece[len(word) :]
+                    if tail not in stops:
+                        if len(stops) > 1000:
+                            stops.clear()
+                        stops[tail] = value(model(tail))
+                    made = join((made, stops[tail]))
             else:
-                cuts.append(pretokens(spelled(piece)))
-        long, found = {}, {}
-        for w in words.unknown(chain.from_iterable(cuts)):
-            (words if len(w) <= LONG_PIECE else long)[w] = value(model(w))
-        kept = self.pieces
-        for piece, cut in zip(new, cuts):
-            made = join([words[w] for w in cut] if not long else [words[w] if w in words else long[w] for w in cut])
+                made = join([value(model(w)) for w in tokenizer.pretokens(spelled(piece))])
             (kept if len(piece) <= LONG_PIECE else found)[piece] = made
         return found
 
