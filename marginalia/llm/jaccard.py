@@ -7,7 +7,8 @@ The join is a prefix filter with the rarest shingles first:
    all shingles of the corpus in a table of fixed size (counts of shingles that share a cell add up);
 2. shingles are ordered by that count, then by hash, the same way everywhere.  Two sets of sizes m
    and n can only be similar if they share one of their first n - ceil(t n) + 1 shingles, so only
-   that prefix of each class is shuffled, by shingle; shingles of a single class go at once;
+   that prefix of each class is shuffled, by shingle; rows that no other class of their shingle can
+   be similar to, by length and position, go at once;
 3. in the join, a pair of classes must pass the filters of length, of position, and the suffix
    filter: the parities of both sets in 256 cells differ in no more cells than the sets may differ
    in shingles.  A pair is taken at its first common prefix shingle as far as the row shows it;
@@ -34,12 +35,16 @@ from .textwords import as_bytes, mix, shingle_sets, slices, whitespace_words, wo
 
 TABLE_BITS = 20
 PARITY_CELLS = 256
+#: Sets larger than this have a second row of parities, as in 256 cells nearly all would differ.
+LARGE_SET, WIDE_CELLS = 600, 2048
+#: Prefix rows of a shingle are tested against each other before they are joined up to this many.
+SMALL_BLOCK = 32
 #: Bits of the table that says which classes have to be verified; it only saves work.
 NEEDED_BITS = 22
 
 
 def needed_overlap(threshold: tuple[int, int], m, n):
-    """ceil(t / (1 + t) (m + n)) for t = a / b, in whole numbers."""
+    """ceil(t / (1 + t) (m + n)) for t = a / b, in whole numbers; of arrays too."""
     a, b = threshold
     return (a * (m + n) + a + b - 1) // (a + b)
 
@@ -65,23 +70,24 @@ def class_keys(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def parities(s: np.ndarray) -> bytes:
-    """For each of PARITY_CELLS cells of hashes one bit: whether an odd number of the set is in it."""
-    return np.packbits((np.bincount((mix(s) & np.uint64(PARITY_CELLS - 1)).astype(np.int64), minlength=PARITY_CELLS) & 1).astype(np.uint8)).tobytes()
+def parities(s: np.ndarray, cells: int = PARITY_CELLS) -> bytes:
+    """For each cell of hashes one bit: whether an odd number of the set is in it."""
+    return np.packbits((np.bincount((mix(s) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
 
 
 def shingle_classes(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n (size of the set), key and check (of the set; null where it is empty) and its parities
-    in PARITY_CELLS cells (p0 to p3)."""
+    in PARITY_CELLS cells (p0 to p3) and, if it is large, in WIDE_CELLS (wide)."""
 
     def find(batches):
         for ids, sets in _sets(batches, k):
             keys = [class_keys(s) if len(s) else (None, None) for s in sets]
             parity = np.frombuffer(b"".join(map(parities, sets)), "<i8").reshape(-1, 4)
             cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64())]
-            yield pa.RecordBatch.from_arrays([ids, *cols, *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4))], ["doc_id", "n", "key", "check", "p0", "p1", "p2", "p3"])
+            wide = pa.array([parities(s, WIDE_CELLS) if len(s) > LARGE_SET else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, *cols, *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)), wide], ["doc_id", "n", "key", "check", "p0", "p1", "p2", "p3", "wide"])
 
-    return docs.mapInArrow(find, "doc_id long, n long, key long, check long, p0 long, p1 long, p2 long, p3 long")
+    return docs.mapInArrow(find, "doc_id long, n long, key long, check long, p0 long, p1 long, p2 long, p3 long, wide binary")
 
 
 def shingle_levels(docs: DataFrame, k: int) -> np.ndarray:
@@ -98,14 +104,18 @@ def shingle_levels(docs: DataFrame, k: int) -> np.ndarray:
     return np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
 
 
+PREFIX = ["shingle", "key", "n", "pos"]
+
+
 def prefixes(docs: DataFrame, k: int, threshold: tuple[int, int], levels: np.ndarray) -> DataFrame:
-    """shingle, key and pos (in the order of rarity) for the prefix of each class, once a task."""
+    """shingle, key, n (the size of its set) and pos (in the order of rarity) for the prefix of each
+    class, once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def find(batches):
         levels, seen = shared.value, set()
         for _, sets in _sets(batches, k):
-            shingle, keys, pos = [], [], []
+            shingle, keys, sizes, pos = [], [], [], []
             for s in sets:
                 key = class_keys(s)[0] if len(s) else None
                 if key is None or key in seen:
@@ -121,40 +131,92 @@ def prefixes(docs: DataFrame, k: int, threshold: tuple[int, int], levels: np.nda
                 order = order[np.lexsort((s[order], rank[order]))][:p]
                 shingle.append(s[order].view(np.int64))
                 keys.append(np.full(p, key, np.int64))
+                sizes.append(np.full(p, n, np.int32))
                 pos.append(np.arange(p, dtype=np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (shingle, keys, pos)], ["shingle", "key", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (shingle, keys, sizes, pos)], PREFIX)
+
+    return docs.mapInArrow(find, "shingle long, key long, n int, pos int")
+
+
+def may_pass(threshold: tuple[int, int], n: np.ndarray, pos: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The filters of length and position for pairs of prefix rows."""
+    t, b = threshold
+    overlap = needed_overlap(threshold, n.astype(np.int64), m.astype(np.int64))
+    return (b * np.minimum(n, m).astype(np.int64) >= t * np.maximum(n, m).astype(np.int64)) & (pos <= n - overlap) & (other <= m - overlap)
 
-    return docs.mapInArrow(find, "shingle long, key long, pos int")
 
+def shared_prefixes(rows: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The prefix rows, each once, that some other class with the same shingle can be similar to, by
+    length and position.
 
-def shared_prefixes(rows: DataFrame) -> DataFrame:
-    """The prefix rows whose shingle is in the prefix of at least two classes, each once.  Rows come
-    sorted by shingle and class, so a task needs to remember no more than the row before."""
+    Rows come sorted by shingle and class.  A task holds the rows of one shingle up to SMALL_BLOCK of
+    them; where there are more, all of them go on and are left to the join."""
 
     def keep(batches):
-        last, matched = None, False
+        empty = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
+        carry, flooded, last = empty, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [c.to_numpy() for c in batch.columns]
-            if last is not None:
-                cols = [np.concatenate((x, c)) for x, c in zip(last, cols)]
-            shingle, key, _ = cols
-            new = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])))
-            cols = [c[new] for c in cols]
-            same = np.concatenate(([matched], cols[0][1:] == cols[0][:-1]))
-            chosen = np.flatnonzero((same[:-1] | same[1:]))
-            last, matched = [c[-1:] for c in cols], bool(same[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][chosen]) for c in cols], ["shingle", "key", "pos"])
-        if last is not None and matched:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], ["shingle", "key", "pos"])
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartition(n, "shingle").sortWithinPartitions("shingle", "key")
+            shingle, key = cols[:2]
+            new = np.concatenate(([last != (int(shingle[0]), int(key[0]))], (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])))
+            last = (int(shingle[-1]), int(key[-1]))
+            cols = [np.concatenate((a, c[new])) for a, c in zip(carry, cols)]
+            if not len(cols[0]):
+                continue
+            tail = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
+            whole = [c[:tail] for c in cols]
+            carry = [c[tail:] for c in cols]
+            good = chosen(whole) | (whole[0] == flooded if flooded is not None else False)
+            if len(carry[0]) > SMALL_BLOCK or flooded == int(carry[0][0]):
+                flooded = int(carry[0][0])
+                good = np.concatenate((good, np.ones(len(carry[0]), bool)))
+                whole, carry = cols, empty
+            yield pa.RecordBatch.from_arrays([pa.array(c[good]) for c in whole], PREFIX)
+        if len(carry[0]):
+            good = chosen(carry)
+            yield pa.RecordBatch.from_arrays([pa.array(c[good]) for c in carry], PREFIX)
+
+    def chosen(cols) -> np.ndarray:
+        shingle, _, n, pos = cols
+        good = np.zeros(len(shingle), bool)
+        left = np.arange(len(shingle))
+        for d in range(1, SMALL_BLOCK + 2):
+            left = left[left + d < len(shingle)]
+            left = left[shingle[left] == shingle[left + d]]
+            if not len(left):
+                break
+            if d > SMALL_BLOCK:
+                # a larger block: all of it goes on
+                good |= np.isin(shingle, shingle[left])
+                break
+            fits = left[may_pass(threshold, n[left], pos[left], n[left + d], pos[left + d])]
+            good[fits] = good[fits + d] = True
+        return good
+
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartition(width, "shingle").sortWithinPartitions("shingle", "key")
     return placed.mapInArrow(keep, rows.schema)
 
 
+def refined(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that also pass the suffix filter on the wide parities, where both have them."""
+
+    def keep(batches):
+        for batch in batches:
+            good = []
+            for m, n, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                differ = int(np.bitwise_count(np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)).sum()) if x and y else 0
+                good.append(differ <= m + n - 2 * needed_overlap(threshold, m, n))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda c, n, w: classes.select(F.col("key").alias(c), F.col("n").alias(n), F.col("wide").alias(w))
+    both = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b")
+    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(keep, "a long, b long")
+
+
 def _pass(threshold: tuple[int, int]):
     """The filters on a pair of prefix rows a and b: length, position, suffix."""
     t, b = threshold
@@ -233,18 +295,19 @@ def similar_groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4,
     null.  Empty tables give no row; columns other than doc_id and text are ignored."""
     docs = common.documents(docs)
     found = common.staged(shingle_classes(docs, k), "classes")
-    sketch = [F.min(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3")]
+    sketch = [F.min(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "wide")]
     classes = found.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min("check").alias("low"), F.max("check").alias("high"), *sketch)
     classes = common.staged(classes, "class-ids")
     if classes.where("low <> high").limit(1).count():
         raise ValueError("two different shingle sets have the same 64-bit key")
-    shared = common.staged(shared_prefixes(prefixes(docs, k, threshold, shingle_levels(docs, k))), "prefixes")
-    rows = common.staged(shared.join(classes.select("key", "n", "p0", "p1", "p2", "p3"), "key"), "prefixes")
+    shared = common.staged(shared_prefixes(prefixes(docs, k, threshold, shingle_levels(docs, k)), threshold), "prefixes")
+    rows = common.staged(shared.join(classes.select("key", "p0", "p1", "p2", "p3"), "key"), "prefixes")
 
     # First each class meets one other of each of its shingles: that with the earliest position.
     hub = rows.groupBy("shingle").agg(F.min(F.struct("pos", "n", "key", "p0", "p1", "p2", "p3")).alias("h"))
     met = rows.alias("x").join(hub.select("shingle", "h.*").alias("y"), "shingle").where(F.col("x.key") != F.col("y.key")).where(_pass(threshold))
-    pairs = common.staged(met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct(), "pairs")
+    pairs = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    pairs = common.staged(refined(pairs, classes, threshold), "pairs")
     links = common.staged(verified(docs, pairs, k, threshold), "links")
     group = components(links)
 
@@ -256,7 +319,7 @@ def similar_groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4,
     rows = common.staged(rows.join(early, "key").withColumn("before", before).drop("early"), "prefixes")
     met = rows.alias("x").join(rows.alias("y"), "shingle").where("x.key < y.key and x.root <> y.root").where(_pass(threshold)).where("not arrays_overlap(x.before, y.before)")
     more = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(docs, common.staged(more, "pairs"), k, threshold))
+    links = links.unionByName(verified(docs, common.staged(refined(more, classes, threshold), "pairs"), k, threshold))
 
     roots = components(links).select(F.col("node").alias("key"), "root")
     placed = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
