@@ -38,9 +38,10 @@ def daily_counts(events: DataFrame, day: str = "d", event: str = "e", late: str
     return windows.select(F.to_date("window.start").alias(day), event, "n")
 
 
-def capped(searches: DataFrame, per_visitor: int, day: str = "day", visitor: str = "visitor", order: str = "ord") -> DataFrame:
+def capped(searches: DataFrame, per_visitor: int, day: str = "day", visitor: str = "visitor", order: str = "ord", keep_days: int | None = None) -> DataFrame:
     """Searches of a stream with whether the visitor's daily cap lets them through.  State is one number
-    for each day and visitor, dropped after two days without a search."""
+    for each day and visitor; a stream that goes on drops it after keep_days without a search.  A run
+    over what is there must leave keep_days out: with a timeout it would wait for it."""
     import pandas as pd
 
     kinds = dict(searches.dtypes)
@@ -57,10 +58,11 @@ def capped(searches: DataFrame, per_visitor: int, day: str = "day", visitor: str
             rows = rows.assign(admitted=(place <= per_visitor) | (rows[visitor] == ""))
             yield rows[[day, visitor, order, "admitted"]]
         state.update((n,))
-        state.setTimeoutDuration(2 * 86_400_000)
+        if keep_days:
+            state.setTimeoutDuration(keep_days * 86_400_000)
 
     schema = f"{day} {kinds[day]}, {visitor} {kinds[visitor]}, {order} {kinds[order]}, admitted boolean"
-    return searches.groupBy(day, visitor).applyInPandasWithState(decide, schema, "n long", "append", "ProcessingTimeTimeout")
+    return searches.groupBy(day, visitor).applyInPandasWithState(decide, schema, "n long", "append", "ProcessingTimeTimeout" if keep_days else "NoTimeout")
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
