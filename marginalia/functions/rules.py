@@ -30,7 +30,7 @@ class GradeWords:
 
 def grade_texts(grades: Column) -> Column:
     """The grades that aren't blank; elements may be strings or structs with a grade."""
-    return F.filter(F.transform(F.coalesce(grades, F.array().cast("array<string>")), F.trim), lambda g: g != "")
+    return F.filter(F.transform(F.coalesce(grades, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda g: g != "")
 
 
 def grade(grades: Column, words: GradeWords = GradeWords()) -> Column:
@@ -120,7 +120,7 @@ def parsed_questions(raw: Column) -> Column:
     listed = F.from_json(F.regexp_extract(body, r"(\[[\s\S]*\])", 1), "array<string>")
     lines = F.transform(F.split(raw, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^([-*•]|\d+[.)])\s*", "")))
     asked = F.filter(lines, lambda x: x.endswith("?"))
-    good = F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    good = F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda s: F.trim(s)), lambda x: x != "")
     return F.when(F.size(good) > 0, good).otherwise(asked)
 
 

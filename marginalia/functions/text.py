@@ -20,6 +20,11 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends, of any kind."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0)).cast("long")
 
@@ -69,7 +74,7 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences, never empty for a text that isn't blank; a blank text has none."""
     flat = collapsed(text)
-    found = F.filter(F.transform(F.split(flat, SENTENCE_END), F.trim), lambda s: s != "")
+    found = F.filter(F.transform(F.split(flat, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.length(flat) > 0, found).otherwise(F.array().cast("array<string>"))
 
 
@@ -117,11 +122,11 @@ def windows(parts: Column, target: int = 45, ceiling: int = 180) -> Column:
 def first_match(text: Column, patterns: list[str]) -> tuple[Column, Column]:
     """(group 1 of the first anchored pattern that matches, what follows it), else (null, the text);
     both trimmed."""
-    found, rest = F.lit(None).cast("string"), F.trim(text)
+    found, rest = F.lit(None).cast("string"), stripped(text)
     for p in reversed(patterns):
         hit = F.regexp_extract(text, p, 0)
-        found = F.when(hit != "", F.trim(F.regexp_extract(text, p, 1))).otherwise(found)
-        rest = F.when(hit != "", F.trim(F.substring(text, F.length(hit) + 1, F.length(text)))).otherwise(rest)
+        found = F.when(hit != "", stripped(F.regexp_extract(text, p, 1))).otherwise(found)
+        rest = F.when(hit != "", stripped(F.substring(text, F.length(hit) + 1, F.length(text)))).otherwise(rest)
     return found, rest
 
 

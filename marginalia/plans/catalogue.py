@@ -76,7 +76,7 @@ def page_text_clean(spark, d):
     return table(spark, d, "pages").select("page_id", tx.collapsed(plain).alias("text"))
 
 
-@query(r"""select page_id, i - 1 as ord, regexp_extract(marks[i], 'href="/([^"]*)"', 1) as target, trim(parts[i + 1]) as body
+@query(r"""select page_id, i - 1 as ord, regexp_extract(marks[i], 'href="/([^"]*)"', 1) as target, regexp_replace(parts[i + 1], '^\s+|\s+$', '', 'g') as body
   from (select page_id, regexp_extract_all(html, '<a href="/[^"]*">') as marks, regexp_split_to_array(html, '<a href="/[^"]*">') as parts from pages), unnest(range(1, len(marks) + 1)) as t(i)""")
 def page_split(spark, d):
     rows = src.split_records(table(spark, d, "pages").select("page_id", "html"), '<a href="/([^"]*)">', ["target"], text="html")
@@ -98,9 +98,9 @@ def last_write_wins(spark, d):
 @query(r"""select doc_id, case when regexp_matches(text, '^([A-Z][a-z]+), ') then regexp_extract(text, '^([A-Z][a-z]+), ', 1)
     when regexp_matches(text, '^([A-Z][a-z]+) and ') then regexp_extract(text, '^([A-Z][a-z]+) and ', 1)
     when regexp_matches(text, '^(The [a-z]+) ') then regexp_extract(text, '^(The [a-z]+) ', 1) end as head,
-  trim(case when regexp_matches(text, '^([A-Z][a-z]+), ') then regexp_replace(text, '^([A-Z][a-z]+), ', '')
+  regexp_replace(case when regexp_matches(text, '^([A-Z][a-z]+), ') then regexp_replace(text, '^([A-Z][a-z]+), ', '')
     when regexp_matches(text, '^([A-Z][a-z]+) and ') then regexp_replace(text, '^([A-Z][a-z]+) and ', '')
-    when regexp_matches(text, '^(The [a-z]+) ') then regexp_replace(text, '^(The [a-z]+) ', '') else text end) as rest from documents""")
+    when regexp_matches(text, '^(The [a-z]+) ') then regexp_replace(text, '^(The [a-z]+) ', '') else text end, '^\s+|\s+$', '', 'g') as rest from documents""")
 def first_match_extract(spark, d):
     head, rest = tx.first_match(F.col("text"), ["^([A-Z][a-z]+), ", "^([A-Z][a-z]+) and ", "^(The [a-z]+) "])
     return table(spark, d, "documents").select("doc_id", head.alias("head"), rest.alias("rest"))
