@@ -1,7 +1,7 @@
 """Licences by digest.
 
 A text is brought to a canonical form, in which copies of one licence are equal: copyright lines go,
-A to Z become lower case, equivalent spellings become one, and all ASCII characters other than letters
+letters become lower case, equivalent spellings become one, and all ASCII characters other than letters
 and digits become single spaces.  The SHA-256 of that form is joined with the digests of known texts.
 Whole documents are looked up, and so is every line, for the notices that stand in a line of their own.
 """
@@ -14,7 +14,6 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What a line holds that says who owns the text, in lower case.
 OWNER_MARKS = ("copyright", "(c)", "©", "all rights reserved")
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,7 +30,7 @@ SPELLINGS = (
 
 def canonical(text: Column, lines: bool = True) -> Column:
     """The canonical form; lines says whether the text may have more than one line."""
-    lower = F.translate(text, UPPER, LOWER)
+    lower = F.lower(text)
     owned = lambda line: reduce(lambda a, b: a | b, (F.contains(line, F.lit(m)) for m in OWNER_MARKS))
     kept = F.array_join(F.filter(F.split(lower, "\n", -1), lambda line: ~owned(line)), "\n") if lines else F.when(owned(lower), F.lit("")).otherwise(lower)
     plain = F.concat(F.lit(" "), F.regexp_replace(kept, SEPARATORS, " "), F.lit(" "))

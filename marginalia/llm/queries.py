@@ -178,7 +178,7 @@ select doc_id, 0, 0, '', null from documents where text is null
 
 def _op7_form(text: str, lines: bool = True) -> str:
     marks = " or ".join(f"contains(x, '{m}')" for m in OWNER_MARKS)
-    lower = f"translate({text}, '{UPPER}', '{LOWER}')"
+    lower = f"lower({text})"
     kept = f"array_to_string(list_filter(string_split({lower}, chr(10)), lambda x: not ({marks})), chr(10))" if lines else f"case when {marks.replace('x,', lower + ',')} then '' else {lower} end"
     form = rf"' ' || regexp_replace({kept}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g') || ' '"
     for a, b in SPELLINGS:
