@@ -43,7 +43,9 @@ def admitted(searches: DataFrame, per_day: int, per_visitor: int) -> DataFrame:
     day, visitor, ord.  A visitor's first per_visitor searches of a day are candidates (all of a blank
     visitor); the first per_day candidates of the day pass.  Days are numbered in pieces of hours, so a
     day isn't one task: `slot` must ascend with ord within a day."""
-    mine = F.row_number().over(Window.partitionBy("day", "visitor").orderBy("ord"))
+    # a blank visitor has no cap: such rows are kept apart, or all of a day would be one group
+    apart = F.when(F.col("visitor") == "", F.col("ord"))
+    mine = F.row_number().over(Window.partitionBy("day", "visitor", apart).orderBy("ord"))
     rows = searches.withColumn("candidate", (F.col("visitor") == "") | (mine <= per_visitor))
     before = Window.partitionBy("day", "slot").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_here", F.coalesce(F.sum(F.col("candidate").cast("long")).over(before), F.lit(0)))

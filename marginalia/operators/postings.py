@@ -44,16 +44,23 @@ def scores(queries: DataFrame, postings: DataFrame, query_key: str, key: str, di
     return pairs.withColumn("score", F.round("score", digits))
 
 
+def query_blocks(queries: DataFrame, query_key: str, most: int) -> list[DataFrame]:
+    """A stated set of queries in blocks of about `most` rows, each small enough to be broadcast."""
+    blocks = max(1, -(-queries.count() // most))
+    if blocks == 1:
+        return [queries]
+    place = F.pmod(F.xxhash64(query_key), F.lit(blocks))
+    return [queries.where(place == b) for b in range(blocks)]
+
+
 def vector_scores(queries: DataFrame, vectors: DataFrame, query_key: str, key: str, digits: int = 6, most_queries: int = 4096) -> DataFrame:
     """Cosines of every query with every vector, from columns `vector` of unit length.
 
-    A stated set of queries against all rows: the queries are broadcast when there are at most
-    most_queries of them, and beyond that come in blocks of that size, one pass over the vectors each."""
-    n = queries.count()
-    place = F.pmod(F.xxhash64(query_key), F.lit(max(1, -(-n // most_queries))))
+    A stated set of queries against all rows: the queries are broadcast in blocks of bounded size, one
+    pass over the vectors for each block."""
     found = None
-    for block in range(max(1, -(-n // most_queries))):
-        q = queries.where(place == block).select(query_key, F.col("vector").alias("_q"))
+    for block in query_blocks(queries, query_key, most_queries):
+        q = block.select(query_key, F.col("vector").alias("_q"))
         v = vectors.select(key, "vector")
         one = F.broadcast(q).join(v, F.size("_q") == F.size("vector")).select(query_key, key, F.round(dot(F.col("_q"), F.col("vector")), digits).alias("score"))
         found = one if found is None else found.unionByName(one)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .postings import query_blocks
+
 #: The damping and weights of the fused score, and the gate on vector similarity.
 DAMPING = 60
 CHAR_WEIGHT = 0.5
@@ -22,11 +24,13 @@ def top(scored: DataFrame, query_key: str, order: str, k: int) -> DataFrame:
     return ranked(scored, query_key, order).where(F.col("rank") <= k)
 
 
-def complete(scored: DataFrame, queries: DataFrame, items: DataFrame, query_key: str, key: str) -> DataFrame:
+def complete(scored: DataFrame, queries: DataFrame, items: DataFrame, query_key: str, key: str, most_queries: int = 4096) -> DataFrame:
     """Scores of all pairs of a query and an item, 0 where nothing is shared: fused ranks need complete
-    rankings.  It makes queries x items rows, so it is for a stated set of queries; the items aren't
-    broadcast."""
-    pairs = F.broadcast(queries.select(query_key)).crossJoin(items.select(key))
+    rankings.  A stated set of queries against all items, in broadcast blocks of bounded size."""
+    pairs = None
+    for block in query_blocks(queries.select(query_key), query_key, most_queries):
+        one = F.broadcast(block).join(items.select(key), F.lit(True))
+        pairs = one if pairs is None else pairs.unionByName(one)
     return pairs.join(scored, [query_key, key], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
