@@ -30,6 +30,8 @@ LONGEST_GRAM = 4
 PENALTY = 12.0
 #: What a word costs in a language that isn't written in its script.
 WRONG_SCRIPT = 25.0
+#: Texts whose words a worker holds at once.
+BATCH_ROWS = 512
 #: A language is written in a script that has at least this share of its letters.
 SCRIPT_SHARE = 0.01
 
@@ -170,7 +172,7 @@ class Labeler:
 
     def __init__(self, model: Model):
         self.model, self.letters = model, letter_table()
-        self.room = max(20_000, min(300_000, 8_000_000 // max(1, len(model.names))))
+        self.room = max(20_000, min(200_000, 4_000_000 // max(1, len(model.names))))
         self.forget()
 
     def forget(self) -> None:
@@ -264,8 +266,8 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
         names = shared.value.names
         struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
                 pred, score, spans = [], [], []
                 texts = part.column(1).to_pylist()
                 for path, counts in zip(*labeler.label(texts)) if names else (((), ()) for _ in texts):
@@ -295,8 +297,8 @@ def recognised(docs: DataFrame, model: Model, share: float = 0.5) -> DataFrame:
         labeler = worker(token, lambda: Labeler(shared.value))
         n = len(shared.value.names)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
                 good = [False] * part.num_rows
                 if n:
                     for i, (path, counts) in enumerate(zip(*labeler.label(part.column("text").to_pylist()))):

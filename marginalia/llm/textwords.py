@@ -15,9 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed in one go; longer inputs are cut between words.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 #: Bytes of text turned into word arrays at once.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
