@@ -4,10 +4,15 @@ A text is brought to a canonical form, in which copies of one licence are equal:
 letters become lower case, equivalent spellings become one, and all ASCII characters other than letters
 and digits become single spaces.  The SHA-256 of that form is joined with the digests of known texts.
 Whole documents are looked up, and so is every line, for the notices that stand in a line of their own.
+
+Whole licence files name the word "copyright" in the middle of their text, so a document is looked up in
+a second form too, in which only lines that say who owns the text, and titles, go.  It doesn't depend on
+how a text is wrapped.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from pathlib import Path
 
@@ -37,6 +42,57 @@ def canonical(text: Column, lines: bool = True) -> Column:
     return F.trim(reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), SPELLINGS, plain))
 
 
+#: A line that says who owns the text, in lower case: a mark, and then a year, a place for one, or a
+#: holder.  Licences themselves go on with the words that are excluded, at whatever width they are wrapped.
+_YEAR = r"(?:[0-9]{4}|[<\[{(]?(?:year|yyyy|date)\b)"
+_GO_ON = (
+    r"(?:notices?|holders?|holder's|owners?|owner's|licen[cs]es?|laws?|interests?|statements?|disclaimers?|and|or|the|in|on|is|as|to|for|of|with|that|this|these|those|such|may|can|shall|will|"
+    r"treat(?:y|ies)|rights?|permissions?|protections?|infringements?|claims?|ownership|materials?|resulting|like|status|terms?|doctrines?|acts?|works?|if|which|who|are|was|has|have|by law|legends?|information)"
+)
+#: What the GPL's appendix shows as an example, inside of sentences.
+_SAMPLE = r"\s*<?year>?\s+<?name"
+OWNED_LINE = (
+    rf"^[\s#*/;%>|!-]*(?:(?:portions|parts)\s+(?:are\s+)?)?(?:(?:(?:copyright|copr\.?)[\s:,]*(?:\(c\)|©)(?!{_SAMPLE})|©|\(c\)\s*copyright)"
+    rf"|\(c\)(?!{_SAMPLE})[\s,]*{_YEAR}|(?:copyright|copr\.)(?:[\s:,]+{_YEAR}|[\s:]+(?!{_GO_ON}(?![a-z]))[^\s,.;)]))|^[\s#*/;%>|!-]*all rights reserved[\s.!]*$"
+)
+#: Titles at the head of a text, in lower case.
+TITLES = r"\A(?:\s*(?:the\s+)?(?:[\[(#*=\s]*)(?:mit|expat|isc|x11|zlib|zlib/libpng|0bsd|(?:new |modified |revised |simplified |original )?bsd|bsd[ -][023](?:[ -]clause)?|[23][ -]clause bsd|boost software|bsl-1\.0|bsd zero[ -]clause)(?:[ \t]+(?:[\"“]?(?:new|revised|modified|simplified|[023]-clause)[\"”]?))?[ \t]+licen[cs]e(?:[ \t]*\([^\n()]{1,40}\))?(?:[ \t]*-[ \t]*version 1\.0[^\n]*)?[\])*=:. \t]*(?:\n[ \t]*[=-]{3,}[ \t]*)?(?:\n|\Z))+"
+
+
+def stripped(text: Column) -> Column:
+    """The canonical form, but only titles and lines that say who owns the text go."""
+    lower = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
+    kept = F.array_join(F.filter(F.split(lower, "\n", -1), lambda line: ~line.rlike(OWNED_LINE)), "\n")
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(kept, TITLES, ""), SEPARATORS, " "), F.lit(" "))
+    return F.trim(reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), SPELLINGS, plain))
+
+
+def differs(lower: Column) -> Column:
+    """Whether the two forms of a text, here in lower case, can differ: it has an owner's mark or the word of titles.  Few
+    texts do, and only these are worked on twice."""
+    return reduce(lambda a, b: a | b, (F.contains(lower, F.lit(m)) for m in (*OWNER_MARKS, "copr.", "license", "licence")))
+
+
+def whole_form(text: Column) -> Column:
+    return F.when(differs(F.lower(text)), stripped(text)).otherwise(canonical(text))
+
+
+def whole_texts(spark: SparkSession) -> DataFrame:
+    """licence and text of whole licences, verbatim, one file each.  Where the terms have an end and an
+    appendix follows on how to apply them, the text without the appendix is one too; lists with numbers
+    are known with plain marks as well."""
+    found = []
+    for path in sorted((Path(__file__).parent / "licence_files").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        found.append((path.stem, text))
+        terms, end, rest = text.partition("END OF TERMS AND CONDITIONS")
+        if rest.strip():
+            found += [(path.stem, terms + end), (path.stem, terms)]
+        if path.stem.startswith("BSD-"):
+            found.append((path.stem, re.sub(r"(?m)^(\s*)[0-9]\.", r"\1*", text)))
+    return spark.createDataFrame(found, "licence string, text string")
+
+
 def known_texts(spark: SparkSession) -> DataFrame:
     """licence and text of the known licences and notices: one file, a few dozen of them."""
     found, name, held = [], None, []
@@ -51,9 +107,9 @@ def known_texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(found, "licence string, text string")
 
 
-def known_digests(known: DataFrame) -> DataFrame:
+def known_digests(known: DataFrame, form=canonical) -> DataFrame:
     """licence and digest, one row for each digest (the first name, where texts are equal)."""
-    return known.select("licence", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
+    return known.select("licence", F.sha2(form(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def licences(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -66,14 +122,16 @@ def licences(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     digests is broadcast, as it is a file of this package or is checked to have at most 100,000 rows."""
     spark = docs.sparkSession
     digests = known_digests(known if known is not None else known_texts(spark))
+    wholes = known_digests(known if known is not None else known_texts(spark).unionByName(whole_texts(spark)), whole_form).select(F.col("digest").alias("_whole"), F.col("licence").alias("_licence"))
     if known is not None and digests.count() > 100_000:
         broadcast = lambda df: df
     else:
         broadcast = F.broadcast
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    form = canonical(F.col("text"))
-    whole = docs.select("doc_id", form.alias("form")).select("doc_id", F.when(F.length("form") > 0, F.sha2("form", 256)).alias("digest"))
-    whole = whole.join(broadcast(digests), "digest", "left")
+    whole = docs.select("doc_id", "text", F.lower("text").alias("lower")).select("doc_id", canonical(F.col("text")).alias("form"), F.when(differs(F.col("lower")), stripped(F.col("text"))).alias("other"))
+    digest = lambda form: F.when(F.length(form) > 0, F.sha2(form, 256))
+    whole = whole.select("doc_id", digest("form").alias("digest"), digest(F.coalesce("other", "form")).alias("_whole"))
+    whole = whole.join(broadcast(digests), "digest", "left").join(broadcast(wholes), "_whole", "left").withColumn("licence", F.coalesce("_licence", "licence"))
     lines = docs.where("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
     lines = lines.select("doc_id", canonical(F.col("line"), lines=False).alias("form")).where(F.length("form") > 0)
     noted = lines.select("doc_id", F.sha2("form", 256).alias("digest")).join(broadcast(digests), "digest")
