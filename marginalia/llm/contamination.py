@@ -224,6 +224,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = 2_00
     A null text has no words and matches nothing; items without words, with a null id or text, match
     nothing.  An empty benchmark leaves all documents clean, an empty table gives no row.  Repeated
     documents give a row each, repeated items count once.  Other columns are ignored."""
+    return _judged(docs, benchmark, block_words).select("doc_id", "n_words", "n_hit", "spans", "items")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, block_words: int) -> DataFrame:
+    """contamination() with text_sha, which is null if there is one block of windows at most."""
     spark = docs.sparkSession
     blocks = []
     for windows in item_blocks(benchmark, block_words):
@@ -249,9 +254,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = 2_00
             lambda acc, x: F.when((F.size(acc) > 0) & (x.start <= F.element_at(acc, -1).end), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1).start.alias("start"), F.greatest(F.element_at(acc, -1).end, x.end).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
         )
         ordered = F.transform(F.array_sort(F.transform(F.array_distinct("hit_items"), lambda i: F.struct(i.cast("string").alias("s"), i.alias("i")))), lambda x: x.i)
-        found = both.select("doc_id", "n_words", F.coalesce(merged, F.array().cast(span)).alias("spans"), F.coalesce(ordered, F.array().cast("array<long>")).alias("items"))
+        found = both.select("doc_id", "text_sha", "n_words", F.coalesce(merged, F.array().cast(span)).alias("spans"), F.coalesce(ordered, F.array().cast("array<long>")).alias("items"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x.end - x.start)
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return found.select("doc_id", "text_sha", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
 def contaminated(n_hit, n_words):
@@ -263,13 +268,16 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = 2_0
     """The documents, all columns as they are, without the contaminated ones.
 
     With one block of windows a document is judged where it is read and nothing is shuffled.  With more
-    of them the ids of contaminated documents are joined; rows that share an id go together then."""
+    of them the ids and digests of contaminated documents are joined, so that every row, also one whose
+    id is null or shared, is judged by its own text all the same."""
     blocks = list(item_blocks(benchmark, block_words))
     if not blocks:
         return docs
     if len(blocks) > 1:
-        verdict = contamination(docs, benchmark, block_words).where(contaminated(F.col("n_hit"), F.col("n_words")))
-        return docs.join(verdict.select(F.col("doc_id").alias("_hit_id")).distinct(), docs.doc_id.cast("long") == F.col("_hit_id"), "left_anti")
+        verdict = _judged(docs, benchmark, block_words).where(contaminated(F.col("n_hit"), F.col("n_words")))
+        verdict = verdict.select(F.col("doc_id").alias("_hit_id"), F.col("text_sha").alias("_hit_sha")).distinct()
+        own_sha = F.sha2(F.coalesce(docs.text.cast("string"), F.lit("")), 256)
+        return docs.join(verdict, docs.doc_id.cast("long").eqNullSafe(F.col("_hit_id")) & (own_sha == F.col("_hit_sha")), "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(Search(blocks[0], shingle_counts(docs, blocks[0].shingles())))
 
     def keep(batches):

@@ -76,7 +76,7 @@ def parities(s: np.ndarray, cells: int = PARITY_CELLS) -> bytes:
 
 
 def shingle_classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (size of the set), key and check (of the set; null where it is empty) and its parities
+    """row (what docs have as doc_id), n (size of the set), key and check (of the set; null where it is empty) and its parities
     in PARITY_CELLS cells (p0 to p3) and, if it is large, in WIDE_CELLS (wide)."""
 
     def find(batches):
@@ -85,9 +85,9 @@ def shingle_classes(docs: DataFrame, k: int) -> DataFrame:
             parity = np.frombuffer(b"".join(map(parities, sets)), "<i8").reshape(-1, 4)
             cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64())]
             wide = pa.array([parities(s, WIDE_CELLS) if len(s) > LARGE_SET else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, *cols, *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)), wide], ["doc_id", "n", "key", "check", "p0", "p1", "p2", "p3", "wide"])
+            yield pa.RecordBatch.from_arrays([ids, *cols, *(pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)), wide], ["row", "n", "key", "check", "p0", "p1", "p2", "p3", "wide"])
 
-    return docs.mapInArrow(find, "doc_id long, n long, key long, check long, p0 long, p1 long, p2 long, p3 long, wide binary")
+    return docs.mapInArrow(find, "row struct<doc_id:long,text_sha:binary>, n long, key long, check long, p0 long, p1 long, p2 long, p3 long, wide binary")
 
 
 def shingle_levels(docs: DataFrame, k: int) -> np.ndarray:
@@ -293,8 +293,14 @@ def similar_groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4,
     Null texts and texts without words have no shingles and are linked with nothing.  Rows that repeat
     a document are linked with it.  A null id is never a component_id: a group without any other has
     null.  Empty tables give no row; columns other than doc_id and text are ignored."""
-    docs = common.documents(docs)
-    found = common.staged(shingle_classes(docs, k), "classes")
+    return _groups(common.documents(docs), k, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def _groups(docs: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
+    """similar_groups with the columns root, the same for all rows of a group (null without shingles),
+    and text_sha: rows that share an id are told apart by their text."""
+    row = F.struct("doc_id", text_sha(F.col("text")).alias("text_sha"))
+    found = common.staged(shingle_classes(docs.select(row.alias("doc_id"), "text"), k).select("row.*", "n", "key", "check", "p0", "p1", "p2", "p3", "wide"), "classes")
     sketch = [F.min(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "wide")]
     classes = found.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min("check").alias("low"), F.max("check").alias("high"), *sketch)
     classes = common.staged(classes, "class-ids")
@@ -324,24 +330,32 @@ def similar_groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4,
     roots = components(links).select(F.col("node").alias("key"), "root")
     placed = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = common.staged(placed.join(least, "root").select("key", "component_id"), "components")
+    named = common.staged(placed.join(least, "root").select("key", "root", "component_id"), "components")
     out = found.join(named, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root", "text_sha")
+
+
+def text_sha(text):
+    """The digest that tells texts apart; a null text isn't an empty one."""
+    return F.unhex(F.sha2(F.coalesce(F.concat(F.lit("t"), text), F.lit("")), 256))
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """The documents, all columns as they are, without those that are in a group with a smaller id.
 
-    Rows without an id stay.  Rows that repeat an id are told apart by nothing else, so of these one
-    stays, with the smallest text."""
-    found = common.staged(similar_groups(docs, k, threshold), "groups")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, docs.doc_id.cast("long") == F.col("_gone"), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
+    Every row is judged by its own text, whatever other rows share its id.  Rows without an id stay.  Of
+    rows that share an id and a group, or an id and the whole text, the one with the smallest text stays."""
+    found = common.staged(_groups(common.documents(docs), k, threshold), "groups")
+    mine = (docs.doc_id.cast("long") == F.col("_id")) & (text_sha(docs.text.cast("string")) == F.col("_sha"))
+    ids = [F.col("doc_id").alias("_id"), F.col("text_sha").alias("_sha")]
+    gone = found.where("doc_id <> component_id").select(*ids).distinct()
+    first = found.where("doc_id = component_id").select(*ids, F.coalesce(F.col("root").cast("string"), F.hex("text_sha")).alias("_group"))
+    repeated = first.groupBy("_id", "_group").agg(F.count("*").alias("n")).where("n > 1").select("_id", "_group")
+    kept = docs.join(gone, mine, "left_anti")
     if not repeated.limit(1).count():
         return kept
-    once = kept.join(repeated, kept.doc_id.cast("long") == F.col("_again"), "left_anti")
-    again = kept.join(repeated, kept.doc_id.cast("long") == F.col("_again"), "left_semi")
+    several = common.staged(first.join(repeated, ["_id", "_group"], "left_semi").distinct(), "repeated")
+    once = kept.join(several, mine, "left_anti")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = again.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row"))
-    return once.unionByName(first.select("doc_id", "_row.*").select(*docs.columns))
+    again = kept.join(several, mine).groupBy("doc_id", "_group").agg(F.min(F.struct("text", *rest)).alias("_row"))
+    return once.unionByName(again.select("doc_id", "_row.*").select(*docs.columns))
