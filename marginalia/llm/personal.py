@@ -38,8 +38,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])")
-_VALUE = re.compile(r"\s{0,3}[\"']?([^\s\"'<>,;]{6,200})")
-_NAME = re.compile(r"([A-Za-z_-]{2,24})\s{0,2}[\"']?$")
+_VALUE = re.compile(r"\s{0,3}[\"']?([^\s\"'<>,;]{6,}+)")
+_NAME = re.compile(r"([A-Za-z_-]{2,})\s{0,2}[\"']?$")
 
 # Names in front of "=" or ":" that hold a secret, and how public services begin theirs.
 SECRET_NAMES = frozenset("password passwd pwd passphrase secret token apikey api_key api-key access_key access-key auth_token client_secret private_key".split())
@@ -110,20 +110,41 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (BASE.index(x[0]), x[1]))
 
 
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def secret_name(name: str) -> bool:
+    """Whether a listed name is all of an identifier or the last part of it, after "_" or "-" or where
+    capitals begin: DB_PASSWORD, aws_secret_access_key, apiToken."""
+    if name.lower() in SECRET_NAMES:
+        return True
+    parts = re.split("[_-]", _HUMP.sub("_", name).lower())
+    return any("_".join(parts[-n:]) in SECRET_NAMES for n in (1, 2))
+
+
 def secrets(text: str):
-    """(start, end) of what may be secrets: values after a name, known beginnings, long hex digits."""
+    """(start, end) of what may be secrets: values after a name, known beginnings, long hex digits.
+    All are taken whole, however long they are."""
     for mark in "=:":
-        at = text.find(mark)
+        at, run = text.find(mark), 0  # run: the end of the last value; one that begins inside of it ends there too
         while at >= 0:
-            name = _NAME.search(text[max(0, at - 32) : at])
-            if name and name[1].lower() in SECRET_NAMES and (m := _VALUE.match(text, at + 1)):
-                yield m.start(1), m.end(1)
+            from_ = max(0, at - 32)
+            name = _NAME.search(text, from_, at)
+            if name:
+                cut = name.start() == from_ and from_ and text[from_ - 1].isalpha()
+                if secret_name("x" * bool(cut) + name[1]):
+                    if at + 1 < run:
+                        if run - at > 6:
+                            yield at + 1, run
+                    elif m := _VALUE.match(text, at + 1):
+                        run = m.end(1)
+                        yield m.span(1)
             at = text.find(mark, at + 1)
     for begins in SECRET_STARTS:
         at = text.find(begins)
         while at >= 0:
             end = at + len(begins)
-            while end < len(text) and end - at < 200 and (text[end].isalnum() and text[end].isascii() or text[end] in "_-"):
+            while end < len(text) and (text[end].isalnum() and text[end].isascii() or text[end] in "_-"):
                 end += 1
             if end - at >= len(begins) + 12 and not (at and text[at - 1].isalnum()):
                 yield at, end
