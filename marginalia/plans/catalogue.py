@@ -479,10 +479,17 @@ def verdict_json_parse(spark, d):
 @query("select conv_id, turn, [text || '?', 'b?'] as questions from conversations where not contains(text, chr(10)) and not contains(text, '\"') and not contains(text, '\\')")
 def question_list_parse(spark, d):
     turns = table(spark, d, "conversations").where(~F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit('"')) & ~F.contains("text", F.lit("\\")))
+    return questions_of(turns)
+
+
+def questions_of(turns: DataFrame) -> DataFrame:
+    """Replies made of turns, of any text, and read again; a list with marks has no way to hold a line
+    feed, so turns with one are always JSON."""
     asked = F.concat(F.trim("text"), F.lit("?"))
-    fenced = F.concat(F.lit('```json\n["'), asked, F.lit('", "b?"]\n```'))
+    fenced = F.concat(F.lit("```json\n"), F.to_json(F.array(asked, F.lit("b?"))), F.lit("\n```"))
     listed = F.concat(F.lit("Here:\n1. "), asked, F.lit("\n- b?\n"))
-    return turns.select("conv_id", "turn", rules.parsed_questions(F.when(F.col("turn") % 2 == 0, fenced).otherwise(listed)).alias("questions"))
+    as_json = (F.col("turn") % 2 == 0) | F.col("text").rlike(r"[\n\r]")
+    return turns.select("conv_id", "turn", rules.parsed_questions(F.when(as_json, fenced).otherwise(listed)).alias("questions"))
 
 
 # ---- browsing --------------------------------------------------------------------------------------
@@ -748,7 +755,7 @@ def stream_daily_counts(spark, d):
 
 @query("select cast(ts as date) as day, cast(user_id as varchar) as visitor, event_id as ord, row_number() over (partition by cast(ts as date), user_id order by event_id) <= 3 as admitted from events where event_type = 'click'")
 def stream_cap(spark, d):
-    from ..streaming import capped, run_once
+    from ..streaming import capped_once
 
     searches = _event_source(spark, d).where("e = 'search'").select(F.col("d").alias("day"), F.col("v").alias("visitor"), F.col("event_id").alias("ord"))
-    return run_once(capped(searches, per_visitor=3), "stream_cap")
+    return capped_once(searches, per_visitor=3)
