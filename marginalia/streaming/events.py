@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.analytics import accepted
@@ -38,35 +41,66 @@ def daily_counts(events: DataFrame, day: str = "d", event: str = "e", late: str
     return windows.select(F.to_date("window.start").alias(day), event, "n")
 
 
-def capped(searches: DataFrame, per_visitor: int, day: str = "day", visitor: str = "visitor", order: str = "ord", keep_days: int | None = None) -> DataFrame:
-    """Searches of a stream with whether the visitor's daily cap lets them through.  State is one number
-    for each day and visitor; a stream that goes on drops it after keep_days without a search.  A run
-    over what is there must leave keep_days out: with a timeout it would wait for it."""
-    import pandas as pd
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, which the driver and all executors share; only in a local
+    session without one it is a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
+def capped_to(searches: DataFrame, folder: str, per_visitor: int, day: str = "day", visitor: str = "visitor", order: str = "ord"):
+    """Searches of a stream with whether the visitor's daily cap lets them through, written to
+    folder/admitted; visitors without a name have no cap.
+
+    A micro-batch is ranked by Spark's own sort, after the number of searches of that day and visitor in
+    the batches before; these numbers are all that is kept.  Batches are written under their own number,
+    so one that is run again replaces itself.  Searches that come in a later batch come after."""
     kinds = dict(searches.dtypes)
+    counts, key = f"{folder}/counts", [day, visitor]
+    schema = f"`{day}` {kinds[day]}, `{visitor}` {kinds[visitor]}, _n long"
+    searches.sparkSession.createDataFrame([], schema).write.mode("ignore").parquet(f"{counts}/batch=-1")
 
-    def decide(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n = state.get[0] if state.exists else 0
-        for pdf in batches:
-            rows = pdf.sort_values(order)
-            place = pd.Series(range(n + 1, n + 1 + len(rows)), index=rows.index)
-            n += len(rows)
-            rows = rows.assign(admitted=(place <= per_visitor) | (rows[visitor] == ""))
-            yield rows[[day, visitor, order, "admitted"]]
-        state.update((n,))
-        if keep_days:
-            state.setTimeoutDuration(keep_days * 86_400_000)
-
-    schema = f"{day} {kinds[day]}, {visitor} {kinds[visitor]}, {order} {kinds[order]}, admitted boolean"
-    return searches.groupBy(day, visitor).applyInPandasWithState(decide, schema, "n long", "append", "ProcessingTimeTimeout" if keep_days else "NoTimeout")
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*key, order)
+        named = ~F.col(visitor).eqNullSafe(F.lit(""))
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(order))
+        ranked = rows.where(named).withColumn("_place", place)
+        before = spark.read.schema(f"{schema}, batch long").parquet(counts).where(F.col("batch") < number)
+        before = before.groupBy(F.col(day).alias("_day"), F.col(visitor).alias("_visitor")).agg(F.sum("_n").alias("_before"))
+        ranked = ranked.join(before, F.col(day).eqNullSafe(F.col("_day")) & F.col(visitor).eqNullSafe(F.col("_visitor")), "left")
+        admitted = ranked.select(*key, order, (F.col("_place") + F.coalesce("_before", F.lit(0)) <= per_visitor).alias("admitted"))
+        admitted = admitted.unionByName(rows.where(~named).withColumn("admitted", F.lit(True)))
+        admitted.write.mode("overwrite").parquet(f"{folder}/admitted/batch={number:010d}")
+        rows.where(named).groupBy(*key).agg(F.count("*").alias("_n")).write.mode("overwrite").parquet(f"{counts}/batch={number:010d}")
+
+    return searches.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
+
+
+def capped_once(searches: DataFrame, per_visitor: int, day: str = "day", visitor: str = "visitor", order: str = "ord") -> DataFrame:
+    """capped_to for all that is there, and a read of what it wrote."""
+    spark = searches.sparkSession
+    folder = new_folder(spark, "capped")
+    capped_to(searches, folder, per_visitor, day, visitor, order).trigger(availableNow=True).start().awaitTermination()
+    kinds = dict(searches.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (day, visitor, order)) + ", admitted boolean"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/admitted/batch=-1")
+    return spark.read.schema(schema).parquet(f"{folder}/admitted").drop("batch")
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that is there, through the stream into a table in memory; for checks on small inputs."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that is there, through the stream into Parquet in the shared folder; nothing passes through
+    the driver.  In the mode complete the last result stays."""
+    folder = new_folder(stream.sparkSession, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch={number:010d}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    if mode != "complete":
+        stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{folder}/rows/batch=-1")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
