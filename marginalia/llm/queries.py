@@ -27,9 +27,18 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(common.read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op3_repeats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of all lines that aren't empty, where op3_repeats takes those of eight words or more."""
+    return _without_repeats(spark, sf_dir, 0)
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _without_repeats(spark, sf_dir, 8)
+
+
+def _without_repeats(spark: SparkSession, sf_dir: str, words: int) -> DataFrame:
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"))), ",")
-    return without_repeats(common.read(spark, sf_dir, "documents"), words=8).select("doc_id", "n_lines", "n_removed", spans.alias("removed"), "text")
+    return without_repeats(common.read(spark, sf_dir, "documents"), words=words).select("doc_id", "n_lines", "n_removed", spans.alias("removed"), "text")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +90,7 @@ QUERIES = {
     for f in (
         op1_packing, op2_neighbours, op3_repeats, op4_token_counts, op5_contamination,
         op6_personal_data, op7_licences, op8_token_files, op9_jaccard_groups, op10_languages,
+        op3_repeats_all,
     )
 }
 
@@ -209,3 +219,5 @@ from (select row_no, doc_id, case when form <> '' then sha256(form) end as diges
 
 
 ORACLE_SQL = {"op1_packing": OP1_SQL, "op3_repeats": OP3_SQL, "op7_licences": _op7_sql(), "op5_contamination": OP5_SQL, "op9_jaccard_groups": OP9_SQL}
+#: The same rows for lines of any length: only the condition on the words of a line is another.
+ORACLE_SQL["op3_repeats_all"] = OP3_SQL.replace("len(string_split(form, ' ')) >= 8", "form <> ''")

@@ -2,7 +2,8 @@
 
 Lines are normalised (A to Z in lower case, runs of white space as one space) and hashed; digests are
 grouped over the whole corpus.  Of each the earliest occurrence, by document and then by line, stays
-and all others go.  Shorter lines than `words` words always stay: they repeat by chance.
+and all others go.  Shorter lines than `words` words stay, and with 0 only lines without any character: words
+are told apart by spaces, so a bound also keeps all lines of scripts that have none.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ def repeated_lines(docs: DataFrame, words: int = 8) -> DataFrame:
     back; that join is on written tables, so a digest of a third of all lines is split among tasks."""
     line = F.trim(F.regexp_replace(F.translate("line", UPPER, LOWER), SPACE, " "))
     lines = common.documents(docs).where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    hashed = lines.select("doc_id", "at", line.alias("line")).where(F.size(F.split("line", " ", -1)) >= words).select("doc_id", "at", F.unhex(F.md5("line")).alias("digest"))
+    hashed = lines.select("doc_id", "at", line.alias("line")).where(F.size(F.split("line", " ", -1)) >= words if words else F.length("line") > 0).select("doc_id", "at", F.unhex(F.md5("line")).alias("digest"))
     hashed = common.staged(hashed, "lines")
     first = hashed.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     first = common.staged(first, "repeats")
