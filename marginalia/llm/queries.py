@@ -27,6 +27,12 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(common.read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op1_packing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 16,384 tokens, where op1_packing counts words."""
+    counted = token_counts(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed(counted, buckets=16, budget=16_384, granule=8, length=F.col("n_tokens"))
+
+
 def op3_repeats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeats of all lines that aren't empty, where op3_repeats takes those of eight words or more."""
     return _without_repeats(spark, sf_dir, 0)
@@ -90,7 +96,7 @@ QUERIES = {
     for f in (
         op1_packing, op2_neighbours, op3_repeats, op4_token_counts, op5_contamination,
         op6_personal_data, op7_licences, op8_token_files, op9_jaccard_groups, op10_languages,
-        op3_repeats_all,
+        op1_packing_tokens, op3_repeats_all,
     )
 }
 
