@@ -13,13 +13,15 @@ from .languages import languages, train
 from .licences import OWNER_MARKS, SPELLINGS, licences
 from .neighbours import nearest_neighbours
 from .packing import packed
+from .passages import UNIT, WORD, without_passages
 from .personal import BASE, personal_data
 from .repeats import without_repeats
 from .token_counts import token_counts
 from .token_files import token_files
 
 
-def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 16,384 words, which SQL can count, where op1_packing counts tokens."""
     return packed(common.read(spark, sf_dir, "documents"), buckets=16, budget=16_384, granule=8)
 
 
@@ -27,24 +29,32 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(common.read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
-def op1_packing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of 16,384 tokens, where op1_packing counts words."""
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 16,384 tokens."""
     counted = token_counts(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed(counted, buckets=16, budget=16_384, granule=8, length=F.col("n_tokens"))
 
 
-def op3_repeats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeats of all lines that aren't empty, where op3_repeats takes those of eight words or more."""
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_passages(common.read(spark, sf_dir, "documents"), words=25, least=6).withColumn("removed", _spelled("removed"))
+
+
+def repeated_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of all whole lines that aren't empty."""
     return _without_repeats(spark, sf_dir, 0)
 
 
-def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+def repeated_lines_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of whole lines of eight words or more."""
     return _without_repeats(spark, sf_dir, 8)
 
 
+def _spelled(spans: str):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"))), ",")
+
+
 def _without_repeats(spark: SparkSession, sf_dir: str, words: int) -> DataFrame:
-    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"))), ",")
-    return without_repeats(common.read(spark, sf_dir, "documents"), words=words).select("doc_id", "n_lines", "n_removed", spans.alias("removed"), "text")
+    return without_repeats(common.read(spark, sf_dir, "documents"), words=words).select("doc_id", "n_lines", "n_removed", _spelled("removed").alias("removed"), "text")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +106,7 @@ QUERIES = {
     for f in (
         op1_packing, op2_neighbours, op3_repeats, op4_token_counts, op5_contamination,
         op6_personal_data, op7_licences, op8_token_files, op9_jaccard_groups, op10_languages,
-        op1_packing_tokens, op3_repeats_all,
+        packing_words, repeated_lines_all, repeated_lines_long,
     )
 }
 
@@ -140,7 +150,7 @@ from doc left join size using (row_no)
 join (select r.row_no, min(d.doc_id) as least_id from reach as r join doc as d on r.other = d.row_no group by r.row_no) using (row_no)
 """
 
-OP1_SQL = r"""
+PACKING_WORDS_SQL = r"""
 with recursive doc as (
   select doc_id, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as n_tokens from documents
 ),
@@ -172,7 +182,7 @@ select doc_id, n_tokens, bucket_length, place // each_ as batch_no, place % each
 """
 
 _LINE = rf"trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'))"
-OP3_SQL = f"""
+REPEATED_LINES_SQL = f"""
 with line as (
   select doc_id, i - 1 as line_no, lines[i] as line, list_sum(list_transform(lines[1 : i - 1], lambda x: length(x) + 1)) as before
   from (select doc_id, string_split(text, chr(10)) as lines from documents), unnest(range(1, len(lines) + 1)) as t(i)
@@ -224,6 +234,52 @@ from (select row_no, doc_id, case when form <> '' then sha256(form) end as diges
 """
 
 
-ORACLE_SQL = {"op1_packing": OP1_SQL, "op3_repeats": OP3_SQL, "op7_licences": _op7_sql(), "op5_contamination": OP5_SQL, "op9_jaccard_groups": OP9_SQL}
+_FORM = rf"trim(regexp_replace(translate(u, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'))"
+OP3_SQL = f"""
+with unit as (
+  select doc_id, i, us[i] as u, {_FORM.replace("translate(u,", "translate(us[i],")} as form, cast(len(regexp_extract_all(us[i], '{WORD}')) as bigint) as n
+  from (select doc_id, regexp_extract_all(text, '{UNIT}') as us from documents where doc_id is not null), unnest(range(1, len(us) + 1)) as t(i)
+),
+placed as (
+  select *, sum(n) over (partition by doc_id order by i) - n as n_before, sum(n) over (partition by doc_id) as n_all,
+    coalesce(sum(length(u)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as begins
+  from unit
+),
+worded as (select doc_id, i, n_before, n_before + n as n_upto, n_all, form from placed where n > 0),
+whole as (
+  select w.doc_id, w.i as a, v.i as b from (select * from worded where n_all - n_before >= 6) as w
+  asof join worded as v on w.doc_id = v.doc_id and w.n_before + 6 <= v.n_upto
+),
+last as (
+  select w.doc_id, v.i as a, w.i as b
+  from (select *, n_all - 6 as room from worded where n_upto = n_all and n_all >= 6 and n_all - n_before < 6) as w
+  asof join worded as v on w.doc_id = v.doc_id and w.room >= v.n_before
+),
+formed as (
+  select s.doc_id, a, b, string_agg(form, ' ' order by i) as form
+  from (select * from whole union select * from last) as s join worded as w on s.doc_id = w.doc_id and i between a and b group by all
+),
+later as (select doc_id, a, b from (select *, row_number() over (partition by form order by doc_id, a) as nth from formed) where nth > 1),
+covered as (select distinct p.doc_id, i from placed as p join later as l on p.doc_id = l.doc_id and i between a and b),
+run as (
+  select p.*, c.i is not null or n = 0 as inside, sum(case when c.i is null and n > 0 then 1 else 0 end) over (partition by p.doc_id order by p.i) as k
+  from placed as p left join covered as c on p.doc_id = c.doc_id and p.i = c.i
+),
+judged as (select *, inside and sum(n) filter (where inside) over (partition by doc_id, k) >= 25 as gone from run),
+passage as (
+  select doc_id, k, sum(n) as n, min(begins) as begins, max(begins + length(u)) as ends from judged where gone group by doc_id, k
+),
+lost as (
+  select doc_id, count(*) as n_removed, sum(n) as n_words_removed,
+    string_agg(cast(cast(begins as bigint) as varchar) || ':' || cast(cast(ends as bigint) as varchar), ',' order by begins) as removed
+  from passage group by doc_id
+),
+kept as (select doc_id, string_agg(u, '' order by i) filter (where not gone) as text from judged group by doc_id)
+select doc_id, n_removed is not null as has_repeats, coalesce(n_removed, 0) as n_removed, cast(coalesce(n_words_removed, 0) as bigint) as n_words_removed,
+  coalesce(removed, '') as removed, case when d.text is not null then coalesce(k.text, '') end as text
+from documents as d left join lost using (doc_id) left join kept as k using (doc_id)
+"""
+
+ORACLE_SQL = {"packing_words": PACKING_WORDS_SQL, "op3_repeats": OP3_SQL, "repeated_lines_long": REPEATED_LINES_SQL, "op7_licences": _op7_sql(), "op5_contamination": OP5_SQL, "op9_jaccard_groups": OP9_SQL}
 #: The same rows for lines of any length: only the condition on the words of a line is another.
-ORACLE_SQL["op3_repeats_all"] = OP3_SQL.replace("len(string_split(form, ' ')) >= 8", "form <> ''")
+ORACLE_SQL["repeated_lines_all"] = REPEATED_LINES_SQL.replace("len(string_split(form, ' ')) >= 8", "form <> ''")

@@ -17,14 +17,14 @@ def test_short_and_unspaced_lines_that_repeat_go(frame):
 
 
 def test_all_repeats_are_registered():
-    assert queries.ORACLE_SQL["op3_repeats_all"] != queries.OP3_SQL and "op3_repeats_all" in queries.QUERIES
+    assert queries.ORACLE_SQL["repeated_lines_all"] != queries.REPEATED_LINES_SQL and "repeated_lines_all" in queries.QUERIES
 
 
 def test_no_batch_of_several_documents_has_more_tokens_than_the_budget(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     want = {r.doc_id: r.n_tokens for r in token_counts(common.read(spark, SF, "documents"), path).collect()}
     batches = defaultdict(list)
-    for r in queries.op1_packing_tokens(spark, SF).collect():
+    for r in queries.op1_packing(spark, SF).collect():
         assert r.n_tokens == want.pop(r.doc_id)
         batches[r.bucket_length, r.batch_no].append(r.n_tokens)
     assert not want and all(len(b) == 1 or sum(b) <= 16_384 for b in batches.values())
