@@ -32,7 +32,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = new_folder(spark, name)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._marginalia_folder = folder
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of staged() that nothing reads any more: what followed them is written as well."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._marginalia_folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -8,17 +8,20 @@ shingle of each window: the rarest one in the corpus.  The steps:
 2. in every window the shingles are ordered by those counts and the rarest is its prefix;
 3. a second pass finds prefix shingles in the documents.  A match at word p for a prefix at place q
    of a window of n words puts the window at p - q, which must lie inside the document (the bounds
-   on position and length), and there all its n words must be equal (the exact check).
+   on position and length), and there all its n words must be equal: first by their hashes, and then
+   letter by letter (the exact check).
 
-The benchmark's windows are broadcast in blocks of at most `block_words` words, one pass for each
-block, so what is broadcast stays within a fixed size however large the benchmark is.  Documents are
-never shuffled unless there are several blocks, and then only what was hit.
+The benchmark's windows are broadcast in blocks of at most `block_words` words and an item, one pass for
+each block, so what is broadcast stays within a fixed size however large the benchmark is; of several blocks
+the driver holds one at a time, and what each hits is written.  Documents are never shuffled unless there
+are several blocks, and then only what was hit.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +38,22 @@ _FILTER_BITS = 22
 
 @dataclass
 class Windows:
-    """The distinct windows of some items, words as hashes.  words[at[i] : at[i] + size[i]] is window
-    i; owners[owner_at[i] : owner_at[i + 1]] are the numbers of the items that it belongs to."""
+    """The distinct windows of some items.  words[at[i] : at[i] + size[i]] are the hashes of window i's words,
+    and spelled has the words themselves, a space behind each, word k from spelled_at[k] on;
+    owners[owner_at[i] : owner_at[i + 1]] are the numbers of the items that it belongs to."""
 
     words: np.ndarray
+    spelled: bytes
+    spelled_at: np.ndarray
     at: np.ndarray
     size: np.ndarray
     owners: np.ndarray
     owner_at: np.ndarray
     item_ids: list
 
+    def text(self, i: int) -> bytes:
+        return self.spelled[self.spelled_at[self.at[i]] : self.spelled_at[self.at[i] + self.size[i]] - 1]
+
     def width(self, i: int) -> int:
         return min(SHINGLE_WORDS, int(self.size[i]))
 
@@ -59,13 +68,13 @@ class Windows:
 
 def item_blocks(items: DataFrame, block_words: int):
     """The items, read in order of their ids, in blocks of about block_words words."""
-    block: list[tuple[int, np.ndarray]] = []
+    block: list[tuple[int, np.ndarray, list[bytes]]] = []
     held = 0
     for row in items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").orderBy("item_id", "text").toLocalIterator():
         offsets, data = as_bytes(pa.array([row.text]))
         hashes = words_of(offsets, data, alphanumeric_words()).hash
         if len(hashes):
-            block.append((row.item_id, hashes))
+            block.append((row.item_id, hashes, spelling(data.tobytes()).split(b" ")))
             held += len(hashes)
         if held >= block_words:
             yield windows_of(block)
@@ -74,21 +83,30 @@ def item_blocks(items: DataFrame, block_words: int):
         yield windows_of(block)
 
 
-def windows_of(items: list[tuple[int, np.ndarray]]) -> Windows:
-    words = np.concatenate([h for _, h in items])
-    ids = sorted({i for i, _ in items}, key=str)
+def windows_of(items: list[tuple[int, np.ndarray, list[bytes]]]) -> Windows:
+    words = np.concatenate([h for _, h, _ in items])
+    every = [x for _, _, spelled in items for x in spelled]
+    spelled_at = np.concatenate(([0], np.cumsum([len(x) + 1 for x in every])))
+    ids = sorted({i for i, _, _ in items}, key=str)
     number = {x: k for k, x in enumerate(ids)}
     found: dict[bytes, tuple[int, int, set]] = {}
     start = 0
-    for item_id, h in items:
+    for item_id, h, spelled in items:
         n = min(WINDOW_WORDS, len(h))
         for j in range(len(h) - n + 1):
-            key = h[j : j + n].tobytes()
-            found.setdefault(key, (start + j, n, set()))[2].add(number[item_id])
+            found.setdefault(b" ".join(spelled[j : j + n]), (start + j, n, set()))[2].add(number[item_id])
         start += len(h)
     at, size, owners = (list(x) for x in zip(*found.values()))
     flat = np.array([o for s in owners for o in sorted(s)], np.int64)
-    return Windows(words, np.array(at), np.array(size), flat, np.concatenate(([0], np.cumsum([len(s) for s in owners]))), ids)
+    return Windows(words, b" ".join(every) + b" ", spelled_at, np.array(at), np.array(size), flat, np.concatenate(([0], np.cumsum([len(s) for s in owners]))), ids)
+
+
+#: Letters in lower case, and a space for all that stands between words.
+_SPELL = bytes((i + 32 if 65 <= i < 91 else i) if inside else 32 for i, inside in enumerate(alphanumeric_words().tolist()))
+
+
+def spelling(raw: bytes) -> bytes:
+    return b" ".join(raw.translate(_SPELL).split())
 
 
 class Finder:
@@ -169,7 +187,9 @@ class Search:
                 doc = w.doc[p]
                 for i, place in self.holds[width][k]:
                     start, n = p - place, int(v.size[i])
-                    if start >= w.first[doc] and start + n <= w.first[doc + 1] and np.array_equal(w.hash[start : start + n], v.words[v.at[i] : v.at[i] + n]):
+                    if start < w.first[doc] or start + n > w.first[doc + 1] or not np.array_equal(w.hash[start : start + n], v.words[v.at[i] : v.at[i] + n]):
+                        continue
+                    if spelling(w.data[w.start[start] : w.end[start + n - 1]].tobytes()) == v.text(i):
                         first.append(start)
                         window.append(i)
         first = np.array(first, np.int64)
@@ -179,9 +199,9 @@ class Search:
 _SCHEMA = "doc_id long, text_sha string, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
 
 
-def _found(docs: DataFrame, search) -> DataFrame:
+def _found(docs: DataFrame, search, several: bool = False) -> DataFrame:
     """For every document: n_words, the spans of words hit (merged, from the first word on) and the
-    items found.  search is a broadcast Search or None."""
+    items found.  search is a broadcast Search or None; text_sha is there if there are several blocks."""
 
     def find(batches):
         table = alphanumeric_words()
@@ -213,7 +233,6 @@ def _found(docs: DataFrame, search) -> DataFrame:
                     ["doc_id", "text_sha", "n_words", "spans", "items"],
                 )
 
-    several = search is None or getattr(search, "several", False)
     return common.documents(docs).mapInArrow(find, _SCHEMA)
 
 
@@ -227,25 +246,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = 2_00
     return _judged(docs, benchmark, block_words).select("doc_id", "n_words", "n_hit", "spans", "items")
 
 
+def _first_block(benchmark: DataFrame, block_words: int):
+    """(the block, None) if there is one at most, else (None, all blocks, made one after another)."""
+    blocks = item_blocks(benchmark, block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    return (first, None) if second is None else (None, chain((first, second), blocks))
+
+
+def _search(docs: DataFrame, windows: Windows):
+    return docs.sparkSession.sparkContext.broadcast(Search(windows, shingle_counts(docs, windows.shingles())))
+
+
 def _judged(docs: DataFrame, benchmark: DataFrame, block_words: int) -> DataFrame:
     """contamination() with text_sha, which is null if there is one block of windows at most."""
-    spark = docs.sparkSession
-    blocks = []
-    for windows in item_blocks(benchmark, block_words):
-        counts = shingle_counts(docs, windows.shingles())
-        blocks.append(spark.sparkContext.broadcast(Search(windows, counts)))
-    if len(blocks) <= 1:
-        found = _found(docs, blocks[0] if blocks else None)
+    first, rest = _first_block(benchmark, block_words)
+    if rest is None:
+        found = _found(docs, _search(docs, first) if first else None)
     else:
         # every block has its pass; what it hits is small and meets at the document
         hit = None
-        for b in blocks:
-            b.several = True
-            one = _found(docs, b).where(F.size("items") > 0)
+        for windows in rest:
+            search = _search(docs, windows)
+            one = common.staged(_found(docs, search, several=True).where(F.size("items") > 0), "hits")
+            search.destroy()
             hit = one if hit is None else hit.unionByName(one)
         joined = hit.groupBy("doc_id", "text_sha").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
         joined = joined.select(F.col("doc_id").alias("hit_id"), F.col("text_sha").alias("hit_sha"), F.col("spans").alias("hit_spans"), F.col("items").alias("hit_items"))
-        every = _found(docs, None)
+        every = _found(docs, None, several=True)
         both = every.join(joined, every.doc_id.eqNullSafe(joined.hit_id) & (every.text_sha == joined.hit_sha), "left")
         span = "array<struct<start:long,end:long>>"
         merged = F.aggregate(
@@ -267,18 +294,22 @@ def contaminated(n_hit, n_words):
 def decontaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = 2_000_000) -> DataFrame:
     """The documents, all columns as they are, without the contaminated ones.
 
+    Null and empty texts have no words and stay; so does everything if no item has words.  Repeated rows and
+    rows without an id are judged each by its own text, texts of any length whole.  Empty tables give no row.
+    No column is added, so none clashes.
+
     With one block of windows a document is judged where it is read and nothing is shuffled.  With more
     of them the ids and digests of contaminated documents are joined, so that every row, also one whose
     id is null or shared, is judged by its own text all the same."""
-    blocks = list(item_blocks(benchmark, block_words))
-    if not blocks:
+    first, rest = _first_block(benchmark, block_words)
+    if rest is None and first is None:
         return docs
-    if len(blocks) > 1:
+    if rest is not None:
         verdict = _judged(docs, benchmark, block_words).where(contaminated(F.col("n_hit"), F.col("n_words")))
-        verdict = verdict.select(F.col("doc_id").alias("_hit_id"), F.col("text_sha").alias("_hit_sha")).distinct()
+        verdict = verdict.select("doc_id", "text_sha").distinct()
         own_sha = F.sha2(F.coalesce(docs.text.cast("string"), F.lit("")), 256)
-        return docs.join(verdict, docs.doc_id.cast("long").eqNullSafe(F.col("_hit_id")) & (own_sha == F.col("_hit_sha")), "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(Search(blocks[0], shingle_counts(docs, blocks[0].shingles())))
+        return docs.join(verdict, docs.doc_id.cast("long").eqNullSafe(verdict.doc_id) & (own_sha == verdict.text_sha), "left_anti")
+    shared = _search(docs, first)
 
     def keep(batches):
         table, search = alphanumeric_words(), shared.value

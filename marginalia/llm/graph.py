@@ -15,7 +15,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     smallest neighbour, then the smaller ones.  Every round is two grouped minima, whose partial sums
     are taken before the shuffle, and a join back to the edges; rows never meet by component, and the
     number of rounds grows with the logarithm of the nodes.  Each round is written, so lineage stays
-    short."""
+    short, and deleted after the next."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs = common.staged(pairs, "edges")
     before = None
@@ -27,7 +27,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        pairs = common.staged(small.where("u <> v").distinct(), "edges")
+        last, pairs = pairs, common.staged(small.where("u <> v").distinct(), "edges")
+        common.dropped(last)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.max(F.xxhash64("u", "v"))).first()
         if now == before:
             break

@@ -1,8 +1,8 @@
 """Languages of texts, and of their parts where languages mix.
 
-Words are scored by character n-grams under each learned language.  The script of a word narrows the
-languages that it can be in to those seen in that script.  Viterbi then labels all words of a text at
-once: a change of language costs a fixed penalty, so a stray word doesn't break a span, but a passage
+The script of a word narrows the languages that it can be in to those seen in that script; under these
+alone, and only if they are several, it is scored by character n-grams.  Viterbi then labels all words of a
+text at once: a change of language costs a fixed penalty, so a stray word doesn't break a span, but a passage
 in another language becomes a span of its own.  The language of a text is the one with most letters.
 
 The model is fitted on a sample of labelled rows of bounded expected size (`per_language` texts of
@@ -22,16 +22,19 @@ from pyspark.sql import functions as F
 
 from . import common
 from .pieces import worker
+from .textwords import as_bytes, slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 LONGEST_GRAM = 4
 #: What a change of language costs, in units of a word's log-probability ratio.
 PENALTY = 12.0
-#: What a word costs in a language that isn't written in its script.
-WRONG_SCRIPT = 25.0
-#: Texts whose words a worker holds at once.
-BATCH_ROWS = 512
+#: The score of a word in a language that isn't written in its script: no path takes it.
+EXCLUDED = -1e6
+#: Scores (words x languages) that a worker holds at once; a longer text is worked on in pieces, with one path.
+HELD_SCORES = 1 << 24
+#: Bytes of text whose words a worker holds at once, but for a longer text.
+BATCH_BYTES = 1 << 20
 #: A language is written in a script that has at least this share of its letters.
 SCRIPT_SHARE = 0.01
 
@@ -104,16 +107,20 @@ class Model:
         g = grams_of(words, letters)
         n = len(words)
         count = np.bincount(g.letter_word, minlength=n)[:n]
-        total = np.empty((n, len(self.names)))
-        for k in range(len(self.names)):
-            total[:, k] = np.bincount(g.gram_word, weights=self.weights[k][g.gram], minlength=n)[:n]
-        total *= 0.5
-        script = np.zeros(n, np.int64)
+        script = np.full(n, -1, np.int64)
         script[g.letter_word[::-1]] = g.letter_script[::-1]  # that of the first letter
-        allowed = self.written[:, script].T
-        total -= WRONG_SCRIPT * (~allowed & allowed.any(1, keepdims=True))
-        total -= total.max(1, keepdims=True)
-        total[count == 0] = 0
+        total = np.zeros((n, len(self.names)))
+        for kind in np.unique(script[script >= 0]):
+            own, able = np.flatnonzero(script == kind), self.written[:, kind]
+            if not able.any():
+                continue  # no language is written so: the word says nothing
+            total[np.ix_(own, np.flatnonzero(~able))] = EXCLUDED
+            if able.sum() > 1:
+                chosen = script[g.gram_word] == kind
+                grams, owner = g.gram[chosen], g.gram_word[chosen]
+                for k in np.flatnonzero(able):
+                    total[own, k] = 0.5 * np.bincount(owner, weights=self.weights[k][grams], minlength=n)[own]
+        total -= total.max(1, keepdims=True, initial=EXCLUDED)
         return total.astype(np.float32), count
 
 
@@ -129,20 +136,20 @@ def bucket_sums(texts, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams, scripts
 
 
-def train(docs: DataFrame, training: Column, per_language: int = 1000, max_languages: int = 256) -> Model:
+def train(docs: DataFrame, training: Column, per_language: int = 1000) -> Model:
     """Fits the model on rows where `training` holds and lang isn't null.
 
     The rows of each language are counted; then each row takes part with the probability that gives
-    per_language rows on average, by a hash of its id.  The max_languages most frequent languages are
-    learned.  The driver gets one row of sums for each of them."""
+    per_language rows on average, by a hash of its id.  All languages are learned, however many: the driver
+    gets one row of sums for each of them, and the model holds 256 KB for each."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & training)
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((0, len(SCRIPT_NAMES)), bool))
     names = sorted(counts)
-    share = F.create_map(*chain.from_iterable((F.lit(n), F.lit(min(1.0, per_language / counts[n]))) for n in names))
+    share = docs.sparkSession.createDataFrame([(n, min(1.0, per_language / counts[n])) for n in names], "lang string, share double")
     place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(F.col("lang").isin(names)).where(place < F.element_at(share, F.col("lang"))).select("lang", "text")
+    sample = labelled.join(F.broadcast(share), "lang").where(place < F.col("share")).select("lang", "text")
     number = {n: i for i, n in enumerate(names)}
     parts = 32
     width = BUCKETS // parts
@@ -172,6 +179,7 @@ class Labeler:
 
     def __init__(self, model: Model):
         self.model, self.letters = model, letter_table()
+        self.piece = max(1024, min(1 << 18, HELD_SCORES // max(1, len(model.names))))
         self.room = max(20_000, min(200_000, 4_000_000 // max(1, len(model.names))))
         self.forget()
 
@@ -194,6 +202,13 @@ class Labeler:
     def label(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each text the language number and the number of letters of each word."""
         cut = [(t or "").lower().split() for t in texts]
+        if sum(map(len, cut)) > self.piece:
+            # long texts, and many short ones, are held one after another
+            both = [self.long(c) if len(c) > self.piece else self.short([c]) for c in cut]
+            return [p for paths, _ in both for p in paths], [c for _, counts in both for c in counts]
+        return self.short(cut)
+
+    def short(self, cut: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         sizes = np.array([len(c) for c in cut])
         numbers = self.numbers(list(chain.from_iterable(cut)))
         first = np.concatenate(([0], np.cumsum(sizes)))
@@ -211,7 +226,36 @@ class Labeler:
         if mixed:
             for i, path in zip(mixed, viterbi(scores, first[mixed], sizes[mixed])):
                 paths[i] = path
-        return paths, [counts[first[i] : first[i + 1]] for i in range(len(texts))]
+        return paths, [counts[first[i] : first[i + 1]] for i in range(len(cut))]
+
+    def long(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The path of one long text.  Scores are made for one piece at a time; what is kept of a word is the
+        best language before it, and a bit for each language that says whether to come from there."""
+        value, came, moved, counts = None, [], [], []
+        for at in range(0, len(words), self.piece):
+            numbers = self.numbers(words[at : at + self.piece])
+            scores = self.scores[numbers]
+            counts.append(self.counts[numbers])
+            best, jumped = np.zeros(len(scores), np.int16), np.zeros(scores.shape, bool)
+            for t, row in enumerate(scores):
+                if value is None:
+                    value = row.copy()
+                    continue
+                best[t] = value.argmax()
+                jump = value[best[t]] - PENALTY
+                jumped[t] = value < jump
+                value = np.maximum(value, jump) + row
+            value -= value.max()  # so that sums of millions of words stay exact
+            came.append(best)
+            moved.append(np.packbits(jumped, axis=1))
+        path, now = np.zeros(len(words), np.int16), int(value.argmax())
+        for k in range(len(came) - 1, -1, -1):
+            jumped = np.unpackbits(moved[k], axis=1, count=len(value)).astype(bool)
+            for t in range(len(came[k]) - 1, -1, -1):
+                path[k * self.piece + t] = now
+                if jumped[t, now]:
+                    now = int(came[k][t])
+        return [path], [np.concatenate(counts)]
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -257,7 +301,8 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
 
     A text that is null or has no letter is "und" with score 0 and no span, and so is every text if
     nothing was learned.  Of languages with equally many letters the first by name is given.  Repeated
-    rows and null ids give a row each; columns other than doc_id and text are ignored."""
+    rows and null ids give a row each; columns other than doc_id and text are ignored.  Very long texts are
+    labelled whole, in pieces that share one path.  Empty tables give no row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     token = f"labeler {uuid.uuid4().hex}"
 
@@ -266,8 +311,8 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
         names = shared.value.names
         struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for i, j in slices(as_bytes(batch.column(1))[0], BATCH_BYTES):
+                part = batch.slice(i, j - i)
                 pred, score, spans = [], [], []
                 texts = part.column(1).to_pylist()
                 for path, counts in zip(*labeler.label(texts)) if names else (((), ()) for _ in texts):
@@ -289,7 +334,11 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
 
 def recognised(docs: DataFrame, model: Model, share: float = 0.5) -> DataFrame:
     """The documents, all columns as they are, with a language that has at least `share` of their
-    letters.  A document is judged where it is read; nothing is shuffled."""
+    letters.  A document is judged where it is read, by its whole text; nothing is shuffled.
+
+    A null text, or one without letters, goes; so do all if nothing was learned.  Repeated rows and rows
+    without an id are judged each by its own text.  Very long texts are worked on in pieces.  Empty tables give
+    no row, and no column of docs clashes, as none is added."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     token = f"labeler {uuid.uuid4().hex}"
 
@@ -297,8 +346,8 @@ def recognised(docs: DataFrame, model: Model, share: float = 0.5) -> DataFrame:
         labeler = worker(token, lambda: Labeler(shared.value))
         n = len(shared.value.names)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for a, b in slices(as_bytes(batch.column("text"))[0], BATCH_BYTES):
+                part = batch.slice(a, b - a)
                 good = [False] * part.num_rows
                 if n:
                     for i, (path, counts) in enumerate(zip(*labeler.label(part.column("text").to_pylist()))):

@@ -14,6 +14,7 @@ A text is cut in one of three ways, all of which give the library's own ids:
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -41,6 +42,19 @@ def byte_letters() -> dict[int, int]:
     return {b: b if b in plain else 256 + others.index(b) for b in range(256)}
 
 
+def byte_level(path: str) -> bool:
+    """Whether a tokenizer's file says all that the cutting below takes for granted: plain byte-level BPE with
+    the published pattern, nothing added in front and no normaliser.  Any other goes through the library."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    return (
+        before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        and spec.get("normalizer") is None and model.get("type", "BPE") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+    )
+
+
 class Tokenizer:
     """The tokenizer of one worker process."""
 
@@ -50,6 +64,7 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
+        self.plain = byte_level(path)
         self.pretokens = regex.compile(PATTERN).findall
         self.letters = byte_letters()
         self.tokenize = self.library.model.tokenize
@@ -70,6 +85,8 @@ class Tokenizer:
     def cut(self, text: str) -> list[str] | None:
         """The pieces of a text, or None.  A piece that doesn't begin with a line feed stands for
         itself with a space before it; "\\0" marks one without."""
+        if not self.plain:
+            return None
         for s in self.special:
             if s in text:
                 return None
@@ -115,33 +132,35 @@ class Recent(dict):
 
 class Encoded:
     """What a worker knows of pieces.  value turns the ids of a pre-token into what is kept, and join
-    makes that of a piece or text from those of its parts.  frequent, if given, is a fixed first tier
-    of pieces."""
+    makes that of a piece or text from those of its parts.  frequent, if given, is a fixed first tier of
+    pre-tokens; what isn't there is encoded, and its piece is kept while it is used."""
 
     def __init__(self, tokenizer: Tokenizer, value, join, frequent: dict | None = None, room: int = 400_000):
-        self.tokenizer, self.value, self.join = tokenizer, value, join
-        self.pieces, self.stops = Recent(room, frequent), {}
+        self.tokenizer, self.value, self.join, self.frequent = tokenizer, value, join, frequent or {}
+        self.pieces, self.stops = Recent(room), {}
 
     def learn(self, pieces) -> dict:
         """Works out the unknown pieces among these; returns those too long to keep."""
         new = self.pieces.unknown(pieces)
         kept, stops, value, join, tokenizer = self.pieces, self.stops, self.value, self.join, self.tokenizer
-        tokenize, model, letters, found = tokenizer.tokenize, tokenizer.model, tokenizer.letters, {}
+        tokenize, model, letters, frequent, found = tokenizer.tokenize, tokenizer.model, tokenizer.letters, self.frequent, {}
         for piece in new:
             word = piece.rstrip(STOPS)
             if word.isalpha() and (word.isascii() or not EXOTIC.search(word)):
                 # letters and stops: two pre-tokens, known without the pattern
-                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
-                made = value([t.id for t in tokenize("\u0120" + spelt)])
+                made = frequent.get(" " + word)
+                if made is None:
+                    spelt = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+                    made = value([t.id for t in tokenize("\u0120" + spelt)])
                 if len(word) < len(piece):
                     tail = piece[len(word) :]
                     if tail not in stops:
                         if len(stops) > 1000:
                             stops.clear()
-                        stops[tail] = value(model(tail))
+                        stops[tail] = frequent[tail] if tail in frequent else value(model(tail))
                     made = join((made, stops[tail]))
             else:
-                made = join([value(model(w)) for w in tokenizer.pretokens(spelled(piece))])
+                made = join([frequent[w] if w in frequent else value(model(w)) for w in tokenizer.pretokens(spelled(piece))])
             (kept if len(piece) <= LONG_PIECE else found)[piece] = made
         return found
 

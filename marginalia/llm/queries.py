@@ -206,10 +206,11 @@ def _op7_form(text: str, lines: bool = True) -> str:
     marks = " or ".join(f"contains(x, '{m}')" for m in OWNER_MARKS)
     lower = f"lower({text})"
     kept = f"array_to_string(list_filter(string_split({lower}, chr(10)), lambda x: not ({marks})), chr(10))" if lines else f"case when {marks.replace('x,', lower + ',')} then '' else {lower} end"
-    form = rf"' ' || regexp_replace({kept}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g') || ' '"
+    # two spaces between words: spellings of neighbours need one each
+    form = rf"' ' || regexp_replace({kept}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g') || ' '"
     for a, b in SPELLINGS:
-        form = f"replace({form}, '{a}', '{b}')"
-    return f"trim({form})"
+        form = f"replace({form}, ' {'  '.join(a.split())} ', ' {'  '.join(b.split())} ')"
+    return f"trim(regexp_replace({form}, ' +', ' ', 'g'))"
 
 
 def _op7_sql() -> str:

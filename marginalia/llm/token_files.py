@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .pieces import Encoded, Tokenizer, id_bytes, worker
+from .textwords import as_bytes, slices
 
 MAGIC = b"FWTOK\x01\0\0"
 HEAD = np.dtype([("magic", "S8"), ("bits", "<u4"), ("block_ids", "<u4"), ("n_docs", "<u8"), ("n_ids", "<u8")])
@@ -106,7 +107,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     executors share.  Returns the files in order: file_no, path, n_docs, n_ids.
 
     Documents are in ascending doc_id order over all files (null ids first, equal ids by text): a range
-    partitioning puts them in order, each task writes files of about file_ids ids.  A file is written
+    partitioning by the id and how the text begins puts them in order, so rows without an id, or of one id, are
+    many ranges if they are many; each task writes files of about file_ids ids.  A file is written
     under a passing name and moved when it is whole, so a task that is lost and run again leaves one."""
     spark = docs.sparkSession
     if bits is None:
@@ -139,8 +141,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             doc_ids, ids, held = [], [], 0
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for i, j in slices(as_bytes(batch.column(1))[0]):
+                some = batch.slice(i, j - i)
                 found = encoded.texts([t or "" for t in some.column(1).to_pylist()])
                 for doc_id, raw in zip(some.column(0).to_pylist(), found):
                     doc_ids.append(doc_id)
@@ -155,7 +157,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     store, base = file_system(folder)
     store.create_dir(base, recursive=True)
-    placed = common.documents(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    placed = common.documents(docs).repartitionByRange(n, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return common.staged(placed.mapInArrow(write, "file_no long, path string, n_docs long, n_ids long"), "token-files")
 
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import jaccard
 from marginalia.llm.graph import components
@@ -76,3 +77,19 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100} and {got[i] for i in range(200, 230)} == {200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_that_share_a_key_are_told_apart(frame, monkeypatch):
+    monkeypatch.setattr(jaccard, "KEY_BITS", 4)
+    docs = near_copies(5, 12, 5, [3, 20, 60])
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.similar_groups(frame(docs), 3, (9, 10)).collect())
+    assert got == plain(docs, 3, 9, 10)
+
+
+def test_columns_of_any_name_and_type(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, {"a": 1}, 0.5, 1), (1, text, {"a": 1}, 0.5, 1), (1, text, {"b": 2}, None, 0), (2, text + " more", {}, 1.0, 0), (3, "quite another text", None, 2.0, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `row` map<string,int>, _gone double, `id` int").withColumns({"sha": F.lit("x"), "may": F.lit(1), "group": F.lit(2)})
+    kept = jaccard.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, text), (3, "quite another text")]
