@@ -16,6 +16,7 @@ from marginalia.llm.languages import recognised, train
 from marginalia.llm.packing import packed
 from marginalia.llm.personal import redacted
 from marginalia.llm.queries import held_out
+from marginalia.llm.token_counts import token_counts
 from marginalia.session import ship
 
 
@@ -42,8 +43,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A place in a batch for every document."""
-    return packed(docs, buckets=16, budget=16_384, granule=8)
+    """A place in a batch of 16,384 tokens for every document."""
+    counted = token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed(counted, buckets=16, budget=16_384, granule=8, length=F.col("n_tokens"))
 
 
 STAGES = [
