@@ -20,7 +20,7 @@ class GradeWords:
     """Words of grades.  Fixed values: they have to be those that the graded collections use."""
 
     sound: tuple[str, ...] = ("sahih", "hasan", "saheeh", "hassan")
-    weak: tuple[str, ...] = ("daif", "da'if", "daeef", "weak", "munkar", "shadh")
+    weak: tuple[str, ...] = ("daif", "da'if", "dhaeef", "weak", "munkar", "mawdu", "maudu", "fabricated", "batil", "matrook", "matruk", "shadh")
     fabricated: tuple[str, ...] = ("mawdu", "maudu", "maudoo", "fabricated", "batil", "baatil", "matrook", "matruk")
 
     @staticmethod
@@ -37,27 +37,33 @@ def grade(grades: Column, words: GradeWords = GradeWords()) -> Column:
     """struct(verdict, label) of an array of grades.
 
     A fabrication said by anyone is weak.  Otherwise one sound grade is enough, and makes it disputed
-    if another grade is weak; only weak grades make it weak; all else is ungraded."""
+    if another grade is weak; weak grades without a sound one make it weak; all else is ungraded.  The label
+    is the commonest of the grades that decided: the sound ones, the weak ones, else all."""
     texts = grade_texts(grades)
     says = lambda kind: (lambda g: g.rlike(GradeWords.pattern(kind)))
     is_weak = says(words.weak)
     sound = F.filter(texts, lambda g: g.rlike(GradeWords.pattern(words.sound)) & ~is_weak(g))
-    weak = F.exists(texts, is_weak)
+    weak = F.filter(texts, is_weak)
+    fabricated = F.exists(texts, says(words.fabricated))
     label = lambda values: F.substring(most_common(values), 1, LABEL_CHARS)
     none = F.lit(None).cast("string")
     verdict = (
-        F.when(F.size(texts) == 0, "ungraded").when(F.exists(texts, says(words.fabricated)), "weak")
-        .when((F.size(sound) > 0) & weak, "disputed").when(F.size(sound) > 0, "sound").when(weak, "weak").otherwise("ungraded")
+        F.when(F.size(texts) == 0, "ungraded").when(fabricated, "weak")
+        .when((F.size(sound) > 0) & (F.size(weak) > 0), "disputed").when(F.size(sound) > 0, "sound").when(F.size(weak) > 0, "weak").otherwise("ungraded")
     )
-    shown = F.when(F.size(texts) == 0, none).when(verdict == "disputed", F.concat(label(sound), F.lit(DIFFER))).when(verdict == "sound", label(sound)).otherwise(label(texts))
+    shown = F.when(F.size(texts) == 0, none).when(verdict == "disputed", F.concat(label(sound), F.lit(DIFFER))).when(verdict == "sound", label(sound)).when(~fabricated & (verdict == "weak"), label(weak)).otherwise(label(texts))
     return F.struct(verdict.alias("verdict"), shown.alias("label"))
 
 
 @dataclass(frozen=True)
 class NoteRules:
-    """What makes a record a mere note about another: too few words; an opening that refers to another
-    record; or a chain of names, with a verb of narration, no content of its own and a tail that points
-    elsewhere, of which what stands before is short and has no sentence end."""
+    """What makes a record a mere note about another, in seven families of patterns over the collapsed text
+    in lower case: too few words; an opening that speaks of another record; an opening that only tells how a
+    record was passed on; a narrator who passes on "the" record; a cross-reference in place of a text; and a
+    chain of names, with a verb of narration and no content of its own, that refers to another record or has a
+    tail which points elsewhere, of which what stands before is short and has no sentence end.
+
+    The defaults are this package's own wording of these families; a collection's own can be passed."""
 
     least_words: int = 4
     openings: tuple[str, ...] = (
@@ -65,6 +71,9 @@ class NoteRules:
         r"^(see|compare|as in) (above|below|record|number)",
         r"^[\s\S]{0,60}(narrated|reported) the (same|above) (report|hadith)",
     )
+    passed_on: str = r"^(it|this|the (report|hadith|record)) (is|was|has been) (narrated|reported|transmitted|told)[\s\S]{0,120}(chain|authority|as above)"
+    named: str = r"^[\s\S]{0,80}(narrated|reported|transmitted) (a|the|this) (hadith|report|record)([^a-z])[\s\S]{0,120}(chain|authority|like it|like the|the same|another)"
+    crossed: str = r"^(as (above|below)|the above-mentioned|same as|similar (to|as)|(the )?[a-z]+ said as above)([^a-z]|$)"
     verbs: str = r"(^|[^a-z])(narrated|reported|transmitted)([^a-z]|$)"
     content: str = r"(^|[^a-z])(said|asked|replied|commanded|forbade)([^a-z]|$)"
     refers: str = r"^[\s\S]{0,80}(similar|same) (to|as)([^a-z]|$)"
@@ -74,7 +83,7 @@ class NoteRules:
 
 def is_note(text: Column, rules: NoteRules = NoteRules()) -> Column:
     flat = F.lower(collapsed(text))
-    opens = reduce(lambda a, b: a | b, (flat.rlike(p) for p in rules.openings))
+    opens = reduce(lambda a, b: a | b, (flat.rlike(p) for p in (*rules.openings, rules.passed_on, rules.named, rules.crossed)))
     place = F.regexp_instr(flat, F.lit(rules.tail))
     before = F.substring(flat, F.lit(1), F.greatest(place - 1, F.lit(0)))
     quiet = ~F.contains(F.regexp_replace(before, r"(^|[^a-z])[a-z]\.", "$1"), F.lit("."))
@@ -131,3 +140,24 @@ class Topic:
     label: str
     books: tuple[str, ...]
     texts: tuple[str, ...] = field(default=())
+
+
+#: How long what people send may be.
+MOST_QUESTION, MOST_ID, MOST_SHOWN, MOST_REASON, MOST_DETAIL, MOST_VISITOR = 500, 64, 5, 64, 1000, 32
+
+
+def checked_question(question: Column) -> Column:
+    """struct(problem, question): the trimmed question, or why it isn't taken ("empty", "too long")."""
+    text = F.trim(F.coalesce(question, F.lit("")))
+    problem = F.when(text == "", "empty").when(F.length(text) > MOST_QUESTION, "too long")
+    return F.struct(problem.alias("problem"), F.when(problem.isNull(), text).alias("question"))
+
+
+def guarded(rows, cut: dict[str, int], lists: dict[str, int] = {}):  # noqa: B006
+    """rows with strings cut to so many characters and lists to so many elements."""
+    return rows.withColumns({c: F.substring(c, 1, n) for c, n in cut.items()} | {c: F.slice(c, 1, n) for c, n in lists.items()})
+
+
+def over_limit(text: Column, limit: int = 256) -> Column:
+    """Whether an encoder of `limit` tokens would cut a text off; words are counted, the least it can have."""
+    return word_count(text) > limit

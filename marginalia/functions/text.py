@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,15 +61,19 @@ def _gram(terms: Column, n: int):
     return lambda i: F.array_join(F.slice(terms, i, n), " ")
 
 
-def _substrings(word: Column, n: int) -> Column:
+def substrings(word: Column, n: int) -> Column:
     return F.transform(_starts(F.length(word), n), lambda i: word.substr(i, F.lit(n)))
 
 
 def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams inside words, each word with a space on both sides; a word shorter than n
     gives none of that length, and the shortest padded word is as long as the least n."""
-    padded = F.transform(words(F.lower(text)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    return F.flatten(F.transform(padded, lambda w: F.concat(*(_substrings(w, n) for n in range(low, high + 1)))))
+    return F.flatten(F.transform(padded_words(text), lambda w: F.concat(*(substrings(w, n) for n in range(low, high + 1)))))
+
+
+def padded_words(text: Column) -> Column:
+    """The words in lower case, each with a space on both sides."""
+    return F.transform(words(F.lower(text)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
 
 def sentences(text: Column) -> Column:
@@ -78,45 +83,41 @@ def sentences(text: Column) -> Column:
     return F.when(F.length(flat) > 0, found).otherwise(F.array().cast("array<string>"))
 
 
-_EMPTY_WINDOW = "array<struct<text:string,words:int>>"
-
-
 def windows(parts: Column, target: int = 45, ceiling: int = 180) -> Column:
     """Windows of sentences of about `target` words that share their last sentence with the next.
 
-    One fold over the sentences: `done` are closed windows, `open` the sentences of the current one.
-    A sentence that doesn't fit closes the window; if the window had more than one sentence, the last
-    one opens the next, by itself if the new sentence doesn't fit behind it.  A window of one sentence
-    longer than `ceiling` words is cut into pieces of that many."""
-    sized = F.transform(parts, lambda s: F.struct(s.alias("text"), F.regexp_count(s, F.lit(r"(?U)\S+")).alias("words")))
-    total = lambda w: F.aggregate(w, F.lit(0), lambda n, s: n + s.words)
-    none = F.array().cast(f"array<{_EMPTY_WINDOW}>")
-    start = F.struct(none.alias("done"), F.array().cast(_EMPTY_WINDOW).alias("open"))
-
-    def step(state, s):
-        now, one = state.open, F.array(s)
-        count = total(now)
-        last = F.element_at(now, -1)
-        close = F.concat(state.done, F.array(now))
-        opens = (count < target) & (count + s.words <= target)
-        chained = (last.words < target) & (last.words + s.words <= target)
-        return (
-            F.when(F.size(now) == 0, F.struct(state.done.alias("done"), one.alias("open")))
-            .when(opens, F.struct(state.done.alias("done"), F.concat(now, one).alias("open")))
-            .when(F.size(now) == 1, F.struct(close.alias("done"), one.alias("open")))
-            .when(chained, F.struct(close.alias("done"), F.array(last, s).alias("open")))
-            .otherwise(F.struct(F.concat(close, F.array(F.array(last))).alias("done"), one.alias("open")))
-        )
-
-    closed = F.aggregate(sized, start, step, lambda state: F.when(F.size(state.open) > 0, F.concat(state.done, F.array(state.open))).otherwise(state.done))
-
-    def spelled(w):
-        whole = F.array(F.array_join(F.transform(w, lambda s: s.text), " "))
-        cut = lambda long: F.transform(F.sequence(F.lit(0), F.ceil(F.size(long) / ceiling).cast("int") - 1), lambda i: F.array_join(F.slice(long, i * ceiling + 1, ceiling), " "))
-        pieces = let(words(F.element_at(w, 1).text), cut)
-        return F.when((F.size(w) == 1) & (total(w) > ceiling), pieces).otherwise(whole)
-
-    return F.flatten(F.transform(closed, spelled))
+    One fold over the numbers of words of the sentences, with a state of a few numbers and the bounds of the
+    closed windows; the words of a window are never summed twice, and texts are cut out at the end.  A sentence
+    that doesn't fit closes the window; if the window had more than one sentence, the last one opens the next,
+    by itself if the new sentence doesn't fit behind it.  A window of one sentence longer than `ceiling`
+    words is cut into pieces of that many."""
+    bounds = "array<struct<lo:int,hi:int>>"
+    start = F.struct(F.array().cast(bounds).alias("done"), F.lit(1).alias("lo"), F.lit(0).alias("n"), F.lit(0).alias("last"), F.lit(0).alias("at"))
+    one = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def step(state, words):
+        at = state.at + 1  # the new sentence; those before it from lo on are open
+        fits = (state.at == 0) | ((state.n < target) & (state.n + words <= target))
+        single = state.lo == state.at
+        chained = (state.last < target) & (state.last + words <= target)
+        closed = one(state.lo, state.at)
+        done = F.when(fits, state.done).when(single | chained, F.concat(state.done, F.array(closed))).otherwise(F.concat(state.done, F.array(closed, one(state.at, state.at))))
+        lo = F.when(fits, state.lo).when(~single & chained, state.at).otherwise(at)
+        n = F.when(fits, state.n + words).when(~single & chained, state.last + words).otherwise(words)
+        return F.struct(done.alias("done"), lo.alias("lo"), n.alias("n"), words.alias("last"), at.alias("at"))
+
+    def cut(parts):
+        sizes = F.transform(parts, lambda s: F.regexp_count(s, F.lit(r"(?U)\S+")))
+        found = F.aggregate(sizes, start, step, lambda s: F.when(s.at > 0, F.concat(s.done, F.array(one(s.lo, s.at)))).otherwise(s.done))
+
+        def spelled(w):
+            pieces = let(words(F.element_at(parts, w.lo)), lambda long: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(long) / ceiling).cast("int") - 1, F.lit(0))), lambda i: F.array_join(F.slice(long, i * ceiling + 1, ceiling), " ")))
+            long = (w.lo == w.hi) & (F.regexp_count(F.element_at(parts, w.lo), F.lit(r"(?U)\S+")) > ceiling)
+            return F.when(long, pieces).otherwise(F.array(F.array_join(F.slice(parts, w.lo, w.hi - w.lo + 1), " ")))
+
+        return F.flatten(F.transform(found, spelled))
+
+    return let(parts, cut)
 
 
 def first_match(text: Column, patterns: list[str]) -> tuple[Column, Column]:
@@ -146,8 +147,6 @@ def decomposed():
     """A pandas UDF for Unicode's NFKD form, for which Spark has no function."""
     import unicodedata
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkd(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..shared import staged
 from . import postings as ps
 
 #: Similarity from which a match is verified, and from which it is worth a look.
@@ -14,13 +15,16 @@ VERIFIED, REVIEW = 0.80, 0.60
 
 def best_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, terms: str = "terms") -> DataFrame:
     """left_key, right_key, similarity: for each left text the most similar right one (the smaller key
-    of equal ones).  Both hold an array of terms; the vocabulary is that of the right side."""
-    right_counts = ps.term_counts(right, right_key, F.col(terms))
-    vocabulary = ps.vocabulary(right_counts, right.count())
-    w = ps.weighted(right_counts, vocabulary, right_key)
-    q = ps.weighted(ps.term_counts(left, left_key, F.col(terms)), vocabulary, left_key)
-    scored = ps.scores(q, w, left_key, right_key)
-    return scored.groupBy(left_key).agg(F.max_by(F.struct(right_key, F.col("score").alias("similarity")), F.struct(F.col("score"), -F.col(right_key))).alias("b")).select(left_key, "b.*")
+    of equal ones).  Both hold an array of terms; the vocabulary is that of the right side.  A left text that
+    shares no term is as far from all right ones: it has the first of them, with similarity 0."""
+    right_counts = staged(ps.term_counts(right, right_key, F.col(terms), placed=True), "right-counts")
+    vocabulary = staged(ps.vocabulary(right_counts, right.count()), "right-terms")
+    scored = ps.matched(ps.term_counts(left, left_key, F.col(terms)), right_counts, vocabulary, left_key, right_key)
+    # the least of (-score, key) is the best score with the smallest key, whatever the key's type
+    best = scored.groupBy(left_key).agg(F.min(F.struct((-F.col("score")).alias("_s"), right_key)).alias("_b"))
+    first = right.agg(F.min(right_key).alias("_first"))
+    every = left.select(left_key).distinct().join(best, left_key, "left").crossJoin(F.broadcast(first))  # one row
+    return every.where("_first is not null").select(left_key, F.coalesce(f"_b.{right_key}", "_first").alias(right_key), F.coalesce(-F.col("_b._s"), F.lit(0.0)).alias("similarity"))
 
 
 def with_status(matches: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -22,12 +22,19 @@ def _people(visitor: str, where: Column | None = None) -> Column:
 
 def totals(events: DataFrame) -> DataFrame:
     """One row: each event's count and people, all people, and the share of searches that were answered
-    (null without searches).  Blank visitors aren't people but their events count."""
-    n = lambda e: F.count_if(F.col("e") == e)
-    counts = [n(e).alias(e) for e in EVENTS[:7]]
-    people = [_people("v", F.col("e") == e).alias(f"{e}_people") for e in EVENTS[:7]]
-    rate = F.round(F.try_divide(n("answered"), n("search")), 3).alias("answer_rate")
-    return events.agg(*counts, *people, _people("v").alias("people"), rate)
+    (null without searches).  Blank visitors aren't people but their events count.
+
+    Events are counted by visitor and kind first, so that no event is copied for each of the distinct counts;
+    then there is one row a visitor, and all else are plain sums."""
+    kinds = EVENTS[:7]
+    each = events.groupBy("v", "e").agg(F.count("*").alias("n"))
+    of = lambda e: F.sum(F.when(F.col("e") == e, F.col("n")).otherwise(0))
+    visitors = each.groupBy("v").agg(*(of(e).alias(e) for e in kinds))
+    known = F.col("v") != ""
+    counts = [F.coalesce(F.sum(e), F.lit(0)).alias(e) for e in kinds]
+    people = [F.count_if(known & (F.col(e) > 0)).alias(f"{e}_people") for e in kinds]
+    rate = F.round(F.try_divide(F.sum("answered"), F.sum("search")), 3).alias("answer_rate")
+    return visitors.agg(*counts, *people, F.count_if(known).alias("people"), rate)
 
 
 def daily(events: DataFrame, last: int = 0) -> DataFrame:
@@ -41,21 +48,19 @@ def admitted(searches: DataFrame, per_day: int, per_visitor: int) -> DataFrame:
     """Every search with whether both caps let it through, and if not, which one stopped it.
 
     day, visitor, ord.  A visitor's first per_visitor searches of a day are candidates (all of a blank
-    visitor); the first per_day candidates of the day pass.  Days are numbered in pieces of hours, so a
-    day isn't one task: `slot` must ascend with ord within a day."""
+    visitor); the first per_day candidates of the day pass, and from then on the site is full.  The search that
+    fills a day is found among its first per_day candidates, of which tasks keep no more than that before
+    they meet, so a day isn't one task."""
     # a blank visitor has no cap: such rows are kept apart, or all of a day would be one group
     apart = F.when(F.col("visitor") == "", F.col("ord"))
     mine = F.row_number().over(Window.partitionBy("day", "visitor", apart).orderBy("ord"))
-    rows = searches.withColumn("candidate", (F.col("visitor") == "") | (mine <= per_visitor))
-    before = Window.partitionBy("day", "slot").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_here", F.coalesce(F.sum(F.col("candidate").cast("long")).over(before), F.lit(0)))
-    slots = rows.groupBy("day", "slot").agg(F.sum(F.col("candidate").cast("long")).alias("n"))  # some dozens a day
-    earlier = Window.partitionBy("day").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.select("day", "slot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_slots"))
-    rows = rows.join(slots, ["day", "slot"]).withColumn("_used", F.col("_here") + F.col("_slots"))
-    ok = F.col("candidate") & (F.col("_used") < per_day)
-    reason = F.when(~ok, F.when(F.col("_used") >= per_day, "site").otherwise("visitor"))
-    return rows.withColumn("admitted", ok).withColumn("reason", reason).drop("_here", "_slots", "_used", "candidate")
+    rows = searches.withColumn("_candidate", (F.col("visitor") == "") | (mine <= per_visitor))
+    nth = F.row_number().over(Window.partitionBy("day").orderBy("ord"))
+    first = rows.where("_candidate").select("day", "ord").withColumn("_nth", nth).where(F.col("_nth") <= per_day)
+    full = first.where(F.col("_nth") == per_day).select("day", F.col("ord").alias("_last"))
+    rows = rows.join(full, "day", "left").withColumn("_full", F.coalesce(F.col("ord") > F.col("_last"), F.lit(False)))
+    reason = F.when(F.col("_full"), "site").when(~F.col("_candidate"), "visitor")
+    return rows.withColumn("reason", reason).withColumn("admitted", F.col("reason").isNull()).drop("_last", "_full", "_candidate")
 
 
 def usage(decisions: DataFrame, per_day: int) -> DataFrame:
@@ -81,6 +86,29 @@ def pick_votes(picks: DataFrame, question: str, chosen: str, order: str) -> Data
     return votes.groupBy(question).agg(best, F.sum("votes").alias("picks"), F.count("*").alias("choices")).select(question, f"b.{chosen}", "b.votes", "picks", (F.col("choices") > 1).alias("split"))
 
 
+def right_first_time(picks: DataFrame) -> DataFrame:
+    """One row: picks, those at rank 1, and their share (null without picks)."""
+    first = F.count_if(F.col("rank") == 1)
+    return picks.agg(F.count("*").alias("picks"), first.alias("first"), F.round(F.try_divide(first, F.count("*")), 6).alias("share"))
+
+
+def vote_maps(picks: DataFrame, question: str, chosen: str) -> DataFrame:
+    """For each question a map from what was chosen to how often."""
+    votes = picks.groupBy(question, chosen).agg(F.count("*").alias("n"))
+    return votes.groupBy(question).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(chosen, "n")))).alias("votes"))
+
+
+def known_picks(picks: DataFrame, records: DataFrame, chosen: str, key: str) -> DataFrame:
+    """The picks of records that there are."""
+    return picks.join(records.select(F.col(key).alias("_known")), F.col(chosen) == F.col("_known"), "left_semi")
+
+
+def provider_totals(calls: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
+    """For each model its calls, failures (rows with an error), tokens and cost."""
+    costed = cost(calls, prices, model)
+    return costed.groupBy(model).agg(F.count("*").alias("calls"), F.count_if(F.col("error").isNotNull()).alias("failures"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("cost"), 4).alias("cost"))
+
+
 def pick_position(shown: Column, chosen: Column) -> Column:
     """From 1; null if what was chosen wasn't shown."""
     return F.nullif(F.array_position(shown, chosen), F.lit(0))

@@ -44,6 +44,11 @@ def featured(records: DataFrame, ids: list, key: str, spark: SparkSession) -> Da
     return records.join(F.broadcast(wanted), key)
 
 
+def looked_up(records: DataFrame, key: str, value) -> DataFrame:
+    """The record of an id: a filter that reaches the scan."""
+    return records.where(F.col(key) == F.lit(value))
+
+
 def missing_ids(records: DataFrame, ids: list, key: str, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(x,) for x in ids], f"{key} {dict(records.dtypes)[key]}").join(records, key, "left_anti")
 

@@ -61,7 +61,7 @@ def batch_ids(work: DataFrame, key: str) -> DataFrame:
 
 
 def gold_and_sample(records: DataFrame, gold: list, key: str, n: int, seed: int = 7) -> DataFrame:
-    """The gold records and n others, chosen by a seeded hash of the key."""
+    """The gold records and n others, chosen by a seeded digest of the key, which any engine can repeat."""
     is_gold = F.col(key).isin(gold)
-    rest = records.where(~is_gold).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    rest = records.where(~is_gold).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
     return records.where(is_gold).unionByName(rest)

@@ -36,16 +36,19 @@ def complete(scored: DataFrame, queries: DataFrame, items: DataFrame, query_key:
 
 def best_part(scored: DataFrame, query_key: str, key: str, order: str, *carried: str) -> DataFrame:
     """The best part of each document: the greatest score, of equal ones the first part."""
-    return scored.groupBy(query_key, key).agg(F.max_by(F.struct("score", order, *carried), F.struct(F.col("score"), -F.col(order))).alias("_b")).select(query_key, key, "_b.*")
-
-
-def fused(word: DataFrame, vector: DataFrame, char: DataFrame | None, query_key: str, key: str, n_parts: int) -> DataFrame:
-    """Reciprocal rank fusion.  All three hold query_key, key, score and rank; documents must be in the
-    first two; one without a character rank counts as ranked n_parts there."""
-    a = word.select(query_key, key, F.col("score").alias("word_score"), F.col("rank").alias("word_rank"))
-    b = vector.select(query_key, key, F.col("score").alias("vector_score"), F.col("rank").alias("vector_rank"))
-    both = a.join(b, [query_key, key])
-    value = 1.0 / (DAMPING + F.col("word_rank")) + 1.0 / (DAMPING + F.col("vector_rank"))
+    best = F.min(F.struct((-F.col("score")).alias("_s"), order, *carried)).alias("_b")
+    return scored.groupBy(query_key, key).agg(best).select(query_key, key, (-F.col("_b._s")).alias("score"), *(f"_b.{c}" for c in (order, *carried)))
+
+
+def fused(word: DataFrame, vector: DataFrame | None, char: DataFrame | None, query_key: str, key: str, n_parts: int) -> DataFrame:
+    """Reciprocal rank fusion of rankings that hold query_key, key, score and rank.  A document must be in
+    the word ranking, and in that of vectors if there is one; without a character rank it counts as ranked
+    n_parts there."""
+    both = word.select(query_key, key, F.col("score").alias("word_score"), F.col("rank").alias("word_rank"))
+    value = 1.0 / (DAMPING + F.col("word_rank"))
+    if vector is not None:
+        both = both.join(vector.select(query_key, key, F.col("score").alias("vector_score"), F.col("rank").alias("vector_rank")), [query_key, key])
+        value = value + 1.0 / (DAMPING + F.col("vector_rank"))
     if char is not None:
         both = both.join(char.select(query_key, key, F.col("rank").alias("char_rank")), [query_key, key], "left")
         both = both.withColumn("char_rank", F.coalesce("char_rank", F.lit(n_parts)))
@@ -69,6 +72,14 @@ def relevant(candidates: DataFrame, verdicts: DataFrame, query_key: str, k: int
     return candidates.where(F.col("rank") <= k).join(verdicts, [query_key, "rank"]).where(F.coalesce("answers", F.lit(False)))
 
 
+def shown(candidates: DataFrame, verdicts: DataFrame, query_key: str, words: str = "n_words", k: int = 3) -> DataFrame:
+    """What a question shows: the k shortest of the candidates that answer it, or, where the judge couldn't be
+    asked (degraded), the first k as they were found; `place` numbers them."""
+    both = candidates.join(verdicts, [query_key, "rank"]).where(F.col("degraded") | F.coalesce("answers", F.lit(False)))
+    w = Window.partitionBy(query_key).orderBy(F.when(F.col("degraded"), 0).otherwise(F.col(words)), "rank")
+    return both.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k)
+
+
 def shortest_first(candidates: DataFrame, query_key: str, words: str = "n_words", k: int = 3) -> DataFrame:
     """The k shortest texts of a query, ties by rank; `place` numbers them."""
     w = Window.partitionBy(query_key).orderBy(words, "rank")

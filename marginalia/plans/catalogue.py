@@ -23,6 +23,7 @@ from ..operators import postings as ps
 from ..plugins import overlap_scorer
 from ..sources import records as src
 from ..sources import sinks
+from ..shared import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,11 +84,14 @@ def page_split(spark, d):
     return rows.select("page_id", F.col("ord").cast("long").alias("ord"), "target", "body")
 
 
-@query(r"""select event_id, try_cast(regexp_extract(props, '"k": ([0-9]+)', 1) as bigint) as k, true as readable from events""")
+@query(r"""select event_id, case when event_id % 7 <> 0 then try_cast(regexp_extract(props, '"k": ([0-9]+)', 1) as bigint) end as k, event_id % 7 <> 0 as readable from events""")
 def props_parse_tolerant(spark, d):
-    parsed = F.from_json("props", "k long, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = table(spark, d, "events").select("event_id", parsed.alias("p"))
-    return rows.select("event_id", F.col("p.k").alias("k"), F.col("p._corrupt_record").isNull().alias("readable"))
+    """Every seventh line is torn: its last character is missing."""
+    line = F.when(F.col("event_id") % 7 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    parsed = F.from_json(line, "k long, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = table(spark, d, "events").select("event_id", parsed.alias("p"), F.col("props").isNotNull().alias("there"))
+    readable = F.col("p._corrupt_record").isNull() & F.col("there")
+    return rows.select("event_id", F.when(readable, F.col("p.k")).alias("k"), readable.alias("readable"))
 
 
 @query("select conv_id, arg_max(text, turn) as text, max(turn) as turn from conversations where text is not null and trim(text) <> '' group by conv_id")
@@ -206,7 +210,7 @@ def chunk_length_stats(spark, d):
 _QUESTIONS = "asked as (select conv_id as doc_id, list(text order by turn) as q from conversations where role = 'user' and text is not null and trim(text) <> '' group by conv_id)"
 
 
-def questions_of(spark, d) -> DataFrame:
+def asked_of(spark, d) -> DataFrame:
     """Users' turns stand in for generated questions; conversation n belongs to document n."""
     turns = table(spark, d, "conversations").where((F.col("role") == "user") & (F.length(F.trim("text")) > 0))
     grouped = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
@@ -217,13 +221,13 @@ def questions_of(spark, d) -> DataFrame:
   union all select doc_id, 'q' || cast(i - 1 as varchar), q[i], 'question' from asked join (select distinct doc_id from documents) using (doc_id), unnest(range(1, len(q) + 1)) as t(i)""")
 def expansion_union(spark, d):
     docs = table(spark, d, "documents")
-    both = chunks_of(spark, d).unionByName(expand.question_chunks(docs, questions_of(spark, d), "doc_id"))
+    both = chunks_of(spark, d).unionByName(expand.question_chunks(docs, asked_of(spark, d), "doc_id"))
     return both.select("doc_id", "chunk_index", "chunk_text", "chunk_type")
 
 
 @query(f"""with {_QUESTIONS} select count(*) as records, count(q) as covered, cast(coalesce(sum(len(q)), 0) as bigint) as questions, round(count(q) / count(*), 6) as share from documents left join asked using (doc_id)""")
 def coverage(spark, d):
-    return expand.coverage(table(spark, d, "documents"), questions_of(spark, d), "doc_id")
+    return expand.coverage(table(spark, d, "documents"), asked_of(spark, d), "doc_id")
 
 
 # ---- scoring ---------------------------------------------------------------------------------------
@@ -234,34 +238,43 @@ _QPOST = f"qtf as (select item_id, term, count(*) as tf from (select item_id, un
 _SCORE = f"{_POST}, {_QPOST}, score as (select item_id, doc_id, round(sum(p.weight * q.weight), 6) as score from qpost as q join post as p using (term) group by all)"
 
 
+def word_counts_of(spark, d) -> DataFrame:
+    return ps.term_counts(table(spark, d, "documents").select("doc_id", "text"), "doc_id", ascii_terms(), placed=True)
+
+
 def word_index(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    counts = ps.term_counts(docs, "doc_id", ascii_terms())
-    vocabulary = ps.vocabulary(counts, docs.count())
-    return docs, counts, vocabulary
+    """Counts and vocabulary, written: several parts of a plan read them."""
+    counts = staged(word_counts_of(spark, d), "word-counts")
+    return counts, staged(ps.vocabulary(counts, table(spark, d, "documents").count()), "word-terms")
 
 
 def word_scores(spark, d) -> DataFrame:
-    _, counts, vocabulary = word_index(spark, d)
+    counts, vocabulary = word_index(spark, d)
     asked = ps.term_counts(table(spark, d, "benchmark").select("item_id", "text"), "item_id", ascii_terms())
-    q = ps.weighted(asked, vocabulary, "item_id")
-    # only the questions' terms can score, but a document's length is that of all its terms
-    return ps.scores(q, ps.weighted(counts, vocabulary, "doc_id"), "item_id", "doc_id")
+    return ps.matched(asked, counts, vocabulary, "item_id", "doc_id")
+
+
+def char_scores(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    counts = staged(ps.gram_counts(docs, "doc_id", "text"), "gram-counts")
+    vocabulary = staged(ps.vocabulary(counts, docs.count(), min_df=2, max_features=300_000), "gram-terms")
+    asked = ps.gram_counts(table(spark, d, "benchmark").select("item_id", "text"), "item_id", "text")
+    return ps.matched(asked, counts, vocabulary, "item_id", "doc_id", sublinear=True)
 
 
 @query(f"with {_TF} select term, df, cf from df")
 def doc_frequency(spark, d):
-    return ps.document_frequency(word_index(spark, d)[1])
+    return ps.document_frequency(word_counts_of(spark, d))
 
 
 @query(f"with {_TF} select term, round(idf, 6) as idf from idf")
 def idf_table(spark, d):
-    return word_index(spark, d)[2].select("term", F.round("idf", 6).alias("idf"))
+    return ps.vocabulary(word_counts_of(spark, d), table(spark, d, "documents").count()).select("term", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {_POST} select doc_id, term, round(weight, 6) as weight from post")
 def tfidf_postings(spark, d):
-    _, counts, vocabulary = word_index(spark, d)
+    counts, vocabulary = word_index(spark, d)
     return ps.weighted(counts, vocabulary, "doc_id").withColumn("weight", F.round("weight", 6))
 
 
@@ -270,27 +283,33 @@ def tfidf_topk(spark, d):
     return search.top(word_scores(spark, d), "item_id", "doc_id", 3)
 
 
-def _char_sql(name, key, src_table):
+def _char_sql(name, key, src_table, text="text"):
     return rf"""{name} as (select {key}, term, count(*) as tf from (select {key}, unnest(list_concat(
       list_transform(range(1, greatest(length(w) - 2, 0) + 1), lambda i: w[i : i + 2]), list_transform(range(1, greatest(length(w) - 3, 0) + 1), lambda i: w[i : i + 3]), list_transform(range(1, greatest(length(w) - 4, 0) + 1), lambda i: w[i : i + 4]))) as term
-      from (select {key}, ' ' || unnest(regexp_extract_all(lower(text), '\S+')) || ' ' as w from {src_table})) group by all)"""
+      from (select {key}, ' ' || unnest(regexp_extract_all(lower({text}), '\S+')) || ' ' as w from {src_table})) group by all)"""
+
+
+def _index_sql(p: str, tf: str, qtf: str, key: str, qkey: str, src_table: str, weight: str = "tf", kept: str = "") -> str:
+    """CTEs, all names with the prefix p, from term counts of documents and questions to scores."""
+    return f"""{tf}, {p}n as (select count(*) as n from {src_table}), {p}df as (select term, count(*) as df, sum(tf) as cf from {p}tf group by term {kept}),
+  {p}idf as (select term, ln((1 + n) / (1 + df)) + 1 as idf from {p}df, {p}n), {p}raw as (select {key}, term, {weight} * idf as w from {p}tf join {p}idf using (term)), {p}post as (select {key}, term, w / sqrt(sum(w * w) over (partition by {key})) as weight from {p}raw),
+  {qtf}, {p}qraw as (select {qkey}, term, {weight} * idf as w from {p}qtf join {p}idf using (term)), {p}qpost as (select {qkey}, term, w / sqrt(sum(w * w) over (partition by {qkey})) as weight from {p}qraw),
+  {p}score as (select {qkey}, {key}, round(sum(p.weight * q.weight), 6) as score from {p}qpost as q join {p}post as p using (term) group by all)"""
+
+
+_MOST_GRAMS = "having count(*) >= 2 order by cf desc, term limit 300000"
+
 
+def _char_index_sql(p: str) -> str:
+    return _index_sql(p, _char_sql(f"{p}tf", "doc_id", "documents"), _char_sql(f"{p}qtf", "item_id", "benchmark"), "doc_id", "item_id", "documents", "(1 + ln(tf))", _MOST_GRAMS)
 
-_CHAR = f"""{_char_sql("tf", "doc_id", "documents")}, n as (select count(*) as n from documents), df as (select term, count(*) as df, sum(tf) as cf from tf group by term having count(*) >= 2 order by cf desc, term limit 300000),
-  idf as (select term, ln((1 + n) / (1 + df)) + 1 as idf from df, n), raw as (select doc_id, term, (1 + ln(tf)) * idf as w from tf join idf using (term)), post as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as weight from raw),
-  {_char_sql("qtf", "item_id", "benchmark")}, qraw as (select item_id, term, (1 + ln(tf)) * idf as w from qtf join idf using (term)), qpost as (select item_id, term, w / sqrt(sum(w * w) over (partition by item_id)) as weight from qraw),
-  score as (select item_id, doc_id, round(sum(p.weight * q.weight), 6) as score from qpost as q join post as p using (term) group by all)"""
+
+_CHAR = _char_index_sql("")
 
 
 @query(f"with {_CHAR} select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from score) where rank <= 3")
 def char_ngram_topk(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    counts = ps.term_counts(docs, "doc_id", tx.char_grams(F.col("text")))
-    vocabulary = ps.vocabulary(counts, docs.count(), min_df=2, max_features=300_000)
-    asked = ps.term_counts(table(spark, d, "benchmark").select("item_id", "text"), "item_id", tx.char_grams(F.col("text")))
-    q = ps.weighted(asked, vocabulary, "item_id", sublinear=True)
-    scored = ps.scores(q, ps.weighted(counts, vocabulary, "doc_id", sublinear=True), "item_id", "doc_id")
-    return search.top(scored, "item_id", "doc_id", 3)
+    return search.top(char_scores(spark, d), "item_id", "doc_id", 3)
 
 
 _VQ = "select vec_id as query_id, embedding as q, label as query_label from embeddings where vec_id % 100 = 0"
@@ -323,23 +342,23 @@ def best_chunk_per_doc(spark, d):
     return search.best_part(parts, "query_id", "record", "part").select("query_id", "record", "score", "part")
 
 
-_RRF = f"""{_SCORE}, pair as (select item_id, doc_id, coalesce(score, 0) as word_score from (select item_id from benchmark) cross join (select doc_id from documents) left join score using (item_id, doc_id)),
+_RRF = f"""{_SCORE}, {_char_index_sql("c")}, pair as (select item_id, doc_id, coalesce(score, 0) as word_score from (select item_id from benchmark) cross join (select doc_id from documents) left join score using (item_id, doc_id)),
   wr as (select *, row_number() over (partition by item_id order by word_score desc, doc_id) as word_rank from pair),
+  cr as (select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id) as char_rank from cscore),
   vec as (select b.vec_id as item_id, e.vec_id as doc_id, round(list_dot_product(cast(b.embedding as double[]), cast(e.embedding as double[])), 6) as vector_score from embeddings as b join benchmark on b.vec_id = item_id cross join embeddings as e),
   vr as (select *, row_number() over (partition by item_id order by vector_score desc, doc_id) as vector_rank from vec),
-  fused as (select item_id, doc_id, word_score, vector_score, round(1.0 / (60 + word_rank) + 1.0 / (60 + vector_rank) + 0.5 / (60 + (select count(*) from documents)), 8) as score from wr join vr using (item_id, doc_id)),
+  fused as (select item_id, doc_id, word_score, vector_score, round(1.0 / (60 + word_rank) + 1.0 / (60 + vector_rank) + 0.5 / (60 + coalesce(char_rank, (select count(*) from documents))), 8) as score from wr join vr using (item_id, doc_id) left join cr using (item_id, doc_id)),
   rrf as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from fused)"""
 
 
 def fused_answers(spark, d) -> DataFrame:
-    """Word scores of benchmark texts fused with cosines of the vectors of the same numbers; there is no
-    character index here, so all documents count as ranked last there."""
+    """Word and character scores of benchmark texts fused with cosines of the vectors of the same numbers."""
     docs, items = table(spark, d, "documents").select("doc_id"), table(spark, d, "benchmark").select("item_id")
     word = search.ranked(search.complete(word_scores(spark, d), items, docs, "item_id", "doc_id"), "item_id", "doc_id")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     asked = vectors.join(items, vectors.doc_id == items.item_id).select("item_id", "vector")
     vector = search.ranked(ps.vector_scores(asked, vectors, "item_id", "doc_id"), "item_id", "doc_id")
-    char = word.where("false")
+    char = search.ranked(char_scores(spark, d), "item_id", "doc_id")
     return search.ranked(search.fused(word, vector, char, "item_id", "doc_id", docs.count()), "item_id", "doc_id")
 
 
@@ -476,10 +495,9 @@ def verdict_json_parse(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.transform(parsed, lambda v: v.answers).alias("answers"))
 
 
-@query("select conv_id, turn, [text || '?', 'b?'] as questions from conversations where not contains(text, chr(10)) and not contains(text, '\"') and not contains(text, '\\')")
+@query("select conv_id, turn, [trim(text) || '?', 'b?'] as questions from conversations")
 def question_list_parse(spark, d):
-    turns = table(spark, d, "conversations").where(~F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit('"')) & ~F.contains("text", F.lit("\\")))
-    return questions_of(turns)
+    return questions_of(table(spark, d, "conversations"))
 
 
 def questions_of(turns: DataFrame) -> DataFrame:
@@ -595,14 +613,14 @@ def event_recent_days(spark, d):
     return analytics.daily(usage_events(spark, d), last=14)
 
 
-_CAP = f"""{_EV}, s as (select d as day, v as visitor, event_id as ord, v = '' or row_number() over (partition by d, v order by event_id) <= 3 as cand from ev where e = 'search'),
+_CAP = f"""{_EV}, s as (select d as day, v as visitor, event_id as ord, v = '' or row_number() over (partition by d, v order by event_id) <= 1 as cand from ev where e = 'search'),
   u as (select *, coalesce(sum(cast(cand as int)) over (partition by day order by ord rows between unbounded preceding and 1 preceding), 0) as used from s),
   decided as (select day, visitor, ord, cand and used < 40 as admitted, case when cand and used < 40 then null when used >= 40 then 'site' else 'visitor' end as reason from u)"""
 
 
 def decisions(spark, d) -> DataFrame:
-    searches = usage_events(spark, d).where("e = 'search'").select(F.col("d").alias("day"), F.col("v").alias("visitor"), F.col("event_id").alias("ord"), F.hour("ts").alias("slot"))
-    return analytics.admitted(searches, per_day=40, per_visitor=3)
+    searches = usage_events(spark, d).where("e = 'search'").select(F.col("d").alias("day"), F.col("v").alias("visitor"), F.col("event_id").alias("ord"))
+    return analytics.admitted(searches, per_day=40, per_visitor=1)
 
 
 @query(f"with {_CAP} select day, visitor, ord, admitted, reason from decided")
@@ -627,10 +645,12 @@ def pick_agreement(spark, d):
     return analytics.pick_votes(picks, "question", "chosen", "ord")
 
 
-@query("""with vote as (select l_partkey as question, l_suppkey as chosen, count(*) as votes from lineitem group by all), agreed as (select question, min(chosen) as chosen, max(votes) as votes from vote group by question having count(*) = 1)
+@query("""with vote as (select l_orderkey as question, l_returnflag as chosen, count(*) as votes from lineitem group by all), agreed as (select question, min(chosen) as chosen, max(votes) as votes from vote group by question having count(*) = 1)
   select row_number() over (order by votes desc, question) as place, question, chosen, '{"query": "' || cast(question as varchar) || '", "expected_ids": ["' || cast(chosen as varchar) || '"], "expect": "pass"}' as line from agreed order by votes desc, question limit 20""")
 def candidate_cases(spark, d):
-    return evaluate.candidate_cases(pick_agreement(spark, d), "question", "chosen", 20)
+    """Flags stand in for what was chosen: many an order has the same on all lines, so people agree on it."""
+    picks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("question"), F.col("l_returnflag").alias("chosen"), F.col("l_linenumber").alias("ord"))
+    return evaluate.candidate_cases(analytics.pick_votes(picks, "question", "chosen", "ord"), "question", "chosen", 20)
 
 
 @query("select l_orderkey, l_linenumber, list_position([l_partkey % 5, l_partkey % 7, l_suppkey % 3], l_linenumber) as position from lineitem")
@@ -723,15 +743,15 @@ def manifest_digests(spark, d):
 
 
 _ROW = "sha256(cast(item_id as varchar) || '|' || coalesce(text, ''))"
-_XOR = " || '|' || ".join(f"cast(bit_xor(cast('0x' || {_ROW}[{1 + 15 * i}:{15 + 15 * i}] as bigint)) as varchar)" for i in range(4))
+_SUMS = lambda row: " || '|' || ".join(f"cast(coalesce(sum(cast('0x' || {row}[{1 + 15 * i}:{15 + 15 * i}] as bigint)), 0) as varchar)" for i in range(4))
 
 
-@query(f"select sha256('model|' || cast(count(*) as varchar) || '|' || {_XOR})[1:16] as key, count(*) as n from benchmark")
+@query(f"select sha256('model|' || cast(count(*) as varchar) || '|' || {_SUMS(_ROW)})[1:16] as key, count(*) as n from benchmark")
 def cache_key(spark, d):
     return src.content_key(table(spark, d, "benchmark"), "model", "text", "item_id")
 
 
-@query()
+@query("""with rest as (select doc_id, lang from documents where doc_id not in (1, 5, 9) order by md5(cast(doc_id as varchar) || '|7'), doc_id limit 50) select doc_id, lang from documents where doc_id in (1, 5, 9) union all select * from rest""")
 def gold_plus_sample(spark, d):
     return expand.gold_and_sample(table(spark, d, "documents").select("doc_id", "lang"), [1, 5, 9], "doc_id", 50)
 
@@ -758,4 +778,16 @@ def stream_cap(spark, d):
     from ..streaming import capped_once
 
     searches = _event_source(spark, d).where("e = 'search'").select(F.col("d").alias("day"), F.col("v").alias("visitor"), F.col("event_id").alias("ord"))
-    return capped_once(searches, per_visitor=3)
+    return capped_once(searches, per_visitor=3).drop("reason")
+
+
+_OPEN_CAP = _CAP.replace("case when user_id % 10 = 0 then '' else cast(user_id as varchar) end as v", "cast(user_id as varchar) as v")
+
+
+@query(f"with {_OPEN_CAP} select day, visitor, ord, admitted, reason from decided")
+def stream_caps(spark, d):
+    """Both caps, the visitor's and the site's, over the stream."""
+    from ..streaming import capped_once
+
+    searches = _event_source(spark, d).where("e = 'search'").select(F.col("d").alias("day"), F.col("v").alias("visitor"), F.col("event_id").alias("ord"))
+    return capped_once(searches, per_visitor=1, per_day=40)

@@ -16,6 +16,7 @@ from ..functions import rules
 from ..functions import text as tx
 from ..operators import expand, search
 from ..operators import postings as ps
+from ..shared import staged
 
 #: An encoder turns a DataFrame with a column `text` into one with a column `vector` of unit length.
 Encoder = Callable[[DataFrame], DataFrame]
@@ -30,6 +31,8 @@ class Options:
     k: int = 3
     gate: float = search.GATE
     token_pattern: str = tx.WORD_TOKENS
+    most_grams: int = 300_000
+    notes: rules.NoteRules = rules.NoteRules()
 
 
 @dataclass
@@ -41,54 +44,63 @@ class Index:
     character_terms: DataFrame | None
     vectors: DataFrame | None
     n_chunks: int
+    stop_words: tuple[str, ...] = ()
 
 
-def build(records: DataFrame, key: str = "id", questions: DataFrame | None = None, encoder: Encoder | None = None, options: Options = Options(), stop_words: list[str] = ()) -> Index:
+def build(records: DataFrame, key: str = "id", questions: DataFrame | None = None, encoder: Encoder | None = None, options: Options = Options(), stop_words: list[str] = (), order: str | None = None) -> Index:
     """Notes are left out, texts are cut in windows, questions are added, and all chunks are indexed.
-    chunk_no orders the chunks; ties of scores follow it."""
-    kept = records.where(~rules.is_note(F.col("text"))) if options.exclude_notes else records
+    chunk_no numbers the chunks, those of texts first, by `order` (a unique column of records, the key if it
+    isn't given) and place in the record: ties of scores follow it.  All tables are written."""
+    order = order or key
+    kept = records.where(~rules.is_note(F.col("text"), options.notes)) if options.exclude_notes else records
     chunks = expand.text_chunks(kept, key, options.target_words)
     if questions is not None:
         chunks = chunks.unionByName(expand.question_chunks(kept, questions, key))
-    chunks = chunks.withColumn("chunk_no", F.xxhash64(F.col(key), F.col("chunk_index"))).persist()
-    terms = tx.tokens(F.col("chunk_text"), options.token_pattern)
-    if stop_words:
-        terms = F.filter(terms, lambda t: ~t.isin(*stop_words))
+    if order != key:
+        chunks = chunks.join(kept.select(key, order), key)
+    place = [F.col("chunk_type") == "question", F.col(order), F.col("ord")]
+    n_parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks.repartitionByRange(n_parts, *place).sortWithinPartitions(*place).withColumn("chunk_no", F.monotonically_increasing_id())
+    chunks = staged(chunks, "chunks")
     n = chunks.count()
-    counts = ps.term_counts(chunks, "chunk_no", terms)
-    word_terms = ps.vocabulary(counts, n)
-    words = ps.weighted(counts, word_terms, "chunk_no")
+    texts = chunks.select("chunk_no", F.col("chunk_text").alias("text"))
+    words = staged(ps.term_counts(texts, "chunk_no", _terms(F.col("text"), options, stop_words), placed=True), "words")
+    word_terms = staged(ps.vocabulary(words, n), "word-terms")
     characters = character_terms = None
     if options.use_characters:
-        grams = ps.term_counts(chunks, "chunk_no", tx.char_grams(F.col("chunk_text")))
-        character_terms = ps.vocabulary(grams, n, min_df=2, max_features=300_000)
-        characters = ps.weighted(grams, character_terms, "chunk_no", sublinear=True)
-    vectors = encoder(chunks.select("chunk_no", F.col("chunk_text").alias("text"))).select("chunk_no", "vector") if encoder else None
-    return Index(chunks, words, word_terms, characters, character_terms, vectors, n)
+        characters = staged(ps.gram_counts(texts, "chunk_no", "text"), "characters")
+        character_terms = staged(ps.vocabulary(characters, n, min_df=2, max_features=options.most_grams), "character-terms")
+    vectors = staged(encoder(texts).select("chunk_no", "vector"), "vectors") if encoder else None
+    return Index(chunks, words, word_terms, characters, character_terms, vectors, n, tuple(stop_words))
 
 
-def answers(index: Index, questions: DataFrame, key: str = "id", encoder: Encoder | None = None, options: Options = Options()) -> DataFrame:
+def _terms(text, options: Options, stop_words):
+    terms = tx.tokens(text, options.token_pattern)
+    return F.filter(terms, lambda t: ~t.isin(*stop_words)) if stop_words else terms
+
+
+def answers(index: Index, questions: DataFrame, key: str = "id", encoder: Encoder | None = None, options: Options = Options(), order: str | None = None) -> DataFrame:
     """question_id, record, rank, score and the scores behind it for a batch of questions
-    (question_id, text): each list of chunks is collapsed to records, ranked and fused."""
-    parts = index.chunks.select("chunk_no", key, "chunk_text")
+    (question_id, text): each list of chunks is collapsed to records, ranked and fused.  Without vectors the
+    words and characters are fused alone, and `confident` is null: nothing was measured that tells."""
+    order = order or key
+    parts = index.chunks.select("chunk_no", key, *([order] if order != key else []), "chunk_text")
 
     def ranking(scored: DataFrame) -> DataFrame:
         full = search.complete(scored, questions, parts, "question_id", "chunk_no").join(parts, "chunk_no")
-        best = search.best_part(full, "question_id", key, "chunk_no", "chunk_text")
-        return search.ranked(best, "question_id", key)
+        best = search.best_part(full, "question_id", key, "chunk_no", "chunk_text", *([order] if order != key else []))
+        return staged(search.ranked(best, "question_id", order), "ranking")
 
-    terms = tx.tokens(F.col("text"), options.token_pattern)
-    q = ps.weighted(ps.term_counts(questions, "question_id", terms), index.word_terms, "question_id")
-    word = ranking(ps.scores(q, index.words, "question_id", "chunk_no"))
+    asked = ps.term_counts(questions, "question_id", _terms(F.col("text"), options, index.stop_words))
+    word = ranking(ps.matched(asked, index.words, index.word_terms, "question_id", "chunk_no"))
     char = None
-    if index.characters is not None:
-        q = ps.weighted(ps.term_counts(questions, "question_id", tx.char_grams(F.col("text"))), index.character_terms, "question_id", sublinear=True)
-        char = ranking(ps.scores(q, index.characters, "question_id", "chunk_no"))
+    if index.characters is not None and options.use_characters:
+        char = ranking(ps.matched(ps.gram_counts(questions, "question_id", "text"), index.characters, index.character_terms, "question_id", "chunk_no", sublinear=True))
+    vector = None
     if index.vectors is not None and encoder is not None:
         vector = ranking(ps.vector_scores(encoder(questions), index.vectors, "question_id", "chunk_no"))
-    else:
-        vector = word
     fused = search.fused(word, vector, char, "question_id", key, index.n_chunks)
-    text = vector.select("question_id", key, "chunk_text")
-    best = search.top(fused, "question_id", key, options.pool)
-    return best.join(text, ["question_id", key]).withColumn("confident", search.confident(F.col("vector_score"), options.gate))
+    shown = (vector if vector is not None else word).select("question_id", key, "chunk_text", *([order] if order != key else []))
+    best = search.top(fused.join(shown, ["question_id", key]), "question_id", order, options.pool)
+    confident = search.confident(F.col("vector_score"), options.gate) if vector is not None else F.lit(None).cast("boolean")
+    return best.withColumn("confident", confident)

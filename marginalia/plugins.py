@@ -9,9 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions import rules
 from .functions import text as tx
 
 REFUSAL = "I couldn't find a passage that answers this."
+#: Characters of a text that go into a prompt: for a judge, and for a generator of questions.
+JUDGED_CHARS, READ_CHARS = 700, 4000
+
+
+class Unavailable(Exception):
+    """A model couldn't be asked: that isn't the answer no."""
 
 
 def hashed_encoder(size: int = 64, column: str = "text") -> Callable[[DataFrame], DataFrame]:
@@ -27,6 +34,18 @@ def hashed_encoder(size: int = 64, column: str = "text") -> Callable[[DataFrame]
     return encode
 
 
+def letter_encoder(column: str = "text") -> Callable[[DataFrame], DataFrame]:
+    """An encoder for tests that any engine can repeat: how often each letter from a to z occurs, of unit length."""
+
+    def encode(df: DataFrame) -> DataFrame:
+        low = F.lower(F.coalesce(F.col(column), F.lit("")))
+        counts = F.array(*((F.length(low) - F.length(F.replace(low, F.lit(chr(97 + i)), F.lit("")))).cast("double") for i in range(26)))
+        norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return df.withColumn("vector", tx.let(counts, lambda v: tx.let(norm(v), lambda n: F.transform(v, lambda x: x / F.when(n > 0, n).otherwise(1.0)))))
+
+    return encode
+
+
 def overlap_scorer(query: Column, text: Column) -> Column:
     """A reranker's score: the share of the query's words that the text has."""
     q = F.array_distinct(tx.tokens(query, tx.ASCII_TOKENS))
@@ -35,7 +54,7 @@ def overlap_scorer(query: Column, text: Column) -> Column:
 
 def generated(records: DataFrame, complete: Callable[[str], str], prompt: Column, key: str) -> DataFrame:
     """key, raw, error for each record: `complete` is called once a record, many at a time over the
-    partitions.  What is done is written by the caller and left out of the next run (expand.pending)."""
+    partitions.  generated_to writes what is done and leaves it out of the next run."""
 
     def call(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
@@ -51,12 +70,70 @@ def generated(records: DataFrame, complete: Callable[[str], str], prompt: Column
     return records.select(key, prompt.alias("prompt")).mapInPandas(call, f"{key} {kind}, raw string, error string")
 
 
+def generated_to(folder: str, records: DataFrame, complete: Callable[[str], str], prompt: Column, key: str) -> DataFrame:
+    """Runs `complete` for the records that have no result in folder, appends what comes of it, errors
+    included, and returns all good results (key, raw).  A run that is broken off, or has errors, is taken up
+    again by the next."""
+    spark, kind = records.sparkSession, dict(records.dtypes)[key]
+    schema = f"`{key}` {kind}, raw string, error string"
+    spark.createDataFrame([], schema).write.mode("append").parquet(folder)
+    done = spark.read.schema(schema).parquet(folder).where("error is null").select(key)
+    generated(records.join(done, key, "left_anti"), complete, prompt, key).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder).where("error is null").select(key, "raw")
+
+
+def question_prompt(collection: Column, book: Column, text: Column, n: int = 6) -> Column:
+    """What a generator is asked about a record."""
+    return F.concat(F.lit(f"Write {n} questions that this text answers, as a JSON array of strings.\n\n("), F.coalesce(collection, F.lit("?")), F.lit(", "), F.coalesce(book, F.lit("?")), F.lit(")\n"), F.substring(tx.collapsed(text), 1, READ_CHARS))
+
+
+def judge_prompts(candidates: DataFrame, question_key: str, question: str, text: str = "text", k: int = 10) -> DataFrame:
+    """question_key, prompt and n for the first k candidates of each question, in their order."""
+    block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.substring(tx.collapsed(F.col(text)), 1, JUDGED_CHARS))
+    lines = F.array_sort(F.collect_list(F.struct("rank", block.alias("line"))))
+    found = candidates.where(F.col("rank") <= k).groupBy(question_key).agg(F.first(question).alias("_q"), lines.alias("_l"))
+    ask = F.concat(F.lit("Which of the passages answer the question? Return a JSON array with n, answers and why for each.\n\nQuestion: "), F.col("_q"), F.lit("\n\n"), F.array_join(F.transform("_l", lambda x: x.line), "\n\n"))
+    return found.select(question_key, ask.alias("prompt"), F.size("_l").alias("n"))
+
+
+def judged(candidates: DataFrame, question_key: str, question: str, complete: Callable[[str, int], tuple[str | None, dict]], text: str = "text", k: int = 10) -> DataFrame:
+    """question_key, rank, answers, why and degraded for the first k candidates of each question.
+
+    complete(prompt, max_tokens) returns a reply and its usage.  No reply is a refusal: nothing answers.  Where it
+    raises, or the reply can't be read, `degraded` is true and answers null: nobody looked."""
+
+    def call(prompt: str) -> str | None:
+        reply, _ = complete(prompt, 600)
+        return "refused" if reply is None else reply
+
+    asked = judge_prompts(candidates, question_key, question, text, k)
+    replies = generated(asked, call, F.col("prompt"), question_key).join(asked.select(question_key, "n"), question_key)
+    verdicts = rules.parsed_verdicts(F.col("raw"), F.col("n"))
+    refused = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(F.lit(False).alias("answers"), F.lit("refused").alias("why")))
+    unread = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(F.lit(None).cast("boolean").alias("answers"), F.lit(None).cast("string").alias("why")))
+    read = replies.withColumn("v", F.when(F.col("raw") == "refused", refused).otherwise(verdicts))
+    rows = read.withColumn("degraded", F.col("v").isNull()).withColumn("v", F.coalesce("v", unread))
+    return rows.select(question_key, "degraded", F.posexplode("v").alias("at", "v")).select(question_key, (F.col("at") + 1).cast("long").alias("rank"), "v.answers", "v.why", "degraded")
+
+
+def overlap_judge(prompt: str, max_tokens: int) -> tuple[str, dict]:
+    """A judge for tests: a passage answers if it has half of the question's words."""
+    import json
+    import re
+
+    words = lambda t: set(re.findall("[a-z0-9]{2,}", t.lower()))
+    asked, *blocks = re.split(r"\n\n(?=\[[0-9]+\] )", prompt.split("Question: ", 1)[1])
+    mine = words(asked)
+    verdicts = [{"n": i, "answers": 2 * len(mine & words(b.split("] ", 1)[1])) >= len(mine), "why": "words"} for i, b in enumerate(blocks, 1)]
+    return json.dumps(verdicts), {"tokens_in": len(prompt) // 4, "tokens_out": 10 * len(blocks)}
+
+
 def answer_prompts(candidates: DataFrame, question_key: str, question: str, text: str = "chunk_text", citation: str = "citation") -> DataFrame:
     """question_key, prompt, citations: confident candidates alone reach the prompt; a question without
     any has the refusal and no prompt."""
     good = F.col("confident")
     lines = F.array_sort(F.collect_list(F.when(good, F.struct("rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col(text)).alias("line"), F.col(citation).alias("cite")))))
-    found = candidates.groupBy(question_key).agg(F.first(question).alias("q"), lines.alias("l"))
-    prompt = F.concat(F.lit("Answer from the passages alone.\n\n"), F.array_join(F.transform("l", lambda x: x.line), "\n"), F.lit("\n\nQuestion: "), F.col("q"))
-    has = F.size("l") > 0
-    return found.select(question_key, F.when(has, prompt).alias("prompt"), F.transform("l", lambda x: x.cite).alias("citations"), F.when(~has, F.lit(REFUSAL)).alias("refusal"))
+    found = candidates.groupBy(question_key).agg(F.first(question).alias("_q"), lines.alias("_l"))
+    prompt = F.concat(F.lit("Answer from the passages alone.\n\n"), F.array_join(F.transform("_l", lambda x: x.line), "\n"), F.lit("\n\nQuestion: "), F.col("_q"))
+    has = F.size("_l") > 0
+    return found.select(question_key, F.when(has, prompt).alias("prompt"), F.transform("_l", lambda x: x.cite).alias("citations"), F.when(~has, F.lit(REFUSAL)).alias("refusal"))

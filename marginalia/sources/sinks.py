@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .records import digest_sums
+
 
 def write_corpus(records: DataFrame, path: str, form: str = "parquet") -> None:
     records.write.mode("overwrite").format(form).save(path)
 
 
 def write_verified(records: DataFrame, matches: DataFrame, stats: DataFrame, folder: str) -> None:
-    """The verified corpus and the report of the cross-check, from one computation of the matches."""
+    """The verified corpus and the report of the cross-check.  matches should be a written table, as
+    plans.build.cross_checked gives it: then all three come from one computation of it."""
     records.write.mode("overwrite").parquet(f"{folder}/records")
     matches.write.mode("overwrite").parquet(f"{folder}/matches")
     stats.write.mode("overwrite").json(f"{folder}/stats")
@@ -22,11 +25,10 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def table_digest(rows: DataFrame, *columns: str) -> DataFrame:
-    """rows, bytes and a digest of a table that doesn't depend on the order of its rows: the exclusive
-    or of row digests, so it is a partial aggregate in every task."""
+    """rows, bytes and a digest of a table that doesn't depend on the order of its rows: sums over the digests
+    of rows, which are partial aggregates in every task."""
     row = F.to_json(F.struct(*(columns or sorted(rows.columns))))
-    halves = [F.bit_xor(F.conv(F.substring(F.sha2(row, 256), 1 + 15 * i, 15), 16, 10).cast("long")) for i in range(4)]
-    return rows.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.octet_length(row)), F.lit(0)).alias("n_bytes"), F.concat_ws("-", *(F.hex(F.coalesce(h, F.lit(0))) for h in halves)).alias("digest"))
+    return rows.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.octet_length(row)), F.lit(0)).alias("n_bytes"), F.sha2(F.concat_ws("-", *digest_sums(F.sha2(row, 256))), 256).alias("digest"))
 
 
 def manifest(spark: SparkSession, model: str, tables: dict[str, DataFrame]) -> DataFrame:
@@ -39,11 +41,23 @@ def manifest(spark: SparkSession, model: str, tables: dict[str, DataFrame]) -> D
 
 
 def check_manifest(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """The names whose table is missing or differs."""
-    both = expected.select("name", F.col("digest").alias("expected")).join(found.select("name", F.col("digest").alias("found")), "name", "left")
+    """The names whose table is missing or differs in rows, bytes or digest."""
+    kept = ("n_rows", "n_bytes", "digest")
+    both = expected.select("name", F.struct(*kept).alias("expected")).join(found.select("name", F.struct(*kept).alias("found")), "name", "left")
     return both.where(~F.col("expected").eqNullSafe(F.col("found")))
 
 
+def storage_status(table: DataFrame, pending: DataFrame, saved: str, durable: bool = True, error: str | None = None) -> DataFrame:
+    """One row on a stored log: durable, rows, pending (not yet stored), the last time it was saved, error."""
+    counts = table.agg(F.count("*").alias("rows"), F.max(saved).alias("last_save")).crossJoin(pending.agg(F.count("*").alias("pending")))  # one row each
+    return counts.select(F.lit(durable).alias("durable"), "rows", "pending", "last_save", F.lit(error).cast("string").alias("error"))
+
+
+def storage_summary(status: DataFrame) -> DataFrame:
+    """What of a status is shown to the public: healthy (durable and without error), rows, pending, last_save."""
+    return status.select((F.col("durable") & F.col("error").isNull()).alias("healthy"), "rows", "pending", "last_save")
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, n_bytes and SHA-256 of files."""
     files = spark.read.format("binaryFile").load(path)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.analytics import accepted
+from ..shared import new_folder, staged
 
 LOG = "d date, e string, v string"
 
@@ -41,20 +39,10 @@ def daily_counts(events: DataFrame, day: str = "d", event: str = "e", late: str
     return windows.select(F.to_date("window.start").alias(day), event, "n")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, which the driver and all executors share; only in a local
-    session without one it is a temporary folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def capped_to(searches: DataFrame, folder: str, per_visitor: int, day: str = "day", visitor: str = "visitor", order: str = "ord"):
-    """Searches of a stream with whether the visitor's daily cap lets them through, written to
-    folder/admitted; visitors without a name have no cap.
+def capped_to(searches: DataFrame, folder: str, per_visitor: int, day: str = "day", visitor: str = "visitor", order: str = "ord", per_day: int | None = None):
+    """Searches of a stream with whether the visitor's daily cap, and that of the site if it is given, let them
+    through, and if not which one stopped them, written to folder/admitted; visitors without a name have no cap
+    of their own, and only searches that the visitor's cap lets through count for the site's.
 
     A micro-batch is ranked by Spark's own sort, after the number of searches of that day and visitor in
     the batches before; these numbers are all that is kept.  Batches are written under their own number,
@@ -63,6 +51,8 @@ def capped_to(searches: DataFrame, folder: str, per_visitor: int, day: str = "da
     counts, key = f"{folder}/counts", [day, visitor]
     schema = f"`{day}` {kinds[day]}, `{visitor}` {kinds[visitor]}, _n long"
     searches.sparkSession.createDataFrame([], schema).write.mode("ignore").parquet(f"{counts}/batch=-1")
+    days = f"`{day}` {kinds[day]}, _n long"
+    searches.sparkSession.createDataFrame([], days).write.mode("ignore").parquet(f"{folder}/days/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -75,19 +65,38 @@ def capped_to(searches: DataFrame, folder: str, per_visitor: int, day: str = "da
         ranked = ranked.join(before, F.col(day).eqNullSafe(F.col("_day")) & F.col(visitor).eqNullSafe(F.col("_visitor")), "left")
         admitted = ranked.select(*key, order, (F.col("_place") + F.coalesce("_before", F.lit(0)) <= per_visitor).alias("admitted"))
         admitted = admitted.unionByName(rows.where(~named).withColumn("admitted", F.lit(True)))
+        admitted = of_the_site(spark, admitted, number) if per_day is not None else admitted.withColumn("reason", F.when(~F.col("admitted"), "visitor"))
         admitted.write.mode("overwrite").parquet(f"{folder}/admitted/batch={number:010d}")
         rows.where(named).groupBy(*key).agg(F.count("*").alias("_n")).write.mode("overwrite").parquet(f"{counts}/batch={number:010d}")
 
+    def of_the_site(spark: SparkSession, rows: DataFrame, number: int) -> DataFrame:
+        # the search that fills a day is found among its first ones: tasks keep no more of a day than that
+        rows = staged(rows, "candidates")
+        used = spark.read.schema(f"{days}, batch long").parquet(f"{folder}/days").where(F.col("batch") < number)
+        used = used.groupBy(F.col(day).alias("_day")).agg(F.sum("_n").alias("_used"))
+        first = rows.where("admitted").withColumn("_nth", F.row_number().over(Window.partitionBy(day).orderBy(order))).where(F.col("_nth") <= per_day)
+        first = first.join(used, F.col(day).eqNullSafe(F.col("_day")), "left").withColumn("_left", F.greatest(F.lit(0), per_day - F.coalesce("_used", F.lit(0))))
+        fills = staged(first.where("_nth <= _left").groupBy(day).agg(F.max(order).alias("_last"), F.count("*").alias("_n"), F.max("_left").alias("_left")), "days")
+        fills.select(day, "_n").write.mode("overwrite").parquet(f"{folder}/days/batch={number:010d}")
+        # a day is full from the search on that used up what was left of it
+        end = fills.select(F.col(day).alias("_day"), "_last", (F.col("_n") >= F.col("_left")).alias("_fills"))
+        end = end.join(used.select(F.col("_day").alias("_other"), "_used"), F.col("_day").eqNullSafe(F.col("_other")), "full")
+        end = end.select(F.coalesce("_day", "_other").alias("_day"), "_last", "_fills", (F.coalesce("_used", F.lit(0)) >= per_day).alias("_full"))
+        both = rows.join(end, F.col(day).eqNullSafe(F.col("_day")), "left")
+        site = F.coalesce(F.col("_full"), F.lit(False)) | F.coalesce(F.col("_fills") & (F.col(order) > F.col("_last")), F.lit(False))
+        reason = F.when(site, "site").when(~F.col("admitted"), "visitor")
+        return both.withColumn("reason", reason).withColumn("admitted", F.col("admitted") & ~site).select(*key, order, "admitted", "reason")
+
     return searches.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
 
 
-def capped_once(searches: DataFrame, per_visitor: int, day: str = "day", visitor: str = "visitor", order: str = "ord") -> DataFrame:
+def capped_once(searches: DataFrame, per_visitor: int, day: str = "day", visitor: str = "visitor", order: str = "ord", per_day: int | None = None) -> DataFrame:
     """capped_to for all that is there, and a read of what it wrote."""
     spark = searches.sparkSession
     folder = new_folder(spark, "capped")
-    capped_to(searches, folder, per_visitor, day, visitor, order).trigger(availableNow=True).start().awaitTermination()
+    capped_to(searches, folder, per_visitor, day, visitor, order, per_day).trigger(availableNow=True).start().awaitTermination()
     kinds = dict(searches.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (day, visitor, order)) + ", admitted boolean"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (day, visitor, order)) + ", admitted boolean, reason string"
     spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/admitted/batch=-1")
     return spark.read.schema(schema).parquet(f"{folder}/admitted").drop("batch")
 
