@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 #: Bytes hashed in one go; longer inputs are cut between words.
 PIECE_BYTES = 1 << 20
 #: Bytes of text turned into word arrays at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
