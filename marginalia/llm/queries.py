@@ -31,7 +31,7 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 16,384 tokens."""
-    counted = token_counts(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    counted = token_counts(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), frequent=0)
     return packed(counted, buckets=16, budget=16_384, granule=8, length=F.col("n_tokens"))
 
 
