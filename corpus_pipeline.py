@@ -45,7 +45,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A place in a batch of 16,384 tokens for every document."""
-    counted = token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    counted = token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), frequent=0)
     return packed(counted, buckets=16, budget=16_384, granule=8, length=F.col("n_tokens"))
 
 
