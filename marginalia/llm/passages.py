@@ -119,16 +119,32 @@ def form_digests(docs: DataFrame, least: int) -> DataFrame:
     return named.mapInArrow(find, "doc_id long, first int, digest binary")
 
 
+#: A digest is hot with more occurrences than LEAST_HOT and a thousandth of all that occur twice: there are no
+#: more than a thousand.  Its rows are dealt out to SALTS keys.
+LEAST_HOT, SALTS = 10_000, 256
+
+
 def repeated_forms(docs: DataFrame, least: int = 6) -> DataFrame:
     """doc_id, first (unit) and digest of every form that has an earlier occurrence.
 
     Digests are counted in the tasks that make them before they are shuffled.  Only those that occur
-    twice are written, and the forms are made a second time to meet them: what the join shuffles on its
-    large side are rows that it can split, so a digest of a third of all forms isn't one task."""
+    twice are written, and the forms are made a second time to meet them.  Rows of hot digests meet copies of
+    their one row under several keys, so a digest of a third of all forms isn't one task."""
     hashed = form_digests(docs, least)
     first = hashed.groupBy("digest").agg(F.min(F.struct("doc_id", "first")).alias("earliest"), F.count("*").alias("n"))
-    first = common.staged(first.where("n > 1").select("digest", "earliest"), "forms")
-    again = hashed.join(first, "digest").where("doc_id <> earliest.doc_id or first <> earliest.first")
+    first = common.staged(first.where("n > 1"), "forms")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    hot = first.where(F.col("n") > max(LEAST_HOT, total // 1000)).select("digest", F.lit(True).alias("hot"))
+    first = first.select("digest", "earliest")
+    keys = ["digest"]
+    if not hot.isEmpty():
+        keys.append("salt")
+        few = F.broadcast(hot)
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+        hashed = hashed.join(few, "digest", "left").withColumn("salt", salt).drop("hot")
+        salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        first = first.join(few, "digest", "left").withColumn("salt", F.explode(salts).cast("long")).drop("hot")
+    again = hashed.join(first, keys).where("doc_id <> earliest.doc_id or first <> earliest.first")
     return again.select("doc_id", "first", "digest").distinct()
 
 
