@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import few
+
 
 def case_results(cases: DataFrame, answers: DataFrame, key: str, k: int = 3) -> DataFrame:
     """ok for each case (key, expected array, expect, reject): one of the first k answers (key, rank,
@@ -24,9 +26,19 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
-def recall_at(answers: DataFrame, key: str, relevant: str, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
+def first_relevant(scored: DataFrame, key: str, order: str, relevant: str) -> DataFrame:
+    """key and first, the rank of the best relevant answer by falling score and `order` (null without one).
+
+    Nothing is ranked: the best relevant answer of each query is a minimum, and its rank the number of answers
+    that come no later, which tasks count before they meet."""
+    place = F.struct((-F.col("score")).alias("s"), F.col(order).alias("o"))
+    best = scored.where(F.col(relevant)).groupBy(key).agg(F.min(place).alias("_best"))
+    placed = scored.join(F.broadcast(best) if few(best) else best, key, "left")
+    return placed.groupBy(key).agg(F.nullif(F.count_if(place <= F.col("_best")), F.lit(0)).alias("first"))
+
+
+def recall_at(first: DataFrame, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
     """Share of queries with a relevant answer among the first k, and the mean reciprocal rank."""
-    first = answers.groupBy(key).agg(F.min(F.when(F.col(relevant), F.col("rank"))).alias("first"))
     shares = [F.round(F.avg(F.coalesce((F.col("first") <= k).cast("int"), F.lit(0))), 6).alias(f"recall_{k}") for k in ks]
     return first.agg(F.count("*").alias("queries"), *shares, F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 

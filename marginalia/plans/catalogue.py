@@ -681,8 +681,8 @@ def feedback_tail(spark, d):
 
 @query(f"with {_VRANK}, f as (select query_id, min(rank) filter (where label = query_label) as first from vr group by query_id) select count(*) as queries, round(avg(cast(coalesce(first <= 1, false) as int)), 6) as recall_1, round(avg(cast(coalesce(first <= 3, false) as int)), 6) as recall_3, round(avg(coalesce(1.0 / first, 0)), 6) as mrr from f")
 def eval_recall_at_k(spark, d):
-    found = search.ranked(vector_answers(spark, d), "query_id", "vec_id").withColumn("good", F.col("label") == F.col("query_label"))
-    return evaluate.recall_at(found, "query_id", "good")
+    found = vector_answers(spark, d).withColumn("good", F.col("label") == F.col("query_label"))
+    return evaluate.recall_at(evaluate.first_relevant(found, "query_id", "vec_id", "good"))
 
 
 _CASES = f"""{_VRANK}, cases as (select query_id, query_label, case when query_id % 300 = 0 then 'known_failure' else 'pass' end as expect, query_id % 500 = 0 as reject from (select vec_id as query_id, label as query_label from embeddings where vec_id % 100 = 0)),
