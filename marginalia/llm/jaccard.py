@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .graph import components
+from .pieces import released
 from .textwords import as_bytes, mix, shingle_sets, slices, whitespace_words, words_of
 
 #: Cells of the table of counts: about one for every 16 shingles, and from 2 to the one to 2 to the other.
@@ -67,6 +68,7 @@ def _sets(batches, k: int):
         for i, j in slices(offsets):
             words = words_of(offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]], table)
             yield batch.column(0).slice(i, j - i), list(shingle_sets(words, k))
+    released()
 
 
 def class_keys(s: np.ndarray, bits: int, collided: dict[int, int] = {}) -> tuple[int, int]:  # noqa: B006

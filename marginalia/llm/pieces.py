@@ -14,13 +14,16 @@ A text is cut in one of three ways, all of which give the library's own ids:
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
+import sys
 from array import array
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 #: White space other than the space and the line feed; the pre-tokenizer joins runs that hold it.
 UNUSUAL = re.compile("[" + "".join(map(chr, (0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))) + "]")
@@ -58,13 +61,14 @@ def byte_level(path: str) -> bool:
 class Tokenizer:
     """The tokenizer of one worker process."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool | None = None):
+        """plain is byte_level(path), if that is known."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.plain = byte_level(path)
+        self.plain = byte_level(path) if plain is None else plain
         self.pretokens = regex.compile(PATTERN).findall
         self.letters = byte_letters()
         self.tokenize = self.library.model.tokenize
@@ -135,7 +139,7 @@ class Encoded:
     makes that of a piece or text from those of its parts.  frequent, if given, is a fixed first tier of
     pre-tokens; what isn't there is encoded, and its piece is kept while it is used."""
 
-    def __init__(self, tokenizer: Tokenizer, value, join, frequent: dict | None = None, room: int = 400_000):
+    def __init__(self, tokenizer: Tokenizer, value, join, frequent: dict | None = None, room: int = 200_000):
         self.tokenizer, self.value, self.join, self.frequent = tokenizer, value, join, frequent or {}
         self.pieces, self.stops = Recent(room), {}
 
@@ -182,12 +186,21 @@ def id_bytes(vocabulary: int):
     return kind, (lambda ids: array(code, ids).tobytes())
 
 
+def released() -> None:
+    """Gives memory that isn't in use any more back to the system: worker processes are used again by later
+    stages, and what they hold counts for the executor all the time."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _made: dict = {}
 
 
 def worker(key, make):
-    """make(), once for each worker process and key."""
+    """make(), once for each worker process and key; what was made for another key goes."""
     if key not in _made:
         _made.clear()
+        released()
         _made[key] = make()
     return _made[key]

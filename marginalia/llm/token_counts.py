@@ -33,7 +33,7 @@ def frequent_pretokens(docs: DataFrame, tokenizer_path: str, size: int) -> list[
     texts = common.documents(docs).select("text").coalesce(COUNTING_TASKS)
 
     def count(batches):
-        tokenizer = worker(("cut", tokenizer_path), lambda: Tokenizer(tokenizer_path))
+        tokenizer = worker(("cut", tokenizer_path), lambda: Tokenizer(tokenizer_path, True))
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -63,14 +63,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, freque
     one pass over the texts less is made for more work in the caches."""
     spark: SparkSession = docs.sparkSession
     tokenizer = Tokenizer(tokenizer_path)
-    key = uuid.uuid4().hex
+    key, plain = uuid.uuid4().hex, tokenizer.plain
     # tokenizers that don't cut as assumed go through the library, where the table is of no use
     words = frequent_pretokens(docs, tokenizer_path, frequent) if tokenizer.plain and frequent else []
     table = spark.sparkContext.broadcast({w: len(tokenizer.model(w)) for w in words})
 
     def count(batches):
         def make():
-            return Encoded(Tokenizer(tokenizer_path), len, sum, table.value)
+            return Encoded(Tokenizer(tokenizer_path, plain), len, sum, table.value)
 
         encoded = worker(("lengths", tokenizer_path, key), make)
         for batch in batches:

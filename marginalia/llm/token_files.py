@@ -111,8 +111,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     many ranges if they are many; each task writes files of about file_ids ids.  A file is written
     under a passing name and moved when it is whole, so a task that is lost and run again leaves one."""
     spark = docs.sparkSession
-    if bits is None:
-        bits = bits_for(Tokenizer(tokenizer_path).vocabulary)
+    known = Tokenizer(tokenizer_path)
+    bits, plain = bits_for(known.vocabulary) if bits is None else bits, known.plain
+    del known
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches):
@@ -121,7 +122,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         part = TaskContext.get().partitionId()
 
         def make():
-            tokenizer = Tokenizer(tokenizer_path)
+            tokenizer = Tokenizer(tokenizer_path, plain)
             kind, value = id_bytes(tokenizer.vocabulary)
             return kind, Encoded(tokenizer, value, b"".join)
 
