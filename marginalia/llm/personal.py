@@ -325,7 +325,10 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with personal data masked in text; n_chars, where there is one, is that of the new text."""
+    """docs with personal data masked in text; n_chars, where there is one, is that of the new text.
+
+    Null and empty texts stay as they are; repeated rows, and rows without an id, are masked each by its own
+    text, of any length and whole.  Empty tables give no row.  No column is added, so none clashes."""
     weights = train(docs)
 
     @F.pandas_udf("string")
