@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, queries_structure
 from .contamination import contaminated, contamination
 from .jaccard import similar_groups
 from .languages import languages, train
@@ -284,3 +284,6 @@ from documents as d left join lost using (doc_id) left join kept as k using (doc
 ORACLE_SQL = {"packing_words": PACKING_WORDS_SQL, "op3_repeats": OP3_SQL, "repeated_lines_long": REPEATED_LINES_SQL, "op7_licences": _op7_sql(), "op5_contamination": OP5_SQL, "op9_jaccard_groups": OP9_SQL}
 #: The same rows for lines of any length: only the condition on the words of a line is another.
 ORACLE_SQL["repeated_lines_all"] = REPEATED_LINES_SQL.replace("len(string_split(form, ' ')) >= 8", "form <> ''")
+
+QUERIES |= queries_structure.QUERIES
+ORACLE_SQL |= queries_structure.ORACLE_SQL
