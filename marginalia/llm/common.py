@@ -81,3 +81,30 @@ def blocks_of(vector: np.ndarray, parts: int) -> pa.RecordBatch:
     """The pieces of a vector that added_blocks takes; all-zero ones are left out."""
     cut = [(i, v) for i, v in enumerate(np.split(vector.astype("<i8"), parts)) if v.any()]
     return pa.RecordBatch.from_arrays([pa.array([i for i, _ in cut], pa.int32()), pa.array([v.tobytes() for _, v in cut], pa.binary())], ["block", "sums"])
+
+
+#: A table of at most so many rows is broadcast: with rows of a few short columns that is some tens of megabytes.
+FEW_ROWS = 200_000
+
+
+def few(df: DataFrame, most: int = FEW_ROWS) -> bool:
+    """Whether a table, best a written one, is small enough to be broadcast."""
+    return df.limit(most + 1).count() <= most
+
+
+def looked_up(rows: DataFrame, known: DataFrame, keys: list[str], how: str = "inner", most: int = FEW_ROWS, least_hot: int = 10_000) -> DataFrame:
+    """rows with the columns of the one row of `known` that has their keys (how: inner or left).
+
+    A known table of few rows is broadcast.  A larger one is joined by a shuffle, but for the keys that have more than
+    least_hot rows and a thousandth of all: their few known rows are broadcast, so no task gets all rows of such a key.  Both
+    tables are read more than once, so they should be written ones."""
+    if few(known, most):
+        return rows.join(F.broadcast(known), keys, how)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = sizes.where(F.col("_n") > max(least_hot, rows.count() // 1000)).drop("_n")
+    hot = staged(known.join(F.broadcast(hot), keys, "left_semi").withColumn("_hot", F.lit(True)), "hot")
+    if hot.isEmpty():
+        return rows.join(known, keys, how)
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    cold = marked.where("_hot is null").select(*rows.columns).join(known, keys, how)
+    return cold.unionByName(marked.where("_hot").drop("_hot"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 from .conversations import conversation_repairs, damaged, with_all
+from .phrases import collocations
 
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +14,39 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_all(conversations, conversation_repairs(damaged(conversations)))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(common.read(spark, sf_dir, "documents"), length=4, least=30, inside=80, best=2000)
+
+
+OP13_SQL = r"""
+with piece as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+  from (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)
+),
+size as (select lang, cast(sum(len(w)) as bigint) as n from piece group by lang),
+known as (
+  select lang, phrase, k, count(*) as f
+  from (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase from piece, range(1, 5) as x(k), unnest(range(1, len(w) - k + 2)) as t(i))
+  group by all having count(*) >= 30
+),
+candidate as (select lang, phrase, f as a, k, string_split(phrase, ' ') as w from known where k >= 2),
+longer as (
+  select lang, array_to_string(w[i : i + m - 1], ' ') as phrase, max(a) as longest
+  from candidate, unnest(range(2, k)) as x(m), unnest(range(1, k - m + 2)) as t(i) group by all
+),
+kept as (select c.* from candidate as c left join longer using (lang, phrase) where longest is null or 100 * cast(longest as hugeint) < 80 * cast(a as hugeint)),
+cut as (
+  select kept.lang, kept.phrase, a, j, p.f as l, q.f as r, cast(2000000 * cast(a as hugeint) // (cast(p.f as hugeint) + q.f) as bigint) as score
+  from (select *, unnest(range(1, k)) as j from kept) as kept
+  join known as p on p.lang = kept.lang and p.phrase = array_to_string(w[1 : j], ' ')
+  join known as q on q.lang = kept.lang and q.phrase = array_to_string(w[j + 1 : kept.k], ' ')
+),
+least_ as (select * from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, score from least_)
+select lang, rank, phrase, a, l, r, n, score from ranked join size using (lang) where rank <= 2000
+"""
+
+
 def _op12_sql() -> str:
     way = lambda cost, edit, line, then: f"{{'c': {then}.c + {cost}, 'a': '{edit}' || {then}.a, 't': {line} || {then}.t}}"
     line, user, assistant = "chr(10) || role || ':' || text", "chr(10) || 'user:'", "chr(10) || 'assistant:'"
@@ -74,5 +108,5 @@ from (select distinct g, conv_id from named) as ids left join counts using (g) l
 """
 
 
-QUERIES = {f.__name__: f for f in (op12_conversation_repair,)}
-ORACLE_SQL = {"op12_conversation_repair": _op12_sql()}
+QUERIES = {f.__name__: f for f in (op12_conversation_repair, op13_phrases)}
+ORACLE_SQL = {"op12_conversation_repair": _op12_sql(), "op13_phrases": OP13_SQL}
