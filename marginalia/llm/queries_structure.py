@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
+from .archives import read_archives, write_archives
 from .conversations import conversation_repairs, damaged, with_all
 from .phrases import collocations
 
 
+def op11_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.new_folder(spark, "archives")
+    files = write_archives(common.read(spark, sf_dir, "pages"), folder, least_bytes=0)
+    return read_archives(files, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP11_SQL = """
+with page as (select page_id, coalesce(html, '') as html, row_number() over () as row_no from pages),
+summed as (
+  select page_id, strlen(html) as size, list_transform(range(8), lambda i: cast('0x' || sha1(html)[5 * i + 1 : 5 * i + 5] as int)) as fives,
+    row_number() over w as nth, first_value(page_id) over w as last_id
+  from page window w as (partition by html order by page_id desc nulls last, row_no)
+)
+select page_id, cast(size as bigint) as payload_bytes,
+  array_to_string(list_transform(fives, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda b: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((x >> b) & 31) + 1]), '')), '') as payload_digest,
+  case when nth = 1 then 'response' else 'revisit' end as record_type, case when nth > 1 then last_id end as refers_to
+from summed
+"""
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = common.read(spark, sf_dir, "conversations")
     return with_all(conversations, conversation_repairs(damaged(conversations)))
@@ -108,5 +129,5 @@ from (select distinct g, conv_id from named) as ids left join counts using (g) l
 """
 
 
-QUERIES = {f.__name__: f for f in (op12_conversation_repair, op13_phrases)}
-ORACLE_SQL = {"op12_conversation_repair": _op12_sql(), "op13_phrases": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op11_archives, op12_conversation_repair, op13_phrases)}
+ORACLE_SQL = {"op11_archives": OP11_SQL, "op12_conversation_repair": _op12_sql(), "op13_phrases": OP13_SQL}
