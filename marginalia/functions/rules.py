@@ -57,23 +57,18 @@ def grade(grades: Column, words: GradeWords = GradeWords()) -> Column:
 
 @dataclass(frozen=True)
 class NoteRules:
-    """What makes a record a mere note about another, in seven families of patterns over the collapsed text
-    in lower case: too few words; an opening that speaks of another record; an opening that only tells how a
-    record was passed on; a narrator who passes on "the" record; a cross-reference in place of a text; and a
-    chain of names, with a verb of narration and no content of its own, that refers to another record or has a
-    tail which points elsewhere, of which what stands before is short and has no sentence end.
+    """What makes a record a mere note about another, over the collapsed text in lower case: too few words; an
+    opening that only a note has; and a chain of names, with a verb of narration and no content of its own, that refers to
+    another record or has a tail which points elsewhere, of which what stands before is short and has no sentence end.
 
-    The defaults are this package's own wording of these families; a collection's own can be passed."""
+    A collection's own openings (cross-references, remarks on how a record was passed on, narrators who pass on "the" record) are to
+    be passed as patterns; the defaults are a few that need no collection."""
 
     least_words: int = 4
     openings: tuple[str, ...] = (
         r"^(this|that|the same|the above) (report|record|note|hadith|tradition)([^a-z]|$)",
         r"^(see|compare|as in) (above|below|record|number)",
-        r"^[\s\S]{0,60}(narrated|reported) the (same|above) (report|hadith)",
     )
-    passed_on: str = r"^(it|this|the (report|hadith|record)) (is|was|has been) (narrated|reported|transmitted|told)[\s\S]{0,120}(chain|authority|as above)"
-    named: str = r"^[\s\S]{0,80}(narrated|reported|transmitted) (a|the|this) (hadith|report|record)([^a-z])[\s\S]{0,120}(chain|authority|like it|like the|the same|another)"
-    crossed: str = r"^(as (above|below)|the above-mentioned|same as|similar (to|as)|(the )?[a-z]+ said as above)([^a-z]|$)"
     verbs: str = r"(^|[^a-z])(narrated|reported|transmitted)([^a-z]|$)"
     content: str = r"(^|[^a-z])(said|asked|replied|commanded|forbade)([^a-z]|$)"
     refers: str = r"^[\s\S]{0,80}(similar|same) (to|as)([^a-z]|$)"
@@ -83,7 +78,7 @@ class NoteRules:
 
 def is_note(text: Column, rules: NoteRules = NoteRules()) -> Column:
     flat = F.lower(collapsed(text))
-    opens = reduce(lambda a, b: a | b, (flat.rlike(p) for p in (*rules.openings, rules.passed_on, rules.named, rules.crossed)))
+    opens = reduce(lambda a, b: a | b, (flat.rlike(p) for p in rules.openings), F.lit(False))
     place = F.regexp_instr(flat, F.lit(rules.tail))
     before = F.substring(flat, F.lit(1), F.greatest(place - 1, F.lit(0)))
     quiet = ~F.contains(F.regexp_replace(before, r"(^|[^a-z])[a-z]\.", "$1"), F.lit("."))

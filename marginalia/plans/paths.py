@@ -21,13 +21,20 @@ from .catalogue import (
 
 # ---- corpora -----------------------------------------------------------------------------------------
 
+#: How the editions and pages that these queries make are worded.
+ATTRIBUTIONS = [r"^([a-z]+[0-9]+) writes:", r"^As told by ([^:\n]{1,80}):"]
+PAGES = src.PageForm(
+    between=r"~ [0-9]+ of [0-9]+ ~\s*\f\s*THE SECOND SOURCE\n*", lines=(r"^~ [0-9]+ of [0-9]+ ~$", r"^THE SECOND SOURCE$", r"^Chapter [0-9]+ -- "),
+    marker=r"§([0-9]+)\.([0-9]+)\.([0-9]+)([a-z]?)\s", fields=("volume", "book", "number", "number_suffix"), narrators=(r"^([A-Z][a-z]+) tells:",),
+)
+
 
 def _edition_lines(spark, d) -> DataFrame:
     """Documents as editions, a line each: a book list, the document (with a narrator in front, if its source
     has a 9), and a blank record that is to be left out; one grade is an object and the other a string."""
     labels = table(spark, d, "labels")
     docs = table(spark, d, "documents").join(labels, "doc_id", "left")
-    text = F.when(F.contains("source", F.lit("9")), F.concat(F.lit("Narrated "), "source", F.lit(" : "), "text")).otherwise(F.col("text"))
+    text = F.when(F.contains("source", F.lit("9")), F.concat("source", F.lit(" writes: "), "text")).otherwise(F.col("text"))
     quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
     first = F.when(F.col("quality") == 1, '{"grade": "Sahih"}').when(F.col("quality") == 0, '{"grade": " Daif "}')
     second = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 1, '"Daif"').otherwise('"Mawdu"'))
@@ -42,7 +49,7 @@ def corpus_of(spark, d) -> tuple[DataFrame, DataFrame]:
     folder = new_folder(spark, "editions")
     _edition_lines(spark, d).write.partitionBy("lang").text(folder)
     names = sorted(r.lang for r in table(spark, d, "documents").select("lang").distinct().collect())  # the collections
-    return build.corpus([src.edition_records(src.editions(spark, f"{folder}/lang={n}", lines=True), n) for n in names])
+    return build.corpus([src.edition_records(src.editions(spark, f"{folder}/lang={n}", lines=True), n, ATTRIBUTIONS) for n in names])
 
 
 _CORPUS = rf"""{_GRADES}, corpus as (select lang || ':' || cast(doc_id as varchar) as id, lang as collection, cast(doc_id as varchar) as hadith_number, cast(doc_id % 7 as int) as book_number, source as book_name,
@@ -72,10 +79,11 @@ def grade_labels(spark, d):
   union all select 1, 2, cast(k + 1 as int), '', null, 'plain' from raw""")
 def page_records_read(spark, d):
     """Records of the second source, with a page's end and head in the middle of a text."""
-    number = lambda k: F.concat(F.lit("Volume 1, Book 2, Number "), (2 * F.col("item_id") + k).cast("string"))
-    middle = F.lit("Volume 1 - 8 / 1700\n\n\fSAHIH BUKHARI\n\nVOLUME 1 > BOOK 1: R\n")
-    raw = F.concat(number(0), F.lit("a:\nNarrated Ann:\n"), F.substring("text", 1, 20), middle, F.expr("substring(text, 21)"), F.lit("\nBook 3: Of things\n"), number(1), F.lit(":\nplain"))
-    return src.page_records(table(spark, d, "benchmark").select(raw.alias("text"))).select("volume", "book", "number", "number_suffix", "narrator", "text")
+    number = lambda k: F.concat(F.lit("§1.2."), (2 * F.col("item_id") + k).cast("string"))
+    middle = F.lit("~ 8 of 90 ~\n\n\fTHE SECOND SOURCE\n")
+    raw = F.concat(number(0), F.lit("a\nAnn tells:\n"), F.substring("text", 1, 20), middle, F.expr("substring(text, 21)"), F.lit("\nChapter 3 -- of things\n"), number(1), F.lit("\nplain"))
+    found = src.page_records(table(spark, d, "benchmark").select(raw.alias("text")), PAGES)
+    return found.select(*(F.col(c).cast("int").alias(c) for c in ("volume", "book", "number")), "number_suffix", "narrator", "text")
 
 
 @query(r"select page_id, cast(len(regexp_extract_all(html, '<a href=\"/[^\"]*\">')) as bigint) as n_1, cast(len(regexp_extract_all(html, '<p>')) as bigint) as n_2 from pages")

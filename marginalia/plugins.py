@@ -3,14 +3,17 @@ those here are deterministic ones that need nothing outside."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import rules
 from .functions import text as tx
+from .shared import new_folder, staged
 
 REFUSAL = "I couldn't find a passage that answers this."
 #: Characters of a text that go into a prompt: for a judge, and for a generator of questions.
@@ -52,34 +55,71 @@ def overlap_scorer(query: Column, text: Column) -> Column:
     return F.round(F.size(F.array_intersect(q, tx.tokens(text, tx.ASCII_TOKENS))) / F.greatest(F.size(q), F.lit(1)), 6)
 
 
-def generated(records: DataFrame, complete: Callable[[str], str], prompt: Column, key: str) -> DataFrame:
-    """key, raw, error for each record: `complete` is called once a record, many at a time over the
-    partitions.  generated_to writes what is done and leaves it out of the next run."""
+#: Fixed value: calls of a model that a task has under way at once.
+AT_ONCE = 8
+
+
+def generated(records: DataFrame, complete: Callable[[str], str | None], prompt: Column, key: str, at_once: int = AT_ONCE) -> DataFrame:
+    """key, raw, error for each record: `complete` is called once a record, in every task for `at_once` of them at a
+    time, since a call waits for an answer from outside.  A call that raises is a row with its error; no answer (None) is a
+    row with neither.  Nothing is kept: every action on the result calls again.  generated_to commits what is done."""
+
+    def one(prompt: str) -> tuple[str | None, str | None]:
+        try:
+            return complete(prompt), None
+        except Exception as e:  # noqa: BLE001  one failure is a result, not the end
+            return None, str(e)
 
     def call(batches: Iterator[pd.DataFrame]):
-        for pdf in batches:
-            rows = []
-            for k, p in zip(pdf[key], pdf["prompt"]):
-                try:
-                    rows.append((k, complete(p), None))
-                except Exception as e:  # noqa: BLE001  one failure is a result, not the end
-                    rows.append((k, None, str(e)))
-            yield pd.DataFrame(rows, columns=[key, "raw", "error"])
+        with ThreadPoolExecutor(at_once) as pool:
+            for pdf in batches:
+                for at in range(0, len(pdf), 16 * at_once):
+                    part = pdf.iloc[at : at + 16 * at_once]
+                    replies = list(pool.map(one, part["prompt"]))
+                    yield pd.DataFrame({key: part[key].to_numpy(), "raw": [r for r, _ in replies], "error": [e for _, e in replies]})
 
     kind = dict(records.dtypes)[key]
-    return records.select(key, prompt.alias("prompt")).mapInPandas(call, f"{key} {kind}, raw string, error string")
+    return records.select(key, prompt.alias("prompt")).mapInPandas(call, f"`{key}` {kind}, raw string, error string")
 
 
-def generated_to(folder: str, records: DataFrame, complete: Callable[[str], str], prompt: Column, key: str) -> DataFrame:
-    """Runs `complete` for the records that have no result in folder, appends what comes of it, errors
-    included, and returns all good results (key, raw).  A run that is broken off, or has errors, is taken up
-    again by the next."""
-    spark, kind = records.sparkSession, dict(records.dtypes)[key]
+def _results(spark: SparkSession, folder: str, key: str, kind: str) -> DataFrame:
     schema = f"`{key}` {kind}, raw string, error string"
-    spark.createDataFrame([], schema).write.mode("append").parquet(folder)
-    done = spark.read.schema(schema).parquet(folder).where("error is null").select(key)
-    generated(records.join(done, key, "left_anti"), complete, prompt, key).write.mode("append").parquet(folder)
-    return spark.read.schema(schema).parquet(folder).where("error is null").select(key, "raw")
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/run=none/batch=0")
+    return spark.read.schema(schema).option("basePath", folder).parquet(folder).select(key, "raw", "error")
+
+
+def generated_to(folder: str, records: DataFrame, complete: Callable[[str], str | None], prompt: Column, key: str, batch_rows: int = 10_000, at_once: int = AT_ONCE) -> DataFrame:
+    """Runs `complete` for the records that have no good result in folder, and returns all good results (key, raw; a null raw
+    is a model that gave no answer).
+
+    The work is written as files of at most batch_rows prompts and taken up as a stream of micro-batches, a file each, spread over the
+    tasks.  A batch is committed as it ends, under the number of its run and its own, so one that Spark repeats replaces itself.
+    A run that breaks loses the batch that it was in and no more: the next one calls only for what has no good
+    result, errors included."""
+    spark, kind = records.sparkSession, dict(records.dtypes)[key]
+    done = _results(spark, folder, key, kind).where("error is null").select(key)
+    work = f"{folder.rstrip('/')}-work-{uuid.uuid4().hex}"
+    pending = staged(records.select(key, prompt.alias("prompt")).join(done, key, "left_anti"), "pending")
+    n = pending.count()
+    if n:
+        pending.repartition(-(-n // batch_rows)).write.option("maxRecordsPerFile", batch_rows).parquet(f"{work}/prompts")
+        run = f"{folder}/run={uuid.uuid4().hex}"
+        tasks = max(1, spark.sparkContext.defaultParallelism)
+
+        def commit(batch: DataFrame, number: int) -> None:
+            generated(batch.repartition(tasks), complete, F.col("prompt"), key, at_once).write.mode("overwrite").parquet(f"{run}/batch={number}")
+
+        stream = spark.readStream.schema(pending.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/prompts")
+        stream.writeStream.foreachBatch(commit).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _results(spark, folder, key, kind).where("error is null").select(key, "raw")
+
+
+def generation_status(folder: str, records: DataFrame, key: str) -> DataFrame:
+    """One row: how many records there are, have a good result, only errors, and nothing yet."""
+    results = _results(records.sparkSession, folder, key, dict(records.dtypes)[key])
+    state = results.groupBy(key).agg(F.max(F.when(F.col("error").isNull(), 2).otherwise(1)).alias("_state"))
+    both = records.select(key).join(state, key, "left")
+    return both.agg(F.count("*").alias("records"), F.count_if(F.col("_state") == 2).alias("done"), F.count_if(F.col("_state") == 1).alias("failed"), F.count_if(F.col("_state").isNull()).alias("pending"))
 
 
 def question_prompt(collection: Column, book: Column, text: Column, n: int = 6) -> Column:
@@ -96,22 +136,25 @@ def judge_prompts(candidates: DataFrame, question_key: str, question: str, text:
     return found.select(question_key, ask.alias("prompt"), F.size("_l").alias("n"))
 
 
-def judged(candidates: DataFrame, question_key: str, question: str, complete: Callable[[str, int], tuple[str | None, dict]], text: str = "text", k: int = 10) -> DataFrame:
+def judged(candidates: DataFrame, question_key: str, question: str, complete: Callable[[str, int], tuple[str | None, dict]], text: str = "text", k: int = 10, folder: str | None = None) -> DataFrame:
     """question_key, rank, answers, why and degraded for the first k candidates of each question.
 
     complete(prompt, max_tokens) returns a reply and its usage.  No reply is a refusal: nothing answers.  Where it
-    raises, or the reply can't be read, `degraded` is true and answers null: nobody looked."""
+    raises, or the reply can't be read, `degraded` is true and answers null: nobody looked.  Replies are written to folder
+    (a new one if none is given), so a judge is asked once a question however often the result is read, and a folder that
+    has replies from before isn't asked for them again."""
 
     def call(prompt: str) -> str | None:
-        reply, _ = complete(prompt, 600)
-        return "refused" if reply is None else reply
+        return complete(prompt, 600)[0]
 
-    asked = judge_prompts(candidates, question_key, question, text, k)
-    replies = generated(asked, call, F.col("prompt"), question_key).join(asked.select(question_key, "n"), question_key)
+    asked = staged(judge_prompts(candidates, question_key, question, text, k), "asked")
+    folder = folder or new_folder(candidates.sparkSession, "judged")
+    good = generated_to(folder, asked, call, F.col("prompt"), question_key).withColumn("asked", F.lit(True))
+    replies = asked.select(question_key, "n").join(good, question_key, "left")
     verdicts = rules.parsed_verdicts(F.col("raw"), F.col("n"))
     refused = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(F.lit(False).alias("answers"), F.lit("refused").alias("why")))
     unread = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(F.lit(None).cast("boolean").alias("answers"), F.lit(None).cast("string").alias("why")))
-    read = replies.withColumn("v", F.when(F.col("raw") == "refused", refused).otherwise(verdicts))
+    read = replies.withColumn("v", F.when(F.col("asked") & F.col("raw").isNull(), refused).otherwise(verdicts))
     rows = read.withColumn("degraded", F.col("v").isNull()).withColumn("v", F.coalesce("v", unread))
     return rows.select(question_key, "degraded", F.posexplode("v").alias("at", "v")).select(question_key, (F.col("at") + 1).cast("long").alias("rank"), "v.answers", "v.why", "degraded")
 

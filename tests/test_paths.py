@@ -9,7 +9,7 @@ from marginalia import plugins
 from marginalia.functions import rules
 from marginalia.functions import text as tx
 from marginalia.operators import align, analytics, search
-from marginalia.plans import build, retrieval
+from marginalia.plans import build, paths, retrieval
 from marginalia.sources import records as src
 from marginalia.sources import sinks
 from marginalia.streaming import capped_once
@@ -23,11 +23,10 @@ def test_labels_are_of_the_grades_that_decided(spark):
 
 
 @pytest.mark.parametrize("text,narrator,rest", [
-    ("Narrated Ann : a story", "Ann", "a story"), ("Ann bint Ben said: a story", "Ann bint Ben said", "a story"), ("Ann reported: x", "Ann", "x"), ("Ann reported that x", "Ann", "x"),
-    ("It is narrated on the authority of Ann that x", "Ann", "x"), ("It is narrated on the authority of Ann: x", "Ann", "x"), ("ann said: x", None, "ann said: x"), ("He went home", None, "He went home"),
+    ("src9 writes: a story", "src9", "a story"), ("As told by Ann bint Ben: a story", "Ann bint Ben", "a story"), ("As told by someone", None, "As told by someone"), ("He went home", None, "He went home"),
 ])
 def test_attributions(spark, text, narrator, rest):
-    a, b = tx.first_match(F.lit(text), [src.attribution(t) for t in src.ATTRIBUTIONS])
+    a, b = tx.first_match(F.lit(text), paths.ATTRIBUTIONS)
     row = spark.range(1).select(a.alias("a"), b.alias("b")).first()
     assert (row.a, row.b) == (narrator, rest)
 
@@ -35,7 +34,9 @@ def test_attributions(spark, text, narrator, rest):
 def test_cross_references_and_passing_on_are_notes(spark):
     drop = ["As above, in the first book of the collection", "Similar to the report of his brother Ann", "It has been narrated through another chain of names", "Ann narrated this hadith on the authority of her father"]
     rows = spark.createDataFrame([(t,) for t in [*drop, "Asking is half of what there is to know"]], "t string")
-    assert {r.t for r in rows.where(rules.is_note(F.col("t"))).collect()} == set(drop)
+    own = rules.NoteRules(openings=("^as above,", "^similar to ", "^it has been narrated", "^[a-z]+ narrated this"))
+    assert {r.t for r in rows.where(rules.is_note(F.col("t"), own)).collect()} == set(drop)
+    assert not rows.where(rules.is_note(F.col("t"), rules.NoteRules(openings=(), verbs="no such verb"))).collect()
 
 
 def test_left_texts_without_a_shared_term_keep_their_place(spark):

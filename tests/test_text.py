@@ -131,11 +131,12 @@ def test_tfidf_has_the_stated_formula(spark):
 
 
 def test_page_furniture_inside_a_word(spark):
+    from marginalia.plans.paths import PAGES
     from marginalia.sources import records as src
 
-    raw = "Volume 1, Book 2, Number 3a:\nNarrated Ann:\nof GabVolume 1 - 8 / 1700\n\n\fSAHIH BUKHARI\n\nVOLUME 1 > BOOK 1: R\nriel.\nVolume 1, Book 2, Number 4:\nplain"
-    rows = src.page_records(spark.createDataFrame([(raw,)], "text string")).orderBy("ord").collect()
-    assert [(r.volume, r.book, r.number, r.number_suffix, r.narrator) for r in rows] == [(1, 2, 3, "a", "Ann"), (1, 2, 4, "", None)]
+    raw = "§1.2.3a\nAnn tells:\nof Gab~ 8 of 90 ~\n\n\fTHE SECOND SOURCE\nriel.\nChapter 4 -- of more\n§1.2.4\nplain"
+    rows = src.page_records(spark.createDataFrame([(raw,)], "text string"), PAGES).orderBy("ord").collect()
+    assert [(r.volume, r.book, r.number, r.number_suffix, r.narrator) for r in rows] == [("1", "2", "3", "a", "Ann"), ("1", "2", "4", "", None)]
     assert re.sub(r"\s+", " ", rows[0].text) == "of Gabriel." and rows[1].text == "plain"
 
 
@@ -143,15 +144,16 @@ def test_edition_and_corpus(spark, tmp_path):
     import json
 
     from marginalia.plans import build
+    from marginalia.plans.paths import ATTRIBUTIONS
     from marginalia.sources import records as src
 
     edition = {"metadata": {"sections": {"1": "One"}}, "hadiths": [
-        {"hadithnumber": 1, "arabicnumber": 1, "text": "Narrated Ann: x y", "grades": [{"grade": "Sahih"}, "Daif"], "reference": {"book": 1, "hadith": 1}},
+        {"hadithnumber": 1, "arabicnumber": 1, "text": "As told by Ann: x y", "grades": [{"grade": "Sahih"}, "Daif"], "reference": {"book": 1, "hadith": 1}},
         {"hadithnumber": 2.2, "arabicnumber": 2, "text": " ", "grades": [], "reference": {"book": 1, "hadith": 2}},
         {"hadithnumber": 3.5, "arabicnumber": 3, "text": "z", "grades": ["Daif"], "reference": {"book": 9, "hadith": 1}},
     ]}
     (tmp_path / "e.json").write_text(json.dumps(edition))
-    records = src.edition_records(src.editions(spark, str(tmp_path / "e.json")), "c")
+    records = src.edition_records(src.editions(spark, str(tmp_path / "e.json")), "c", ATTRIBUTIONS)
     kept, weak = build.corpus([records])
     row = kept.first()
     assert (row.id, row.narrator, row.text, row.book_name, row.grade_verdict) == ("c:1", "Ann", "x y", "One", "disputed")
