@@ -773,12 +773,15 @@ def stream_daily_counts(spark, d):
     return run_once(daily_counts(analytics.accepted(_event_source(spark, d))), "stream_daily_counts", "complete")
 
 
+def _searches(stream: DataFrame) -> DataFrame:
+    return stream.where("e = 'search'").select(F.col("d").alias("day"), F.col("v").alias("visitor"), F.col("event_id").alias("ord"), "ts")
+
+
 @query("select cast(ts as date) as day, cast(user_id as varchar) as visitor, event_id as ord, row_number() over (partition by cast(ts as date), user_id order by event_id) <= 3 as admitted from events where event_type = 'click'")
 def stream_cap(spark, d):
-    from ..streaming import capped_once
+    from ..streaming import caps
 
-    searches = _event_source(spark, d).where("e = 'search'").select(F.col("d").alias("day"), F.col("v").alias("visitor"), F.col("event_id").alias("ord"))
-    return capped_once(searches, per_visitor=3).drop("reason")
+    return caps.capped_once(_searches(_event_source(spark, d)), per_visitor=3).drop("reason")
 
 
 _OPEN_CAP = _CAP.replace("case when user_id % 10 = 0 then '' else cast(user_id as varchar) end as v", "cast(user_id as varchar) as v")
@@ -787,7 +790,53 @@ _OPEN_CAP = _CAP.replace("case when user_id % 10 = 0 then '' else cast(user_id a
 @query(f"with {_OPEN_CAP} select day, visitor, ord, admitted, reason from decided")
 def stream_caps(spark, d):
     """Both caps, the visitor's and the site's, over the stream."""
-    from ..streaming import capped_once
+    from ..streaming import caps
+
+    return caps.capped_once(_searches(_event_source(spark, d)), per_visitor=1, per_day=40)
+
+
+def _in_batches(spark, d, batch, n: int) -> DataFrame:
+    """The events as a stream of n micro-batches: batch is the number of an event's, a column."""
+    from ..shared import new_folder
+
+    folder = new_folder(spark, "batches")
+    rows = table(spark, d, "events")
+    for k in range(n):  # one file each, written one after another: the stream takes them by their time
+        rows.where(batch == k).coalesce(1).write.mode("append").parquet(folder)
+    e = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream.select(F.to_date("ts").alias("d"), F.element_at(e, F.col("event_type")).alias("e"), F.col("user_id").cast("string").alias("v"), "event_id", "ts")
+
+
+@query(f"with {_OPEN_CAP} select day, visitor, ord, admitted, reason from decided")
+def stream_caps_batches(spark, d):
+    """The same over micro-batches of ten days each: the state of a day is dropped when it is over, and nothing is lost by that."""
+    from ..streaming import caps
+
+    stream = _in_batches(spark, d, F.least(F.lit(2), F.expr("(day(ts) - 1) div 10")), 3)
+    return caps.capped_once(_searches(stream), per_visitor=1, per_day=40, late="1 hour")
+
+
+#: Of every twenty events one comes in the second batch and one in the third, long after its day is closed.
+_BATCH = "case event_id % 20 when 0 then 2 when 1 then 1 else 0 end"
+_ON_TIME = f"""source as (select *, cast(ts as date) as d, {_BATCH} as batch from events), late as (select max(ts) filter (where batch = 0) - interval 1 day as before, max(ts) - interval 1 day as closed from source),
+  on_time as (select source.*, case event_type when 'view' then 'visit' when 'click' then 'search' when 'purchase' then 'answered' when 'error' then 'no_answer' when 'signup' then 'feedback' end as e, closed from source, late where not (batch = 2 and d + interval 1 day <= before)),
+  shut as (select * from on_time where d + interval 1 day <= closed)"""
+
+
+@query(f"with {_ON_TIME} select d, e, count(*) as n from shut where e is not null group by all")
+def stream_days(spark, d):
+    """Counts of closed days by event time: what comes for a day that is closed is left out."""
+    from ..streaming import daily_counts, run_once
+
+    stream = _in_batches(spark, d, F.expr(_BATCH), 3)
+    return run_once(daily_counts(analytics.accepted(stream), late="1 day"), "days")
+
+
+@query(f"with {_ON_TIME} select d, count(distinct user_id) as people from shut where e is not null group by d")
+def stream_people(spark, d):
+    """Distinct visitors of closed days."""
+    from ..streaming import daily_people, run_once
 
-    searches = _event_source(spark, d).where("e = 'search'").select(F.col("d").alias("day"), F.col("v").alias("visitor"), F.col("event_id").alias("ord"))
-    return capped_once(searches, per_visitor=1, per_day=40)
+    stream = _in_batches(spark, d, F.expr(_BATCH), 3)
+    return run_once(daily_people(analytics.accepted(stream), late="1 day"), "people")

@@ -27,7 +27,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     and it survives the loss of executors."""
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._marginalia_folder = folder
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables of staged() that nothing reads any more: what was made of them is written as well."""
+    for table in tables:
+        delete(table.sparkSession, table._marginalia_folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def few(df: DataFrame, most: int = FEW_ROWS) -> bool:
