@@ -25,14 +25,14 @@ from .textwords import as_bytes, slices
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: Text that is turned into words at once.
-STRETCH = 4 << 20
+STRETCH = 8 << 20
 
-_table = bytearray(range(256))
-_table[65:91] = range(97, 123)
+_plain = bytearray(range(256))
+_plain[65:91] = range(97, 123)
 for _c in SEPARATORS:
-    _table[_c] = ord(".")
-_table[9] = 32
-_table = bytes(_table)
+    _plain[_c] = ord(".")
+_plain[9] = 32
+_plain = bytes(_plain)
 
 
 def stretches(data: bytes, follow: int, limit: int = STRETCH) -> Iterator[tuple[list[bytes], int]]:
@@ -109,7 +109,7 @@ def _by_language(batch: pa.RecordBatch, stretch: int) -> Iterator[tuple[str, byt
     for i, j in slices(offsets, stretch):
         held: dict[str, list[bytes]] = defaultdict(list)
         for lang, a, b in zip(batch.column(0).slice(i, j - i).to_pylist(), offsets[i:j], offsets[i + 1 : j + 1]):
-            held[lang].append(data[a:b].tobytes().translate(_table))
+            held[lang].append(data[a:b].tobytes().translate(_plain))
         for lang, texts in held.items():
             yield lang, b".".join(texts)
 
@@ -155,7 +155,7 @@ def heavy_prefixes(texts: DataFrame, length: int, parts: int, stretch: int = STR
 
 
 def _projected(texts: DataFrame, heavy: list[tuple[str, str]], length: int, stretch: int) -> DataFrame:
-    """lang, key (a prefix), hot (whether the key is a heavy prefix, so that this is a part of its pointers only),
+    """lang, key (a prefix), hot (whether the key is a heavy prefix, so that this is a part of its pointers only), n (pointers),
     tails (lines of what follows the key: words up to the length, apart by spaces) and counts."""
     by_lang: dict[str, list[list[bytes]]] = defaultdict(list)
     for lang, prefix in heavy:
@@ -170,7 +170,7 @@ def _projected(texts: DataFrame, heavy: list[tuple[str, str]], length: int, stre
                     if p.n:
                         yield _rows(lang, p, sent.value.get(lang, []), length)
 
-    return texts.mapInArrow(project, "lang string, key string, hot boolean, tails string, counts binary")
+    return texts.mapInArrow(project, "lang string, key string, hot boolean, n long, tails string, counts binary")
 
 
 def _rows(lang: str, p: Pointers, heavy: list[list[bytes]], length: int) -> pa.RecordBatch:
@@ -218,82 +218,126 @@ def _rows(lang: str, p: Pointers, heavy: list[list[bytes]], length: int) -> pa.R
         keys = pc.if_else(pa.array(at > j), longer, keys)
     counts = p.counts.astype("<i8")
     raw = [counts[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(starts), pa.string()), keys, pa.array(hot[starts]), tails, pa.array(raw, pa.binary())], ["lang", "key", "hot", "tails", "counts"])
+    columns = [pa.array([lang] * len(starts), pa.string()), keys, pa.array(hot[starts]), pa.array(np.add.reduceat(p.counts, starts)), tails, pa.array(raw, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "key", "hot", "n", "tails", "counts"])
 
 
-def grown(prefix: str, tails: list[str], counts: np.ndarray, depth: int, least: int) -> list[tuple[str, int]]:
-    """The frequent phrases longer than a prefix, from the pointers of all its occurrences: tails has up to `depth` words each."""
-    fields = pc.list_flatten(pc.split_pattern(pa.array(tails), " ")).dictionary_encode()
-    words = fields.dictionary.to_pylist()
-    ids = fields.indices.to_numpy(zero_copy_only=False).reshape(len(tails), -1)[:, :depth].astype(np.int64)
-    none = words.index("") if "" in words else -1
-    order = np.lexsort(ids.T[::-1])
-    ids, counts = ids[order], counts[order]
-    out: list[tuple[str, int]] = []
-    todo = [(prefix, 0, len(ids), 0)]
+def bound(a: int, before: list[int | None]) -> int:
+    """No score of a phrase that occurs a times is greater: what comes after a cut occurs a times at least, and
+    before has the counts of what comes before, where they are known."""
+    return min((2_000_000 * a // (l + a) for l in before if l is not None), default=1_000_000)
+
+
+def _grown(prefix: str, counts: list[int | None], ids: np.ndarray, times: np.ndarray, words: list[str], none: int, least: int) -> Iterator[tuple[str, int, int]]:
+    """(phrase, count, bound) of the frequent phrases longer than a prefix, depth-first, from its sorted pointers: ids are the
+    words at each place after it.  counts are those of the prefix's own beginnings, itself the last."""
+    todo = [(prefix, counts, 0, len(ids), 0)]
     while todo:
-        own, a, b, j = todo.pop()
+        own, before, a, b, j = todo.pop()
         column = ids[a:b, j]
         starts = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
-        sums = np.add.reduceat(counts[a:b], starts)
+        sums = np.add.reduceat(times[a:b], starts)
         ends = np.append(starts[1:], b - a)
         for i in np.flatnonzero((sums >= least) & (column[starts] != none)):
-            phrase = f"{own} {words[column[starts[i]]]}"
-            out.append((phrase, int(sums[i])))
-            if j + 1 < depth:
-                todo.append((phrase, a + int(starts[i]), a + int(ends[i]), j + 1))
+            phrase, n = f"{own} {words[column[starts[i]]]}", int(sums[i])
+            yield phrase, n, bound(n, before)
+            if j + 1 < ids.shape[1]:
+                todo.append((phrase, [*before, n], a + int(starts[i]), a + int(ends[i]), j + 1))
+
+
+FOUND = "lang string, phrase string, f long, bound long"
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ((),) * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["lang", "phrase", "f", "bound"])
+
+
+def _grow_all(rows: pa.Table, length: int, least: int, partial: dict[tuple[str, str], int]) -> list[tuple]:
+    """What all prefixes of some sorted rows grow to.  Prefixes that aren't frequent are left out before their pointers are read."""
+    lang, key = (rows.column(c).combine_chunks() for c in ("lang", "key"))
+    n = len(key)
+    if not n:
+        return []
+    other = lambda c: pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.concatenate(([True], other(lang) | other(key))))
+    sizes = np.diff(np.append(starts, n))
+    totals = np.add.reduceat(rows.column("n").to_numpy(), starts)
+    hot = rows.column("hot").to_numpy()[starts]
+    depth = pc.count_substring(key.take(pa.array(starts)), " ").to_numpy() + 1
+    for g in np.flatnonzero(hot | (depth > 1)):
+        own, said = lang[starts[g]].as_py(), key[starts[g]].as_py().split(" ")
+        for j in range(1, len(said) + hot[g]):
+            partial[own, " ".join(said[:j])] += int(totals[g])
+    frequent = np.flatnonzero(~hot & (totals >= least))
+    if not len(frequent):
+        return []
+    langs, keys = (c.take(pa.array(starts[frequent])).to_pylist() for c in (lang, key))
+    totals, depth = totals[frequent].tolist(), depth[frequent]
+    unknown = [[None] * (d - 1) for d in depth.tolist()]
+    out = [(a, k, t, bound(t, u)) for a, k, t, u in zip(langs, keys, totals, unknown)]
+    chosen = np.zeros(len(starts), bool)
+    chosen[frequent] = True
+    own = rows.filter(pa.array(np.repeat(chosen, sizes)))
+    lines = pc.split_pattern(own.column("tails").combine_chunks(), "\n")
+    group = np.repeat(np.repeat(np.arange(len(frequent)), sizes[frequent]), pc.list_value_length(lines).to_numpy())
+    times = np.frombuffer(b"".join(own.column("counts").to_pylist()), "<i8")
+    fields = pc.list_flatten(pc.split_pattern(pc.list_flatten(lines), " ")).dictionary_encode()
+    words = fields.dictionary.to_pylist()
+    none = words.index("") if "" in words else -1
+    ids = fields.indices.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, length - 1)
+    v = len(words)
+    keys_of = [group * v + ids[:, 0], *(ids[:, j] * v + ids[:, j + 1] if j + 1 < length - 1 else ids[:, j] for j in range(1, length - 1, 2))]
+    order = np.lexsort(keys_of[::-1])
+    ids, times, group = ids[order], times[order], group[order]
+    edges = np.searchsorted(group, np.arange(len(frequent) + 1))
+    for g, (a, k, t, u) in enumerate(zip(langs, keys, totals, unknown)):
+        room = length - int(depth[g])
+        if room:
+            i, j = edges[g], edges[g + 1]
+            out.extend((a, *x) for x in _grown(k, [*u, t], ids[i:j, :room], times[i:j], words, none, least))
     return out
 
 
-def frequent_phrases(texts: DataFrame, length: int, least: int, heavy: list[tuple[str, str]], parts: int, stretch: int = STRETCH) -> DataFrame:
-    """lang, phrase, f of all phrases of 1 to length words that occur `least` times or more."""
+def frequent_phrases(texts: DataFrame, length: int, least: int, heavy: list[tuple[str, str]], parts: int, stretch: int = STRETCH, held_bytes: int = 16 << 20) -> DataFrame:
+    """lang, phrase, f of all phrases of 1 to length words that occur `least` times or more, and bound (null: none is known), which
+    no score of a phrase is beyond."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partial: dict[tuple[str, str], int] = defaultdict(int)
-        own, tails, counts, hot = None, [], [], False
-        out: list[tuple[str, str, int]] = []
-
-        def close():
-            if own is None:
-                return
-            lang, key = own
-            n = key.count(" ") + 1
-            total = sum(int(c.sum()) for c in counts)
-            for j in range(1, n):
-                partial[lang, " ".join(key.split(" ")[:j])] += total
-            if hot:
-                partial[lang, key] += total
-            elif total >= least:
-                out.append((lang, key, total))
-                if n < length:
-                    out.extend((lang, *x) for x in grown(key, "\n".join(tails).split("\n"), np.concatenate(counts), length - n, least))
-
-        def table(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()))], ["lang", "phrase", "f"])
-
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for lang, key, is_hot, tail, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if own != (lang, key):
-                    close()
-                    own, tails, counts, hot = (lang, key), [], [], is_hot
-                tails.append(tail)
-                counts.append(np.frombuffer(raw, "<i8"))
-            yield table(out)
-            out = []
-        close()
-        yield table(out)
-        yield table([(*k, n) for k, n in partial.items()])
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size < held_bytes:
+                continue
+            # the last prefix may go on
+            rows = pa.Table.from_batches(held)
+            n = rows.num_rows
+            last = pc.and_(pc.equal(rows.column("lang"), rows.column("lang")[n - 1]), pc.equal(rows.column("key"), rows.column("key")[n - 1]))
+            whole = n - pc.sum(last).as_py()
+            yield _table(_grow_all(rows.slice(0, whole), length, least, partial))
+            held = rows.slice(whole).to_batches()
+            # its own size doesn't count: a prefix that is larger than all is read to its end
+            size = 0
+        if held:
+            yield _table(_grow_all(pa.Table.from_batches(held), length, least, partial))
+        yield _table([(*k, n, None) for k, n in partial.items()])
 
     placed = _projected(texts, heavy, length, stretch).repartition(parts, "lang", "key").sortWithinPartitions("lang", "key")
-    found = placed.mapInArrow(grow, "lang string, phrase string, f long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    found = placed.mapInArrow(grow, FOUND)
+    # counts of a heavy prefix come from many tasks
+    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.min("bound").alias("bound")).where(F.col("f") >= least)
 
 
 def _exact(column) -> str:
     return f"cast({column} as decimal(20, 0))"
 
 
-def collocations(docs: DataFrame, length: int = 4, least: int = 30, inside: int = 80, best: int | None = 2000, parts: int | None = None, stretch: int = STRETCH) -> DataFrame:
+def collocations(docs: DataFrame, length: int = 4, least: int = 30, inside: int = 80, best: int | None = 2000, parts: int | None = None, stretch: int = STRETCH, block: int = 16) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the phrases of 2 to length words of each language whose words are most
     at home in one another's company.
 
@@ -310,19 +354,43 @@ def collocations(docs: DataFrame, length: int = 4, least: int = 30, inside: int
     sizes, heavy = heavy_prefixes(texts, length, parts, stretch)
     known = common.staged(frequent_phrases(texts, length, least, heavy, parts, stretch), "phrases")
     words = F.split("phrase", " ")
-    candidates = known.select("lang", "phrase", F.col("f").alias("a"), words.alias("w"), F.size(words).alias("k")).where("k >= 2")
+    candidates = known.select("lang", "phrase", F.col("f").alias("a"), F.coalesce("bound", F.lit(1_000_000)).alias("bound"), words.alias("w"), F.size(words).alias("k")).where("k >= 2")
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    place = F.row_number().over(order).cast("long")
+    if best is None:
+        scored = _scored(common.staged(candidates, "candidates"), candidates, known, inside)
+    else:
+        # those with the greatest bounds are scored first; the others only if their bound reaches what the last of the best has
+        first = Window.partitionBy("lang").orderBy(F.desc("bound"), F.desc("a"), "phrase")
+        tried = common.staged(candidates.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= block * best).drop("_n"), "tried")
+        scored = common.staged(_scored(tried, candidates, known, inside), "scored")
+        needed = common.staged(scored.withColumn("_n", place).where(F.col("_n") == best).select("lang", F.col("score").alias("_score"), F.col("a").alias("_a")), "needed")
+        # a language with fewer has no such bound, and all its phrases are scored
+        open_ = candidates.join(F.broadcast(needed) if common.few(needed) else needed, "lang", "left").where("_score is null or bound > _score or (bound = _score and a >= _a)")
+        rest = common.staged(open_.drop("_score", "_a").join(tried.select("lang", "phrase"), ["lang", "phrase"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            scored = scored.unionByName(_scored(rest, candidates, known, inside))
+    ranked = scored.withColumn("rank", place)
+    if best is not None:
+        ranked = ranked.where(F.col("rank") <= best)
+    return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def _scored(chosen: DataFrame, longer: DataFrame, known: DataFrame, inside: int) -> DataFrame:
+    """lang, phrase, a, l, r, score of the chosen candidates (a written table) that aren't part of one of `longer` too often."""
+    own = chosen.select("lang", "phrase")
     within = "flatten(transform(sequence(2, k - 1), m -> transform(sequence(1, k - m + 1), i -> array_join(slice(w, i, m), ' '))))"
-    longer = candidates.where("k >= 3").select("lang", F.explode(F.expr(within)).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longest"))
-    kept = candidates.join(longer, ["lang", "phrase"], "left").where(f"longest is null or 100 * {_exact('longest')} < {inside} * {_exact('a')}").drop("longest")
+    parts = longer.where("k >= 3").select("lang", F.explode(F.expr(within)).alias("phrase"), "a")
+    asked = F.broadcast(own) if common.few(own) else own
+    longest = parts.join(asked, ["lang", "phrase"], "left_semi").groupBy("lang", "phrase").agg(F.max("a").alias("longest"))
+    kept = chosen.join(longest, ["lang", "phrase"], "left").where(f"longest is null or 100 * {_exact('longest')} < {inside} * {_exact('a')}").drop("longest")
     cuts = kept.select("lang", "phrase", "a", F.explode(F.expr("transform(sequence(1, k - 1), i -> struct(i as cut, array_join(slice(w, 1, i), ' ') as left, array_join(slice(w, i + 1, k - i), ' ') as right))")).alias("c"))
     cuts = common.staged(cuts.select("lang", "phrase", "a", "c.cut", "c.left", "c.right"), "cuts")
-    both = common.looked_up(cuts, known.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
-    both = common.looked_up(both, known.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
+    # of the known phrases only those that are a part of a chosen one
+    asked = common.staged(cuts.select("lang", F.explode(F.array("left", "right")).alias("phrase")).distinct(), "parts")
+    counts = common.staged(known.select("lang", "phrase", "f").join(F.broadcast(asked) if common.few(asked) else asked, ["lang", "phrase"], "left_semi"), "counts")
+    both = common.looked_up(cuts, counts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
+    both = common.looked_up(both, counts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
     score = F.expr(f"(cast(2000000 as decimal(10, 0)) * {_exact('a')}) div ({_exact('l')} + {_exact('r')})")
     least_cut = both.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "cut", "a", "l", "r")).alias("c"))
-    scored = least_cut.select("lang", "phrase", "c.a", "c.l", "c.r", "c.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long"))
-    if best is not None:
-        ranked = ranked.where(F.col("rank") <= best)
-    return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return least_cut.select("lang", "phrase", "c.a", "c.l", "c.r", "c.score")
