@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -158,21 +160,24 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     found = [("email", a, b, True) for a, b in emails(text)]
     digits = list(numbers(text))
     found += [x for x in digits if x[3]]
-    kept = [(a, b) for _, a, b, _ in found]
-    taken: list[tuple[int, int]] = []
+    # base spans may overlap: of those that begin before a place only the greatest end matters
+    kept = sorted((a, b) for _, a, b, _ in found)
+    starts, ends = [a for a, _ in kept], list(accumulate((b for _, b in kept), max))
+    taken: list[tuple[int, int]] = []  # in order, none overlaps another
 
     def free(a, b):
-        return all(b <= x or y <= a for x, y in kept) and all(b <= x or y <= a for x, y in taken)
+        i, j = bisect_left(starts, b), bisect_left(taken, (b,))
+        return not (i and ends[i - 1] > a) and not (j and taken[j - 1][1] > a)
 
     if digits or "=" in text or ":" in text or any(s in text for s in SECRET_STARTS):
         for a, b in sorted(set(secrets(text)), key=lambda x: (x[0], -x[1])):
             if free(a, b):
                 found.append(("secret", a, b, True))
-                taken.append((a, b))
+                insort(taken, (a, b))
         for kind, a, b, good in digits:
             if kind == "card" and not good and 12 <= sum(c.isdigit() for c in text[a : min(b, a + 64)]) <= 19 and free(a, b):
                 found.append(("account", a, b, False))
-                taken.append((a, b))
+                insort(taken, (a, b))
     return found
 
 
