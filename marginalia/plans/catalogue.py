@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as tx
 from ..functions.rules import Topic
-from ..operators import align, analytics, browse, evaluate, expand, search
+from ..operators import align, analytics, browse, evaluate, expand, search, topk
 from ..operators import postings as ps
 from ..plugins import overlap_scorer
 from ..sources import records as src
@@ -262,6 +262,23 @@ def char_scores(spark, d) -> DataFrame:
     return ps.matched(asked, counts, vocabulary, "item_id", "doc_id", sublinear=True)
 
 
+def _top(asked: DataFrame, docs: DataFrame, words, k: int, grams: tuple[int, int] | None = None, **kept) -> DataFrame:
+    """The k best documents of each benchmark text, by terms of both."""
+    counted = staged(topk.document_words(docs, "doc_id", words), "document-words")
+    vocabulary = staged(topk.vocabulary(counted, docs.count(), grams=grams, **kept), "terms")
+    asked = staged(topk.document_words(asked, "item_id", words), "asked")
+    return topk.top_documents(asked, counted, vocabulary, k, sublinear=grams is not None, grams=grams)
+
+
+def top_by_words(spark, d, k: int) -> DataFrame:
+    return _top(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text"), ascii_terms(), k)
+
+
+def top_by_characters(spark, d, k: int) -> DataFrame:
+    words = tx.padded_words(F.col("text"))
+    return _top(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text"), words, k, (3, 5), min_df=2, max_features=300_000)
+
+
 @query(f"with {_TF} select term, df, cf from df")
 def doc_frequency(spark, d):
     return ps.document_frequency(word_counts_of(spark, d))
@@ -280,7 +297,7 @@ def tfidf_postings(spark, d):
 
 @query(f"with {_SCORE} select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from score) where rank <= 3")
 def tfidf_topk(spark, d):
-    return search.top(word_scores(spark, d), "item_id", "doc_id", 3)
+    return top_by_words(spark, d, 3)
 
 
 def _char_sql(name, key, src_table, text="text"):
@@ -309,7 +326,7 @@ _CHAR = _char_index_sql("")
 
 @query(f"with {_CHAR} select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from score) where rank <= 3")
 def char_ngram_topk(spark, d):
-    return search.top(char_scores(spark, d), "item_id", "doc_id", 3)
+    return top_by_characters(spark, d, 3)
 
 
 _VQ = "select vec_id as query_id, embedding as q, label as query_label from embeddings where vec_id % 100 = 0"
@@ -377,7 +394,7 @@ _OVERLAP = f"round(len(list_intersect(list_distinct({TOK.replace('text', 'b.text
 
 
 def candidates(spark, d, k: int = 10) -> DataFrame:
-    top = search.top(word_scores(spark, d), "item_id", "doc_id", k)
+    top = top_by_words(spark, d, k)
     texts = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     return top.join(texts, "doc_id").withColumn("n_words", tx.word_count(F.col("text")))
 
@@ -563,17 +580,23 @@ def missing_ids(spark, d):
     return browse.missing_ids(table(spark, d, "documents"), FEATURED, "doc_id", spark)
 
 
-_DAYS = "days as (select cast(range as date) as day from range(date '2024-01-01', date '2024-04-30', interval 1 day)), picks as (select day, cast(('0x' || sha256(cast(day as varchar))[1:8]) as bigint) % 27 as place from days)"
+_DAYS = "days as (select distinct cast(ts as date) as day from events), picks as (select day, cast(('0x' || sha256(cast(day as varchar))[1:8]) as bigint) % 27 as place from days)"
+
+
+def picks_of(spark, d) -> DataFrame:
+    """The picks of the days on which there were events."""
+    days = table(spark, d, "events").select(F.to_date("ts").alias("day")).distinct()
+    return browse.daily_picks(days, [f"r{i}" for i in range(27)])
 
 
 @query(f"with {_DAYS} select day, place, 'r' || cast(place as varchar) as pick from picks")
 def daily_pick(spark, d):
-    return browse.daily_picks(browse.days(spark, "2024-01-01", 120), [f"r{i}" for i in range(27)])
+    return picks_of(spark, d)
 
 
 @query(f"with {_DAYS} select count(distinct place) as n from picks")
 def daily_distinct(spark, d):
-    return browse.daily_picks(browse.days(spark, "2024-01-01", 120), [f"r{i}" for i in range(27)]).agg(F.count_distinct("pick").alias("n"))
+    return picks_of(spark, d).agg(F.count_distinct("pick").alias("n"))
 
 
 # ---- usage -----------------------------------------------------------------------------------------
