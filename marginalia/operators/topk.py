@@ -9,7 +9,9 @@ and task, and the longest postings, of the commonest terms, are seldom read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -249,7 +251,7 @@ def score_block(questions: Questions, best: Best, keys: np.ndarray, doc: np.ndar
         best.add(i, keys[met], np.round(sums[met], DIGITS))
 
 
-def top_documents(asked: DataFrame, counted: DataFrame, terms: DataFrame, k: int, sublinear: bool = False, grams: tuple[int, int] | None = None, most_terms: int = 2_000_000) -> DataFrame:
+def top_documents(asked: DataFrame, counted: DataFrame, terms: DataFrame, k: int, sublinear: bool = False, grams: tuple[int, int] | None = None, most_terms: int = 2_000_000, parts: tuple | None = None) -> DataFrame:
     """The keys of a question and a document, score, rank (from 1): the k documents of each question with the greatest cosines,
     rounded; ties by the document's key, a whole number.  Only documents that share a term have a score.  asked and counted are tables of
     document_words, terms is that of vocabulary; all are written tables.
@@ -257,18 +259,8 @@ def top_documents(asked: DataFrame, counted: DataFrame, terms: DataFrame, k: int
     The terms of questions are sent to the tasks in blocks of at most about most_terms, so the number of questions isn't bound to
     a worker's memory.  A vocabulary of few terms is sent too; with a larger one the lengths of documents come from a join."""
     spark, query_key, key = counted.sparkSession, asked.columns[0], counted.columns[0]
-    q = staged(question_terms(asked, terms, sublinear, grams), "questions")
+    q, docs, idf = parts or TextList(asked, counted, terms, sublinear, grams).parts
     n_blocks = max(1, -(-q.count() // most_terms))
-    docs = counted.select(F.col(key).cast("long").alias("_key"), "words")
-    idf = None
-    if few(terms):
-        found = terms.select("term", "idf").toArrow()
-        idf = spark.sparkContext.broadcast((found.column("term").combine_chunks(), found.column("idf").to_numpy()))
-        docs = docs.withColumn("norm", F.lit(None).cast("double"))
-    else:
-        rows = term_rows(docs, grams).select("_key", "term", _weights(F.col("tf"), sublinear).alias("w"))
-        norms = rows.join(terms.select("term", "idf"), "term").groupBy("_key").agg(F.sqrt(F.sum((F.col("w") * F.col("idf")) ** 2)).alias("norm"))
-        docs = docs.join(norms, "_key")
     found = None
     for block in range(n_blocks):
         part = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64(query_key), F.lit(n_blocks)) == block)
@@ -277,37 +269,229 @@ def top_documents(asked: DataFrame, counted: DataFrame, terms: DataFrame, k: int
     return search.top(found.withColumnRenamed("_key", key), query_key, key, k)
 
 
-def _best_of(spark, docs: DataFrame, q: DataFrame, idf, query_key: str, kind: str, k: int, sublinear: bool, grams: tuple[int, int] | None) -> DataFrame:
+@dataclass
+class TextList:
+    """A ranking of documents by the words that they share with questions: what top_documents takes."""
+
+    asked: DataFrame
+    counted: DataFrame
+    terms: DataFrame
+    sublinear: bool = False
+    grams: tuple[int, int] | None = None
+
+    @cached_property
+    def parts(self) -> tuple:
+        """The terms of questions, documents, and the idf that is sent to tasks: made once."""
+        return staged(question_terms(self.asked, self.terms, self.sublinear, self.grams), "questions"), *_documents(self.counted, self.terms, self.sublinear, self.grams)
+
+    @cached_property
+    def prepared(self) -> tuple[DataFrame, Callable]:
+        """Documents, and a function for tasks: from batches of them to blocks, (keys, a function from a question to their scores)."""
+        q, docs, idf = self.parts
+        questions = _questions(self.counted.sparkSession, q, self.asked.columns[0])
+        sublinear, grams = self.sublinear, self.grams
+
+        def blocks(batches):
+            asked = questions.value
+            place = {key: i for i, key in enumerate(asked.keys)}
+            for keys, doc, term, weight in _blocks(batches, asked, idf, sublinear, grams):
+                by_term = np.argsort(term, kind="stable")
+                t_doc, t_weight = doc[by_term], weight[by_term]
+                first = np.searchsorted(term[by_term], np.arange(len(asked.terms) + 1))
+
+                def scores(key, keys=keys, t_doc=t_doc, t_weight=t_weight, first=first):
+                    i = place.get(key)
+                    if i is None:
+                        return np.zeros(len(keys))
+                    a, b = asked.first[i], asked.first[i + 1]
+                    own, q = asked.term[a:b], asked.q[a:b]
+                    at = np.concatenate([np.zeros(0, np.int64), *(np.arange(first[t], first[t + 1]) for t in own)])
+                    return np.round(np.bincount(t_doc[at], weights=t_weight[at] * np.repeat(q, first[own + 1] - first[own]), minlength=len(keys)), DIGITS)
+
+                yield keys, scores
+
+        return docs, blocks
+
+    def first(self, k: int) -> DataFrame:
+        return top_documents(self.asked, self.counted, self.terms, k, self.sublinear, self.grams, parts=self.parts)
+
+
+@dataclass
+class VectorList:
+    """A ranking by cosines of unit vectors: asked has a question's key and vector, vectors a document's key and vector."""
+
+    asked: DataFrame
+    vectors: DataFrame
+
+    @cached_property
+    def prepared(self) -> tuple[DataFrame, Callable]:
+        table = self.asked.toArrow()  # a stated block of questions
+        sent = self.vectors.sparkSession.sparkContext.broadcast({k: np.array(v, np.float64) for k, v in zip(table.column(0).to_pylist(), table.column(1).to_pylist())})
+        key, vector = self.vectors.columns
+
+        def blocks(batches):
+            asked = sent.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, BLOCK):
+                    batch = whole.slice(at, BLOCK)
+                    matrix = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_numpy(zero_copy_only=False)])
+                    yield batch.column(0).to_numpy(), lambda key, matrix=matrix: np.round(matrix @ asked[key], DIGITS) if key in asked else np.zeros(len(matrix))
+
+        return self.vectors.select(F.col(key).cast("long").alias("_key"), F.col(vector).cast("array<double>").alias("vector")), blocks
+
+    def first(self, k: int) -> DataFrame:
+        docs, blocks = self.prepared
+        query_key, key = self.asked.columns[0], self.vectors.columns[0]
+        kind = dict(self.asked.dtypes)[query_key]
+        names = self.asked.select(query_key).distinct().toArrow().column(0)
+        keys = names.to_pylist()
+
+        def find(batches):
+            best = Best(len(keys), k)
+            for own, scores in blocks(batches):
+                for i, name in enumerate(keys):
+                    best.add(i, own, scores(name))
+            yield _found(best, keys, names.type, query_key)
+
+        return search.top(docs.mapInArrow(find, f"`{query_key}` {kind}, _key long, score double").withColumnRenamed("_key", key), query_key, key, k)
+
+
+def exact_places(ranking: TextList | VectorList, wanted: DataFrame) -> DataFrame:
+    """query_key, key, score and rank (from 1, among all documents of the ranking, ties by key) of some pairs of a question and a document,
+    without a ranking of all: tasks look up the scores of the wanted documents, and then every task counts how many of its own are
+    before each of them."""
+    docs, blocks = ranking.prepared
+    query_key, key = wanted.columns
+    kind, spark = dict(wanted.dtypes)[query_key], docs.sparkSession
+    schema = f"`{query_key}` {kind}, `{key}` long, score double"
+
+    def collected(df: DataFrame) -> dict:
+        table = df.toArrow()
+        out: dict = {}
+        for row in zip(*(c.to_pylist() for c in table.columns)):
+            out.setdefault(row[0], []).append(row[1:])
+        return out
+
+    pairs = spark.sparkContext.broadcast({q: np.array(sorted(x[0] for x in rows), np.int64) for q, rows in collected(wanted).items()})
+    type_of = pa.int64() if kind in ("bigint", "int") else pa.string()
+
+    def look(batches):
+        for keys, scores in blocks(batches):
+            rows = []
+            for q, own in pairs.value.items():
+                there = np.flatnonzero(np.isin(keys, own))
+                if len(there):
+                    rows.append((np.full(len(there), q, object), keys[there], scores(q)[there]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[0] for r in rows]), type_of), pa.array(np.concatenate([r[1] for r in rows])), pa.array(np.concatenate([r[2] for r in rows]))], [query_key, key, "score"])
+
+    scored = staged(docs.mapInArrow(look, schema.replace("int,", "long,") if kind == "int" else schema), "scores")
+    known = spark.sparkContext.broadcast({q: (np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows])) for q, rows in collected(scored).items()})
+
+    def count(batches):
+        before = {q: np.zeros(len(own), np.int64) for q, (own, _) in known.value.items()}
+        for keys, scores in blocks(batches):
+            for q, (own, score) in known.value.items():
+                found = scores(q)
+                order = np.lexsort((keys, -found))
+                ranked, sorted_keys = -found[order], keys[order]
+                low, high = np.searchsorted(ranked, -score, "left"), np.searchsorted(ranked, -score, "right")
+                # of equal scores those with a smaller key are before
+                before[q] += np.array([a + np.searchsorted(sorted_keys[a:b], k) for a, b, k in zip(low, high, own)], np.int64)
+        if before:
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, n in before.items() for _ in n], type_of), pa.array(np.concatenate([known.value[q][0] for q in before])), pa.array(np.concatenate([known.value[q][1] for q in before])), pa.array(np.concatenate(list(before.values())))], [query_key, key, "score", "before"])
+
+    counts = docs.mapInArrow(count, ("`" + query_key + "` " + ("long" if kind == "int" else kind)) + f", `{key}` long, score double, before long")
+    return counts.groupBy(query_key, key).agg(F.first("score").alias("score"), (F.sum("before") + 1).alias("rank"))
+
+
+def fused_top(word: TextList, vector: VectorList, char: TextList | None, n_parts: int, k: int, depth: int = 256) -> DataFrame:
+    """The k best documents of each question by reciprocal rank fusion of complete rankings, with query_key, key, word_score, vector_score,
+    score and rank, without a complete ranking: the rankings are read from the top to a depth, the documents seen there get their exact
+    ranks in all of them, and no other can have more than one that is just below the depth everywhere.  Where the k-th doesn't beat
+    that, the depth is doubled."""
+    lists = [x for x in (word, vector, char) if x is not None]
+    query_key, key = word.asked.columns[0], word.counted.columns[0]
+    n_docs = max(word.counted.count(), 1)
+    while True:
+        seen = None
+        for ranking in lists:
+            one = ranking.first(depth).select(query_key, F.col(key).cast("long").alias(key))
+            seen = one if seen is None else seen.unionByName(one)
+        seen = staged(seen.distinct(), "seen")
+        places = [staged(exact_places(x, seen), "places") for x in lists]
+        char_places = None if char is None else places[2].where("score > 0")
+        fused = search.fused(places[0], places[1], char_places, query_key, key, n_parts)
+        best = staged(search.top(fused, query_key, key, k), "fused")
+        if depth >= n_docs:
+            return best
+        most = sum(w / (search.DAMPING + depth + 1) for w in (1.0, 1.0, search.CHAR_WEIGHT)[: len(lists)])
+        asked = vector.asked.select(query_key).distinct()
+        last = best.groupBy(query_key).agg(F.min("score").alias("_last"), F.count("*").alias("_n"))
+        open_ = asked.join(last, query_key, "left").where(f"_n is null or _n < {k} or _last <= {most + 1e-8}")
+        if open_.isEmpty():
+            return best
+        depth *= 2
+
+
+def _documents(counted: DataFrame, terms: DataFrame, sublinear: bool, grams):
+    """_key, words and norm (null where tasks have the idf of all terms, which is sent to them), and that idf."""
+    key, spark = counted.columns[0], counted.sparkSession
+    docs = counted.select(F.col(key).cast("long").alias("_key"), "words")
+    if few(terms):
+        found = terms.select("term", "idf").toArrow()
+        return docs.withColumn("norm", F.lit(None).cast("double")), spark.sparkContext.broadcast((found.column("term").combine_chunks(), found.column("idf").to_numpy()))
+    rows = term_rows(docs, grams).select("_key", "term", _weights(F.col("tf"), sublinear).alias("w"))
+    norms = rows.join(terms.select("term", "idf"), "term").groupBy("_key").agg(F.sqrt(F.sum((F.col("w") * F.col("idf")) ** 2)).alias("norm"))
+    return docs.join(norms, "_key", "left").withColumn("norm", F.coalesce("norm", F.lit(1.0))), None
+
+
+def _questions(spark, q: DataFrame, query_key: str):
     table = q.toArrow()
     keys, names = table.column(query_key).combine_chunks().dictionary_encode(), table.column("term").combine_chunks().dictionary_encode()
     number = lambda c: c.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    questions = spark.sparkContext.broadcast(Questions(keys.dictionary.to_pylist(), names.dictionary.to_pylist(), number(keys), number(names), table.column("_q").to_numpy()))
+    return spark.sparkContext.broadcast(Questions(keys.dictionary.to_pylist(), names.dictionary.to_pylist(), number(keys), number(names), table.column("_q").to_numpy()))
+
+
+def _blocks(batches, asked: Questions, idf, sublinear: bool, grams):
+    """(keys, document, term, weight) of blocks of documents: the postings of the questions' terms."""
+    terms = Terms(grams)
+    wanted = pa.array(asked.terms, pa.string())
+    known, values = idf.value if idf is not None else (pa.array([], pa.string()), np.zeros(0))
+    # what a term of this task is among those of questions, and its idf
+    term_of, idf_of = np.zeros(0, np.int64), np.zeros(0)
+    for whole in _cut(batches):
+        for at in range(0, whole.num_rows, BLOCK):
+            batch = whole.slice(at, BLOCK)
+            doc, ids, tf = terms.counts(batch.column(1))
+            new = pa.array(terms.names(len(term_of)), pa.string())
+            term_of = np.concatenate((term_of, pc.fill_null(pc.index_in(new, value_set=wanted), -1).to_numpy().astype(np.int64)))
+            if idf is not None:
+                place = pc.fill_null(pc.index_in(new, value_set=known), -1).to_numpy()
+                idf_of = np.concatenate((idf_of, np.where(place >= 0, values[place], 0.0) if len(values) else np.zeros(len(new))))
+            weight = np.log(tf) + 1.0 if sublinear else tf.astype(np.float64)
+            norm = np.sqrt(np.bincount(doc, weights=(weight * idf_of[ids]) ** 2, minlength=batch.num_rows)) if idf is not None else batch.column(2).to_numpy(zero_copy_only=False)
+            kept = term_of[ids] >= 0
+            doc, term, weight = doc[kept], term_of[ids[kept]], weight[kept]
+            yield batch.column(0).to_numpy(), doc, term, weight / norm[doc]
+            if len(terms.numbers) > Terms.MOST:
+                terms.clear()
+                term_of, idf_of = np.zeros(0, np.int64), np.zeros(0)
+
+
+def _found(best: Best, keys: list, kind: pa.DataType, query_key: str) -> pa.RecordBatch:
+    where = np.repeat(np.arange(len(keys)), [len(d) for d in best.docs])
+    return pa.RecordBatch.from_arrays([pa.array(keys, kind).take(pa.array(where)), pa.array(np.concatenate([*best.docs, np.zeros(0, np.int64)])), pa.array(np.concatenate([*best.scores, np.zeros(0)]))], [query_key, "_key", "score"])
+
+
+def _best_of(spark, docs: DataFrame, q: DataFrame, idf, query_key: str, kind: str, k: int, sublinear: bool, grams: tuple[int, int] | None) -> DataFrame:
+    questions, type_of = _questions(spark, q, query_key), q.select(query_key).limit(0).toArrow().schema.field(0).type
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, terms = questions.value, Terms(grams)
-        wanted, best = pa.array(asked.terms, pa.string()), Best(len(asked.keys), k)
-        known, values = idf.value if idf is not None else (pa.array([], pa.string()), np.zeros(0))
-        # what a term of this task is among those of questions, and its idf
-        term_of, idf_of = np.zeros(0, np.int64), np.zeros(0)
-        for whole in _cut(batches):
-            for at in range(0, whole.num_rows, BLOCK):
-                batch = whole.slice(at, BLOCK)
-                doc, ids, tf = terms.counts(batch.column(1))
-                new = pa.array(terms.names(len(term_of)), pa.string())
-                term_of = np.concatenate((term_of, pc.fill_null(pc.index_in(new, value_set=wanted), -1).to_numpy().astype(np.int64)))
-                if idf is not None:
-                    place = pc.fill_null(pc.index_in(new, value_set=known), -1).to_numpy()
-                    idf_of = np.concatenate((idf_of, np.where(place >= 0, values[place], 0.0) if len(values) else np.zeros(len(new))))
-                weight = np.log(tf) + 1.0 if sublinear else tf.astype(np.float64)
-                norm = np.sqrt(np.bincount(doc, weights=(weight * idf_of[ids]) ** 2, minlength=batch.num_rows)) if idf is not None else batch.column(2).to_numpy(zero_copy_only=False)
-                kept = term_of[ids] >= 0
-                doc, term, weight = doc[kept], term_of[ids[kept]], weight[kept]
-                score_block(asked, best, batch.column(0).to_numpy(), doc, term, weight / norm[doc])
-                if len(terms.numbers) > Terms.MOST:
-                    terms.clear()
-                    term_of, idf_of = np.zeros(0, np.int64), np.zeros(0)
-        where = np.repeat(np.arange(len(asked.keys)), [len(d) for d in best.docs])
-        names = pa.array(asked.keys, table.schema.field(query_key).type).take(pa.array(where))
-        yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([*best.docs, np.zeros(0, np.int64)])), pa.array(np.concatenate([*best.scores, np.zeros(0)]))], [query_key, "_key", "score"])
+        asked = questions.value
+        best = Best(len(asked.keys), k)
+        for block in _blocks(batches, asked, idf, sublinear, grams):
+            score_block(asked, best, *block)
+        yield _found(best, asked.keys, type_of, query_key)
 
     return docs.mapInArrow(find, f"`{query_key}` {kind}, _key long, score double")

@@ -262,21 +262,21 @@ def char_scores(spark, d) -> DataFrame:
     return ps.matched(asked, counts, vocabulary, "item_id", "doc_id", sublinear=True)
 
 
-def _top(asked: DataFrame, docs: DataFrame, words, k: int, grams: tuple[int, int] | None = None, **kept) -> DataFrame:
-    """The k best documents of each benchmark text, by terms of both."""
+def _ranking(spark, d, words, grams: tuple[int, int] | None = None, **kept) -> topk.TextList:
+    """Documents by the terms that they share with benchmark texts."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
     counted = staged(topk.document_words(docs, "doc_id", words), "document-words")
     vocabulary = staged(topk.vocabulary(counted, docs.count(), grams=grams, **kept), "terms")
-    asked = staged(topk.document_words(asked, "item_id", words), "asked")
-    return topk.top_documents(asked, counted, vocabulary, k, sublinear=grams is not None, grams=grams)
+    asked = staged(topk.document_words(table(spark, d, "benchmark").select("item_id", "text"), "item_id", words), "asked")
+    return topk.TextList(asked, counted, vocabulary, sublinear=grams is not None, grams=grams)
 
 
-def top_by_words(spark, d, k: int) -> DataFrame:
-    return _top(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text"), ascii_terms(), k)
+def by_words(spark, d) -> topk.TextList:
+    return _ranking(spark, d, ascii_terms())
 
 
-def top_by_characters(spark, d, k: int) -> DataFrame:
-    words = tx.padded_words(F.col("text"))
-    return _top(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text"), words, k, (3, 5), min_df=2, max_features=300_000)
+def by_characters(spark, d) -> topk.TextList:
+    return _ranking(spark, d, tx.padded_words(F.col("text")), (3, 5), min_df=2, max_features=300_000)
 
 
 @query(f"with {_TF} select term, df, cf from df")
@@ -297,7 +297,7 @@ def tfidf_postings(spark, d):
 
 @query(f"with {_SCORE} select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from score) where rank <= 3")
 def tfidf_topk(spark, d):
-    return top_by_words(spark, d, 3)
+    return by_words(spark, d).first(3)
 
 
 def _char_sql(name, key, src_table, text="text"):
@@ -326,7 +326,7 @@ _CHAR = _char_index_sql("")
 
 @query(f"with {_CHAR} select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from score) where rank <= 3")
 def char_ngram_topk(spark, d):
-    return top_by_characters(spark, d, 3)
+    return by_characters(spark, d).first(3)
 
 
 _VQ = "select vec_id as query_id, embedding as q, label as query_label from embeddings where vec_id % 100 = 0"
@@ -368,15 +368,11 @@ _RRF = f"""{_SCORE}, {_char_index_sql("c")}, pair as (select item_id, doc_id, co
   rrf as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from fused)"""
 
 
-def fused_answers(spark, d) -> DataFrame:
+def fused_answers(spark, d, k: int = 10) -> DataFrame:
     """Word and character scores of benchmark texts fused with cosines of the vectors of the same numbers."""
-    docs, items = table(spark, d, "documents").select("doc_id"), table(spark, d, "benchmark").select("item_id")
-    word = search.ranked(search.complete(word_scores(spark, d), items, docs, "item_id", "doc_id"), "item_id", "doc_id")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    asked = vectors.join(items, vectors.doc_id == items.item_id).select("item_id", "vector")
-    vector = search.ranked(ps.vector_scores(asked, vectors, "item_id", "doc_id"), "item_id", "doc_id")
-    char = search.ranked(char_scores(spark, d), "item_id", "doc_id")
-    return search.ranked(search.fused(word, vector, char, "item_id", "doc_id", docs.count()), "item_id", "doc_id")
+    asked = vectors.join(table(spark, d, "benchmark").select("item_id"), F.col("doc_id") == F.col("item_id")).select("item_id", "vector")
+    return topk.fused_top(by_words(spark, d), topk.VectorList(asked, vectors), by_characters(spark, d), table(spark, d, "documents").count(), k)
 
 
 @query(f"with {_RRF} select item_id, doc_id, score, rank from rrf where rank <= 10")
@@ -394,7 +390,7 @@ _OVERLAP = f"round(len(list_intersect(list_distinct({TOK.replace('text', 'b.text
 
 
 def candidates(spark, d, k: int = 10) -> DataFrame:
-    top = top_by_words(spark, d, k)
+    top = by_words(spark, d).first(k)
     texts = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     return top.join(texts, "doc_id").withColumn("n_words", tx.word_count(F.col("text")))
 

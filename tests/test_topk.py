@@ -106,3 +106,42 @@ def test_empty_tables(spark):
     vocabulary = staged(topk.vocabulary(counted, 0, 1, 10), "vocabulary")
     asked = staged(topk.document_words(spark.createDataFrame([(1, "a b")], "q long, text string"), "q", tx.words(F.col("text"))), "asked")
     assert topk.top_documents(asked, counted, vocabulary, 3).collect() == []
+
+
+def test_fused_top_has_the_ranks_of_complete_rankings(spark):
+    """Against complete rankings of all three lists; the first depth is too small, so it is doubled."""
+    docs, asked = texts(5, 120), texts(6, 6)
+    rng = random.Random(7)
+    unit = lambda: (lambda v: [x / math.hypot(*v) for x in v])([rng.gauss(0, 1) for _ in range(4)])
+    vectors = {i: unit() for i, _ in docs if i % 7}  # some documents have no vector
+    asked_vectors = {q: unit() for q, _ in asked}
+
+    def ranks(scored):
+        return {i: rank for rank, (_, i) in enumerate(sorted((-s, i) for i, s in scored.items()), 1)}
+
+    def complete(grams, **kept):
+        own = every_pair(asked, docs, len(docs), grams, **kept)
+        return {q: {i: s for x, i, s, _ in own if x == q} for q, _ in asked}
+
+    words, grams = complete(None), complete((3, 5), min_df=2, most=40, sublinear=True)
+    want = {}
+    for q, _ in asked:
+        word = ranks({i: words[q].get(i, 0.0) for i, _ in docs})
+        char = ranks(grams[q])
+        vector = ranks({i: round(sum(a * b for a, b in zip(v, asked_vectors[q])), 6) for i, v in vectors.items()})
+        fused = {i: round(1 / (60 + word[i]) + 1 / (60 + vector[i]) + 0.5 / (60 + char.get(i, len(docs))), 8) for i in vectors}
+        want[q] = [i for _, i in sorted((-s, i) for i, s in fused.items())[:5]]
+
+    d = spark.createDataFrame(docs, "doc long, text string").repartition(4)
+    a = spark.createDataFrame(asked, "q long, text string")
+
+    def ranking(split, grams=None, **kept):
+        counted = staged(topk.document_words(d, "doc", split), "counted")
+        return topk.TextList(staged(topk.document_words(a, "q", split), "asked"), counted, staged(topk.vocabulary(counted, len(docs), grams=grams, **kept), "vocabulary"), bool(grams), grams)
+
+    vector = topk.VectorList(spark.createDataFrame(list(asked_vectors.items()), "q long, vector array<double>"), spark.createDataFrame(list(vectors.items()), "doc long, vector array<double>"))
+    found = topk.fused_top(ranking(tx.words(F.col("text"))), vector, ranking(tx.padded_words(F.col("text")), (3, 5), min_df=2, max_features=40), len(docs), 5, depth=4)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.q, []).append(r.doc)
+    assert got == want
