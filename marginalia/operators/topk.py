@@ -217,7 +217,11 @@ def score_block(questions: Questions, best: Best, keys: np.ndarray, doc: np.ndar
     first = np.searchsorted(term[by_term], np.arange(n_terms + 1))
     greatest = np.zeros(n_terms)
     np.maximum.at(greatest, term, weight)
-    gather = lambda terms: np.concatenate([np.arange(first[t], first[t + 1]) for t in terms]) if len(terms) else np.zeros(0, np.int64)
+
+    def gather(terms):
+        sizes = first[terms + 1] - first[terms]
+        return np.repeat(first[terms] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
     for i in range(len(questions.keys)):
         a, b = questions.first[i], questions.first[i + 1]
         own, q = questions.term[a:b], questions.q[a:b]
@@ -285,16 +289,29 @@ class TextList:
         return staged(question_terms(self.asked, self.terms, self.sublinear, self.grams), "questions"), *_documents(self.counted, self.terms, self.sublinear, self.grams)
 
     @cached_property
-    def prepared(self) -> tuple[DataFrame, Callable]:
-        """Documents, and a function for tasks: from batches of them to blocks, (keys, a function from a question to their scores)."""
+    def postings(self) -> tuple:
+        """The postings of questions' terms, written, a row for each block of documents; and the questions."""
         q, docs, idf = self.parts
         questions = _questions(self.counted.sparkSession, q, self.asked.columns[0])
         sublinear, grams = self.sublinear, self.grams
+        names = ["keys", "doc", "term", "weight"]
+
+        def pack(batches):
+            for keys, doc, term, weight in _blocks(batches, questions.value, idf, sublinear, grams):
+                parts = (keys.astype("<i8"), doc.astype("<i4"), term.astype("<i4"), weight.astype("<f8"))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names)
+
+        return staged(docs.mapInArrow(pack, ", ".join(f"{n} binary" for n in names)), "postings"), questions
+
+    @cached_property
+    def prepared(self) -> tuple[DataFrame, Callable]:
+        """Blocks of documents, and a function for tasks: from batches of them to (keys, a function from a question to their scores)."""
+        rows, questions = self.postings
 
         def blocks(batches):
             asked = questions.value
             place = {key: i for i, key in enumerate(asked.keys)}
-            for keys, doc, term, weight in _blocks(batches, asked, idf, sublinear, grams):
+            for keys, doc, term, weight in _unpacked(batches):
                 by_term = np.argsort(term, kind="stable")
                 t_doc, t_weight = doc[by_term], weight[by_term]
                 first = np.searchsorted(term[by_term], np.arange(len(asked.terms) + 1))
@@ -305,16 +322,39 @@ class TextList:
                         return np.zeros(len(keys))
                     a, b = asked.first[i], asked.first[i + 1]
                     own, q = asked.term[a:b], asked.q[a:b]
-                    at = np.concatenate([np.zeros(0, np.int64), *(np.arange(first[t], first[t + 1]) for t in own)])
-                    return np.round(np.bincount(t_doc[at], weights=t_weight[at] * np.repeat(q, first[own + 1] - first[own]), minlength=len(keys)), DIGITS)
+                    sizes = first[own + 1] - first[own]
+                    at = np.repeat(first[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                    return np.round(np.bincount(t_doc[at], weights=t_weight[at] * np.repeat(q, sizes), minlength=len(keys)), DIGITS)
 
                 yield keys, scores
 
-        return docs, blocks
+        return rows, blocks
 
     def first(self, k: int) -> DataFrame:
+        """top_documents of this ranking."""
         return top_documents(self.asked, self.counted, self.terms, k, self.sublinear, self.grams, parts=self.parts)
 
+    def first_again(self, k: int) -> DataFrame:
+        """The same from the written postings, for a ranking that is read more than once."""
+        rows, questions = self.postings
+        query_key, key = self.asked.columns[0], self.counted.columns[0]
+        kind, type_of = dict(self.asked.dtypes)[query_key], self.asked.select(query_key).limit(0).toArrow().schema.field(0).type
+
+        def find(batches):
+            best = Best(len(questions.value.keys), k)
+            for block in _unpacked(batches):
+                score_block(questions.value, best, *block)
+            yield _found(best, questions.value.keys, type_of, query_key)
+
+        return search.top(rows.mapInArrow(find, f"`{query_key}` {kind}, _key long, score double").withColumnRenamed("_key", key), query_key, key, k)
+
+
+def _unpacked(batches):
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            keys, doc, term, weight = (np.frombuffer(x, t) for x, t in zip(row, ("<i8", "<i4", "<i4", "<f8")))
+            yield keys, doc.astype(np.int64), term.astype(np.int64), weight
+
 
 @dataclass
 class VectorList:
@@ -339,7 +379,7 @@ class VectorList:
 
         return self.vectors.select(F.col(key).cast("long").alias("_key"), F.col(vector).cast("array<double>").alias("vector")), blocks
 
-    def first(self, k: int) -> DataFrame:
+    def first_again(self, k: int) -> DataFrame:
         docs, blocks = self.prepared
         query_key, key = self.asked.columns[0], self.vectors.columns[0]
         kind = dict(self.asked.dtypes)[query_key]
@@ -416,7 +456,7 @@ def fused_top(word: TextList, vector: VectorList, char: TextList | None, n_parts
     while True:
         seen = None
         for ranking in lists:
-            one = ranking.first(depth).select(query_key, F.col(key).cast("long").alias(key))
+            one = ranking.first_again(depth).select(query_key, F.col(key).cast("long").alias(key))
             seen = one if seen is None else seen.unionByName(one)
         seen = staged(seen.distinct(), "seen")
         places = [staged(exact_places(x, seen), "places") for x in lists]
