@@ -20,12 +20,13 @@ from collections import Counter
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .textwords import slices
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("account", "secret")
@@ -299,16 +300,24 @@ def spans_of(text: str, weights: np.ndarray) -> list[tuple[str, int, int]]:
 _SPANS = "spans array<struct<kind:string,start:long,end:long>>"
 
 
+def _slices(batches, column: int):
+    """Batches in slices of about 1 MB of text, or of one text where that is longer."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+        for i, j in slices(np.concatenate(([0], np.cumsum(sizes)))):
+            yield batch.slice(i, j - i)
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id and spans (kind, start, end in code points, end exclusive) of every document.
 
     A null text counts as empty; repeated rows and null ids give a row each; other columns are
-    ignored.  Texts are searched whole and in linear time."""
+    ignored.  An empty table gives no row.  Texts are searched whole, some 1 MB of them at a time."""
     weights = train(docs)
 
     def find(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in _slices(batches, 1):
             found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(t or "", weights)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
@@ -336,9 +345,14 @@ def redacted(docs: DataFrame) -> DataFrame:
     text, of any length and whole.  Empty tables give no row.  No column is added, so none clashes."""
     weights = train(docs)
 
-    @F.pandas_udf("string")
-    def mask(column: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else masked(t, s) if (s := spans_of(t, weights)) else t for t in column], dtype=object)
+    place, typed = docs.columns.index("text"), docs.withColumn("text", F.col("text").cast("string"))
+
+    def mask(batches):
+        for batch in _slices(batches, place):
+            columns = list(batch.columns)
+            texts = columns[place].to_pylist()
+            columns[place] = pa.array([None if t is None else masked(t, s) if (s := spans_of(t, weights)) else t for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    out = docs.withColumn("text", mask(F.col("text").cast("string")))
+    out = typed.mapInArrow(mask, typed.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
