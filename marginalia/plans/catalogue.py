@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as tx
 from ..functions.rules import Topic
-from ..operators import align, analytics, browse, evaluate, expand, search, topk
+from ..operators import align, analytics, browse, evaluate, expand, search, topk, vectors
 from ..operators import postings as ps
 from ..plugins import overlap_scorer
 from ..sources import records as src
@@ -334,17 +334,15 @@ _VSCORE = f"vs as (select query_id, query_label, vec_id, label, round(list_dot_p
 _VRANK = f"{_VSCORE}, vr as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from vs)"
 
 
-def vector_answers(spark, d) -> DataFrame:
-    """A stated set of queries, the vectors whose id is divisible by 100, against all others."""
+def vectors_of(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A stated set of queries, the vectors whose id is divisible by 100, and all vectors."""
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector", F.col("label").alias("query_label"))
-    scored = ps.vector_scores(asked, rows, "query_id", "vec_id").where("query_id <> vec_id")
-    return scored.join(rows.select("vec_id", "label"), "vec_id").join(asked.select("query_id", "query_label"), "query_id")
+    return rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), rows
 
 
 @query(f"with {_VRANK} select query_id, vec_id, score, rank from vr where rank <= 5")
 def vector_cosine_topk(spark, d):
-    return search.top(vector_answers(spark, d), "query_id", "vec_id", 5).select("query_id", "vec_id", "score", "rank")
+    return vectors.nearest(*vectors_of(spark, d), 5).select("query_id", "vec_id", "score", "rank")
 
 
 @query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))), 6) as norm, len(list_filter(embedding, lambda x: isnan(x) or isinf(x))) > 0 as odd, abs(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))) - 1) > 0.01 as off from embeddings")
@@ -355,8 +353,9 @@ def vector_sanity(spark, d):
 
 @query(f"with {_VSCORE}, g as (select query_id, vec_id // 4 as record, vec_id % 4 as part, score from vs) select query_id, record, max(score) as score, arg_max(part, score * 1000000 * 8 - part) as part from g group by all")
 def best_chunk_per_doc(spark, d):
-    parts = vector_answers(spark, d).select("query_id", F.expr("vec_id div 4").alias("record"), (F.col("vec_id") % 4).alias("part"), "score")
-    return search.best_part(parts, "query_id", "record", "part").select("query_id", "record", "score", "part")
+    asked, rows = vectors_of(spark, d)
+    parts = rows.select("vec_id", "vector", F.expr("vec_id div 4").alias("record"), (F.col("vec_id") % 4).alias("part"))
+    return vectors.best_parts(asked, parts).select("query_id", "record", "score", "part")
 
 
 _RRF = f"""{_SCORE}, {_char_index_sql("c")}, pair as (select item_id, doc_id, coalesce(score, 0) as word_score from (select item_id from benchmark) cross join (select doc_id from documents) left join score using (item_id, doc_id)),
@@ -700,8 +699,7 @@ def feedback_tail(spark, d):
 
 @query(f"with {_VRANK}, f as (select query_id, min(rank) filter (where label = query_label) as first from vr group by query_id) select count(*) as queries, round(avg(cast(coalesce(first <= 1, false) as int)), 6) as recall_1, round(avg(cast(coalesce(first <= 3, false) as int)), 6) as recall_3, round(avg(coalesce(1.0 / first, 0)), 6) as mrr from f")
 def eval_recall_at_k(spark, d):
-    found = vector_answers(spark, d).withColumn("good", F.col("label") == F.col("query_label"))
-    return evaluate.recall_at(evaluate.first_relevant(found, "query_id", "vec_id", "good"))
+    return evaluate.recall_at(vectors.first_relevant(*vectors_of(spark, d)))
 
 
 _CASES = f"""{_VRANK}, cases as (select query_id, query_label, case when query_id % 300 = 0 then 'known_failure' else 'pass' end as expect, query_id % 500 = 0 as reject from (select vec_id as query_id, label as query_label from embeddings where vec_id % 100 = 0)),
@@ -710,9 +708,10 @@ _CASES = f"""{_VRANK}, cases as (select query_id, query_label, case when query_i
 
 
 def case_results(spark, d) -> DataFrame:
-    found = search.ranked(vector_answers(spark, d), "query_id", "vec_id").select("query_id", "rank", F.col("label").alias("answer"), (F.col("score") >= 0.3).alias("confident"))
-    asked = table(spark, d, "embeddings").where("vec_id % 100 = 0")
-    cases = asked.select(F.col("vec_id").alias("query_id"), F.array("label").alias("expected"), F.when(F.col("vec_id") % 300 == 0, "known_failure").otherwise("pass").alias("expect"), (F.col("vec_id") % 500 == 0).alias("reject"))
+    asked, rows = vectors_of(spark, d)
+    best = vectors.nearest(asked, rows, 3).join(rows.select("vec_id", "label"), "vec_id")
+    found = best.select("query_id", "rank", F.col("label").alias("answer"), (F.col("score") >= 0.3).alias("confident"))
+    cases = asked.select("query_id", F.array("label").alias("expected"), F.when(F.col("query_id") % 300 == 0, "known_failure").otherwise("pass").alias("expect"), (F.col("query_id") % 500 == 0).alias("reject"))
     return evaluate.case_results(cases, found, "query_id")
 
 
@@ -728,8 +727,9 @@ def eval_summary(spark, d):
 
 @query(f"with {_VSCORE}, b as (select query_id, max(score) filter (where vec_id % 2 = 0) as own, max(score) as every from vs group by query_id) select count(*) as questions, round(avg(own), 6) as own_mean, round(avg(every), 6) as both_mean, count(*) filter (where every > own) as improved, count(*) filter (where own >= 0.44) as own_over, count(*) filter (where every >= 0.44) as both_over from b")
 def gold_gain(spark, d):
-    kinds = vector_answers(spark, d).withColumn("kind", F.when(F.col("vec_id") % 2 == 0, "text").otherwise("question"))
-    return evaluate.gain(kinds, "query_id")
+    asked, rows = vectors_of(spark, d)
+    kinds = rows.select("vec_id", "vector", F.when(F.col("vec_id") % 2 == 0, "text").otherwise("question").alias("kind"))
+    return evaluate.gain(vectors.greatest(asked, kinds), "query_id")
 
 
 @query("""with a as (select doc_id, quality as first, quality + toxic as n from labels), b as (select doc_id, cast(n_chars % 2 as int) as first, cast(n_chars % 3 as int) as n from documents)
