@@ -814,16 +814,23 @@ def stream_caps(spark, d):
     return caps.capped_once(_searches(_event_source(spark, d)), per_visitor=1, per_day=40)
 
 
+#: Each file of a micro-batch has about so many rows at least.
+ROWS_OF_A_FILE = 50_000
+
+
 def _in_batches(spark, d, batch, n: int) -> DataFrame:
     """The events as a stream of n micro-batches: batch is the number of an event's, a column."""
     from ..shared import new_folder
 
     folder = new_folder(spark, "batches")
     rows = table(spark, d, "events")
-    for k in range(n):  # one file each, written one after another: the stream takes them by their time
-        rows.where(batch == k).coalesce(1).write.mode("append").parquet(folder)
+    sizes = rows.groupBy(batch.alias("batch")).count().collect()
+    # of each the same number of files, as many as the smallest can fill, written one batch after another: the stream takes them by their time
+    files = max(1, min(spark.sparkContext.defaultParallelism, min((r["count"] for r in sizes), default=0) // ROWS_OF_A_FILE)) if len(sizes) == n else 1
+    for k in range(n):
+        rows.where(batch == k).repartition(files).write.mode("append").parquet(folder)
     e = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
     return stream.select(F.to_date("ts").alias("d"), F.element_at(e, F.col("event_type")).alias("e"), F.col("user_id").cast("string").alias("v"), "event_id", "ts")
 
 

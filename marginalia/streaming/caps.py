@@ -1,8 +1,8 @@
 """Daily caps over a stream, with keyed state.
 
-How many searches a visitor has had on a day is one number in a state store, under the day and the visitor; a timer drops it when the
-day is over.  Of a micro-batch's searches of one key no more than are left of the cap are held: a search that
-a smaller one displaces is refused at once.  What a day of the site has used is a small table of the days that are still open, one
+How many searches the visitors of a day have had is kept in a state store, under the day and a share of its visitors, so that a micro-batch
+reads and writes a state for many visitors at once; a timer drops it when the day is over.  Of a micro-batch's searches of one visitor no more than
+are left of the cap are held: a search that a smaller one displaces is refused at once.  What a day of the site has used is a small table of the days that are still open, one
 snapshot a micro-batch.
 """
 
@@ -22,6 +22,8 @@ from ..shared import delete, new_folder, removed, staged
 #: Keyed state with timers needs the store that Spark keeps in RocksDB.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+#: In so many shares the visitors of a day are dealt, by a hash of their name.  It can't be changed while a checkpoint is in use.
+SHARES = 64
 
 
 @contextmanager
@@ -40,39 +42,41 @@ def state_store(spark: SparkSession):
 
 
 class VisitorCap(StatefulProcessor):
-    """The first per_visitor searches of a key (day, visitor) are candidates."""
+    """The first per_visitor searches of a visitor are candidates.  A key is a day and a share of its visitors."""
 
     def __init__(self, per_visitor: int, order: str):
         self.per_visitor, self.order = per_visitor, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.used = handle.getValueState("used", "n long")
+        self.used = handle.getValueState("used", "visitors array<string>, n array<long>")
 
-    def _rows(self, key, orders: list, candidate: bool) -> pd.DataFrame:
-        return pd.DataFrame({"day": [key[0]] * len(orders), "visitor": [key[1]] * len(orders), "ord": orders, "candidate": [candidate] * len(orders)})
+    def _rows(self, key, visitors: list, orders: list, candidate: bool) -> pd.DataFrame:
+        return pd.DataFrame({"day": [key[0]] * len(orders), "visitor": visitors, "ord": orders, "candidate": [candidate] * len(orders)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.used.exists()
-        used = self.used.get()[0] if known else 0
-        left = max(0, self.per_visitor - used)
-        held: list = []  # the least orders, as a heap of their negatives
+        used = dict(zip(*self.used.get())) if known else {}
+        held: dict[str, list] = {}  # a visitor's least orders, as a heap of their negatives
         for chunk in rows:
-            refused = []
-            for x in chunk[self.order].tolist():
-                if len(held) < left:
-                    heapq.heappush(held, -x)
-                elif held and x < -held[0]:
-                    refused.append(-heapq.heapreplace(held, -x))
-                else:
-                    refused.append(x)
+            who, refused = [], []
+            for visitor, x in zip(chunk["visitor"].tolist(), chunk[self.order].tolist()):
+                own = held.get(visitor)
+                if own is None:
+                    own = held[visitor] = []
+                if len(own) < self.per_visitor - used.get(visitor, 0):
+                    heapq.heappush(own, -x)
+                    continue
+                who.append(visitor)
+                refused.append(-heapq.heapreplace(own, -x) if own and x < -own[0] else x)
             if refused:
-                yield self._rows(key, refused, False)
-        if held:
-            yield self._rows(key, sorted(-x for x in held), True)
-            self.used.update((used + len(held),))
-        elif not known:
-            self.used.update((used,))
+                yield self._rows(key, who, refused, False)
+        passed = [(visitor, -x) for visitor, own in held.items() for x in own]
+        if passed:
+            yield self._rows(key, [p[0] for p in passed], [p[1] for p in passed], True)
+        for visitor, own in held.items():
+            used[visitor] = used.get(visitor, 0) + len(own)
+        self.used.update((list(used), list(used.values())))
         if not known:
             ends = int(pd.Timestamp(key[0]).value // 1_000_000) + DAY_MS
             # a day that is over already is only here until the next batch
@@ -92,7 +96,8 @@ def candidates(searches: DataFrame, per_visitor: int, late: str) -> DataFrame:
     rows = searches.select("day", "visitor", F.col("ord").cast("long").alias("ord"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
     named = F.col("visitor").isNotNull() & (F.col("visitor") != "")
     schema = f"day {dict(searches.dtypes)['day']}, visitor string, ord long, candidate boolean"
-    kept = rows.where(named).groupBy("day", "visitor").transformWithStateInPandas(VisitorCap(per_visitor, "ord"), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    shared = rows.where(named).withColumn("share", F.pmod(F.xxhash64("visitor"), F.lit(SHARES)))
+    kept = shared.groupBy("day", "share").transformWithStateInPandas(VisitorCap(per_visitor, "ord"), outputStructType=schema, outputMode="Append", timeMode="EventTime")
     nameless = rows.where(~F.coalesce(named, F.lit(False))).select("day", "visitor", "ord", F.lit(True).alias("candidate"))
     return kept.unionByName(nameless)
 

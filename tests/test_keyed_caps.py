@@ -113,3 +113,15 @@ def test_an_interval_trigger_takes_up_new_files(spark, tmp_path, seconds):
         assert len(query.recentProgress) >= 2
     finally:
         query.stop()
+
+
+def test_visitors_share_states(spark, batches, tmp_path):
+    """A state for each visitor would be a call for each of them."""
+    rows = [[(at(1, h), f"v{i}", 3000 * h + i) for i in range(3000) for h in (1, 2)], [(at(1, 3), f"v{i}", 9000 + i) for i in range(3000)]]
+    stream = batches(rows).withColumn("day", F.to_date("ts"))
+    folder = str(tmp_path / "out")
+    with caps.state_store(spark):
+        caps.capped_by_state(stream, folder, per_visitor=2).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.ord for r in spark.read.parquet(f"{folder}/admitted").where("admitted").collect()) == list(range(3000, 9000))
+    states = spark.read.format("statestore").option("stateVarName", "used").load(f"{folder}/checkpoint")
+    assert states.count() <= 64
