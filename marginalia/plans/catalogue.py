@@ -238,28 +238,8 @@ _QPOST = f"qtf as (select item_id, term, count(*) as tf from (select item_id, un
 _SCORE = f"{_POST}, {_QPOST}, score as (select item_id, doc_id, round(sum(p.weight * q.weight), 6) as score from qpost as q join post as p using (term) group by all)"
 
 
-def word_counts_of(spark, d) -> DataFrame:
-    return ps.term_counts(table(spark, d, "documents").select("doc_id", "text"), "doc_id", ascii_terms(), placed=True)
-
-
-def word_index(spark, d):
-    """Counts and vocabulary, written: several parts of a plan read them."""
-    counts = staged(word_counts_of(spark, d), "word-counts")
-    return counts, staged(ps.vocabulary(counts, table(spark, d, "documents").count()), "word-terms")
-
-
-def word_scores(spark, d) -> DataFrame:
-    counts, vocabulary = word_index(spark, d)
-    asked = ps.term_counts(table(spark, d, "benchmark").select("item_id", "text"), "item_id", ascii_terms())
-    return ps.matched(asked, counts, vocabulary, "item_id", "doc_id")
-
-
-def char_scores(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    counts = staged(ps.gram_counts(docs, "doc_id", "text"), "gram-counts")
-    vocabulary = staged(ps.vocabulary(counts, docs.count(), min_df=2, max_features=300_000), "gram-terms")
-    asked = ps.gram_counts(table(spark, d, "benchmark").select("item_id", "text"), "item_id", "text")
-    return ps.matched(asked, counts, vocabulary, "item_id", "doc_id", sublinear=True)
+def words_of(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.coalesce(ascii_terms(), F.array().cast("array<string>")).alias("words"))
 
 
 def _ranking(spark, d, words, grams: tuple[int, int] | None = None, **kept) -> topk.TextList:
@@ -281,18 +261,20 @@ def by_characters(spark, d) -> topk.TextList:
 
 @query(f"with {_TF} select term, df, cf from df")
 def doc_frequency(spark, d):
-    return ps.document_frequency(word_counts_of(spark, d))
+    return topk.vocabulary(words_of(spark, d), 0).select("term", "df", "cf")
 
 
 @query(f"with {_TF} select term, round(idf, 6) as idf from idf")
 def idf_table(spark, d):
-    return ps.vocabulary(word_counts_of(spark, d), table(spark, d, "documents").count()).select("term", F.round("idf", 6).alias("idf"))
+    return topk.vocabulary(words_of(spark, d), table(spark, d, "documents").count()).select("term", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {_POST} select doc_id, term, round(weight, 6) as weight from post")
 def tfidf_postings(spark, d):
-    counts, vocabulary = word_index(spark, d)
-    return ps.weighted(counts, vocabulary, "doc_id").withColumn("weight", F.round("weight", 6))
+    docs = table(spark, d, "documents")
+    counted = staged(topk.document_words(docs, "doc_id", ascii_terms()), "document-words")
+    vocabulary = staged(topk.vocabulary(counted, docs.count()), "terms")
+    return topk.weighted(counted, vocabulary).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"with {_SCORE} select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from score) where rank <= 3")
