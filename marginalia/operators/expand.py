@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
 
+def text_parts(text: Column, target: int = 45, ceiling: int = 180) -> Column:
+    """Windows of sentences.  A blank text is one as it is."""
+    return tx.let(tx.windows(tx.sentences(text), target, ceiling), lambda parts: F.when(F.size(parts) > 0, parts).otherwise(F.array(text)))
+
+
 def text_chunks(records: DataFrame, key: str, target: int = 45, ceiling: int = 180) -> DataFrame:
     """key, chunk_index (text, as questions have others), ord, chunk_text, chunk_type: windows of
-    sentences.  A blank text is one chunk as it is."""
-    parts = tx.windows(tx.sentences(F.col("text")), target, ceiling)
-    chunks = F.when(F.size(parts) > 0, parts).otherwise(F.array("text"))
-    rows = records.select(key, F.posexplode(chunks).alias("ord", "chunk_text"))
+    sentences."""
+    rows = records.select(key, F.posexplode(text_parts(F.col("text"), target, ceiling)).alias("ord", "chunk_text"))
     return rows.select(key, F.col("ord").cast("string").alias("chunk_index"), F.col("ord").cast("long").alias("ord"), "chunk_text", F.lit("text").alias("chunk_type"))
 
 
