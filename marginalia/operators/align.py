@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..shared import staged
-from . import postings as ps
+from . import topk
 
 #: Similarity from which a match is verified, and from which it is worth a look.
 VERIFIED, REVIEW = 0.80, 0.60
@@ -17,11 +17,15 @@ def best_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     """left_key, right_key, similarity: for each left text the most similar right one (the smaller key
     of equal ones).  Both hold an array of terms; the vocabulary is that of the right side.  A left text that
     shares no term is as far from all right ones: it has the first of them, with similarity 0."""
-    right_counts = staged(ps.term_counts(right, right_key, F.col(terms), placed=True), "right-counts")
-    vocabulary = staged(ps.vocabulary(right_counts, right.count()), "right-terms")
-    scored = ps.matched(ps.term_counts(left, left_key, F.col(terms)), right_counts, vocabulary, left_key, right_key)
-    # the least of (-score, key) is the best score with the smallest key, whatever the key's type
-    best = scored.groupBy(left_key).agg(F.min(F.struct((-F.col("score")).alias("_s"), right_key)).alias("_b"))
+    if dict(right.dtypes)[right_key] in ("bigint", "int"):
+        numbered = right.withColumn("_no", F.col(right_key).cast("long"))
+    else:  # numbers in the order of the key
+        parts = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        numbered = staged(right.select(right_key, terms).repartitionByRange(parts, right_key).sortWithinPartitions(right_key).withColumn("_no", F.monotonically_increasing_id()), "numbered")
+    counted = staged(topk.document_words(numbered.select("_no", terms), "_no", F.col(terms)), "right-terms")
+    asked = staged(topk.document_words(left.select(left_key, terms), left_key, F.col(terms)), "left-terms")
+    found = topk.top_documents(asked, counted, None, 1, parts=topk.asked_parts(asked, counted, counted.count()))
+    best = found.join(numbered.select("_no", right_key), "_no").select(left_key, F.struct((-F.col("score")).alias("_s"), right_key).alias("_b"))
     first = right.agg(F.min(right_key).alias("_first"))
     every = left.select(left_key).distinct().join(best, left_key, "left").crossJoin(F.broadcast(first))  # one row
     return every.where("_first is not null").select(left_key, F.coalesce(f"_b.{right_key}", "_first").alias(right_key), F.coalesce(-F.col("_b._s"), F.lit(0.0)).alias("similarity"))
