@@ -1,9 +1,9 @@
 """Complete rankings of documents by their best part, without a row for each pair of a question and a part.
 
 A document is kept as one row with all its parts.  A task scores the parts for a block of questions at once, as products of
-matrices, and writes one row for each document: the score of its best part for every question, as whole numbers (scores times a
+matrices, and writes one row for each document: its best part for every question and that part's score, as whole numbers (scores times a
 million).  Ranks are counted from these rows (`topk.exact_places`), so no ranking is sorted and no pair is shuffled.  The work stays
-questions times parts; what is written is questions times documents, four bytes each, for one block of questions at a time.
+questions times parts; what is written is questions times documents, eight bytes each (the score and the part), for one block of questions at a time.
 """
 
 from __future__ import annotations
