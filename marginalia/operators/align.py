@@ -5,32 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
-from ..shared import staged
-from . import topk
+from ..shared import few, staged
+from . import closest
 
 #: Similarity from which a match is verified, and from which it is worth a look.
 VERIFIED, REVIEW = 0.80, 0.60
 
 
-def best_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, terms: str = "terms") -> DataFrame:
+def best_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, terms: str = "terms", pairs: bool = False) -> DataFrame:
     """left_key, right_key, similarity: for each left text the most similar right one (the smaller key
-    of equal ones).  Both hold an array of terms; the vocabulary is that of the right side.  A left text that
-    shares no term is as far from all right ones: it has the first of them, with similarity 0."""
-    if dict(right.dtypes)[right_key] in ("bigint", "int"):
-        numbered = right.withColumn("_no", F.col(right_key).cast("long"))
-    else:  # numbers in the order of the key
-        parts = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        numbered = staged(right.select(right_key, terms).repartitionByRange(parts, right_key).sortWithinPartitions(right_key).withColumn("_no", F.monotonically_increasing_id()), "numbered")
-    counted = staged(topk.document_words(numbered.select("_no", terms), "_no", F.col(terms)), "right-terms")
-    asked = staged(topk.document_words(left.select(left_key, terms), left_key, F.col(terms)), "left-terms")
-    found = topk.top_documents(asked, counted, None, 1, parts=topk.asked_parts(asked, counted, counted.count()))
-    best = found.join(numbered.select("_no", right_key), "_no").select(left_key, F.struct((-F.col("score")).alias("_s"), right_key).alias("_b"))
+    of equal ones).  Both hold an array of terms, with pairs one of words of which two neighbours are a term as well; the vocabulary is that of the right
+    side.  A left text that shares no term is as far from all right ones: it has the first of them, with similarity 0."""
+    numbers = [_numbered(df, key, terms, name) for df, key, name in ((left, left_key, "_left"), (right, right_key, "_key"))]
+    found = left.sparkSession.createDataFrame(closest.closest(*numbers, terms, pairs))
+    found = F.broadcast(found) if few(found) else found
+    best = found.select("_left", "_key", "score")
+    for numbered, key, name in ((numbers[0], left_key, "_left"), (numbers[1], right_key, "_key")):
+        kind = dict(numbered.dtypes)[key]
+        best = best.withColumn(key, F.col(name).cast(kind)) if kind in WHOLE else best.join(numbered.select(name, key), name)
+    best = best.groupBy(left_key).agg(F.min(F.struct((-F.col("score")).alias("_s"), right_key)).alias("_b"))
     first = right.agg(F.min(right_key).alias("_first"))
     every = left.select(left_key).distinct().join(best, left_key, "left").crossJoin(F.broadcast(first))  # one row
     return every.where("_first is not null").select(left_key, F.coalesce(f"_b.{right_key}", "_first").alias(right_key), F.coalesce(-F.col("_b._s"), F.lit(0.0)).alias("similarity"))
 
 
+WHOLE = ("bigint", "int")
+
+
+def _numbered(df: DataFrame, key: str, terms: str, name: str) -> DataFrame:
+    """key, its number, in the order of the key, and terms."""
+    if dict(df.dtypes)[key] in WHOLE:
+        return df.select(key, F.col(key).cast("long").alias(name), terms).where(F.col(key).isNotNull())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.select(key, terms).repartitionByRange(parts, key).sortWithinPartitions(key).withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def with_status(matches: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """status: of several claims on one right text the most similar wins (the first of equal ones) and
     the others are contested; a winner is verified, worth a review or unmatched."""
@@ -61,7 +70,3 @@ def verified_records(records: DataFrame, matches: DataFrame, key: str) -> DataFr
 def flagged(matches: DataFrame, k: int = 10) -> DataFrame:
     """The least similar matches that aren't verified."""
     return matches.where("status <> 'verified'").orderBy("similarity", *[c for c in matches.columns if c.endswith("_id")]).limit(k)
-
-
-def alignment_terms(text, low: int = 1, high: int = 2):
-    return tx.word_grams(tx.tokens(text, tx.ASCII_TOKENS), low, high)

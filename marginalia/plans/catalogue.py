@@ -23,7 +23,7 @@ from ..operators import postings as ps
 from ..plugins import overlap_scorer
 from ..sources import records as src
 from ..sources import sinks
-from ..shared import staged
+from ..shared import few, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -435,9 +435,12 @@ _ALIGN = rf"""{_gram_tf("tf", "doc_id", "documents")}, n as (select count(*) as
 
 def matches_of(spark, d) -> DataFrame:
     items, docs = table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text")
-    left, right = items.withColumn("terms", align.alignment_terms(F.col("text"))), docs.withColumn("terms", align.alignment_terms(F.col("text")))
-    found = align.best_matches(left, right, "item_id", "doc_id")
-    found = found.join(items.select("item_id", tx.word_count(F.col("text")).alias("left_words")), "item_id").join(docs.select("doc_id", tx.word_count(F.col("text")).alias("right_words")), "doc_id")
+    left, right = items.withColumn("terms", ascii_terms()), docs.withColumn("terms", ascii_terms())
+    found = align.best_matches(left, right, "item_id", "doc_id", pairs=True)
+    found = staged(found.join(items.select("item_id", tx.word_count(F.col("text")).alias("left_words")), "item_id"), "found")
+    met = found.select("doc_id").distinct()
+    met = docs.join(F.broadcast(met) if few(met) else met, "doc_id", "left_semi").select("doc_id", tx.word_count(F.col("text")).alias("right_words"))
+    found = found.join(met, "doc_id")
     return align.with_status(found, "item_id", "doc_id")
 
 
