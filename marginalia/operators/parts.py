@@ -94,6 +94,17 @@ def _sliced(doc: np.ndarray, part: np.ndarray):
         yield slice(at, at + SLICE), doc[at : at + SLICE], part[at : at + SLICE]
 
 
+def _few_words(lists: pa.Array, most: int = 50_000) -> Iterator[slice]:
+    """Lists in stretches of at most 1,024 that have about `most` elements, or one list where that has more."""
+    total = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(total):
+        before = total[at - 1] if at else 0
+        end = min(at + 1024, max(at + 1, int(np.searchsorted(total, before + most, side="right"))))
+        yield slice(at, end)
+        at = end
+
+
 def _places(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of the elements of lists: in which list they are, and at which place."""
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
@@ -163,8 +174,7 @@ def scored_texts(asked: DataFrame, terms_asked: DataFrame, words: DataFrame, ter
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = questions.value
-        known = topk.Terms(grams)
-        term_of, idf_of = np.zeros(0, np.int64), np.zeros(0)
+        weigher = sent.value.weigher(asked, asked.terms, grams)
         for batch in topk._cut(batches, 1024):
             greatest = Greatest(batch.num_rows, asked.n)
             doc, part = _places(batch.column(1))
@@ -174,25 +184,16 @@ def scored_texts(asked: DataFrame, terms_asked: DataFrame, words: DataFrame, ter
             rest = np.zeros(len(doc))
             if len(more):
                 rest[first[at] + more.field("part").to_numpy()] = more.field("rest").to_numpy()
-            for begin in range(0, len(doc), 1024):  # a document may have many more parts
-                here = slice(begin, begin + 1024)
-                row, ids, tf = known.counts(lists[here])
-                new = pa.array(known.names(len(term_of)), pa.string())
-                if len(new):
-                    term_of = np.concatenate((term_of, pc.fill_null(pc.index_in(new, value_set=asked.terms), -1).to_numpy().astype(np.int64)))
-                    idf_of = np.concatenate((idf_of, sent.value.of(new)))
+            for here in _few_words(lists):  # a document may have many more parts
+                row, term, tf, idf = weigher.of(lists[here])
                 weight = np.log(tf) + 1.0 if sublinear else tf.astype(np.float64)
-                n = len(doc[here])
-                norm = np.sqrt(np.bincount(row, weights=(weight * idf_of[ids]) ** 2, minlength=n) + rest[here])
-                kept = term_of[ids] >= 0
-                row, term, weight = row[kept], term_of[ids[kept]], weight[kept]
+                norm = np.sqrt(np.bincount(row, weights=(weight * idf) ** 2, minlength=len(doc[here])) + rest[here])
+                kept = term >= 0
+                row, term, weight = row[kept], term[kept], weight[kept]
                 weight = weight / norm[row]
                 for s, d, p in _sliced(doc[here], part[here]):
                     a, b = np.searchsorted(row, (s.start, s.start + len(d)))
                     greatest.add(d, p, asked.scores(len(d), row[a:b] - s.start, term[a:b], weight[a:b]))
-                if known.full:
-                    known.clear()
-                    term_of, idf_of = np.zeros(0, np.int64), np.zeros(0)
             yield greatest.rows(batch.column(0))
 
     return Scored(asked, words.select(key), keys, staged(docs.mapInArrow(score, "_key long, scores binary, parts binary"), "scored"))

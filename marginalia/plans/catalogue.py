@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as tx
 from ..functions.rules import Topic
-from ..operators import align, analytics, browse, evaluate, expand, search, topk, vectors
+from ..operators import align, analytics, browse, evaluate, expand, parts, search, topk, vectors
 from ..operators import postings as ps
 from ..plugins import overlap_scorer
 from ..sources import records as src
@@ -352,8 +352,17 @@ _RRF = f"""{_SCORE}, {_char_index_sql("c")}, pair as (select item_id, doc_id, co
 def fused_answers(spark, d, k: int = 10) -> DataFrame:
     """Word and character scores of benchmark texts fused with cosines of the vectors of the same numbers."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    asked = vectors.join(table(spark, d, "benchmark").select("item_id"), F.col("doc_id") == F.col("item_id")).select("item_id", "vector")
-    return topk.fused_top(by_words(spark, d), topk.VectorList(asked, vectors), by_characters(spark, d), table(spark, d, "documents").count(), k)
+    asked = staged(vectors.join(table(spark, d, "benchmark").select("item_id"), F.col("doc_id") == F.col("item_id")).select("item_id", "vector"), "asked-vectors")
+    rankings = [(r, staged(topk.question_terms(r.asked, r.terms, r.sublinear, r.grams), "question-terms"), r.counted.select("doc_id", F.array("words").alias("words"))) for r in (by_words(spark, d), by_characters(spark, d))]
+    n, found = table(spark, d, "documents").count(), None
+    for block in ps.query_blocks(asked, "item_id", parts.MOST_QUESTIONS):
+        keys = block.select("item_id")
+        word, char = (parts.scored_texts(keys, own, words, r.terms, r.sublinear, r.grams) for r, own, words in rankings)
+        vector = parts.scored_vectors(block, vectors.select("doc_id", F.array("vector").alias("vectors")))
+        one = topk.fused_scored(word, vector, char, n, k)
+        parts.removed(word.rows, vector.rows, char.rows)
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 @query(f"with {_RRF} select item_id, doc_id, score, rank from rrf where rank <= 10")

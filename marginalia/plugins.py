@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +42,26 @@ def hashed_encoder(size: int = 64, column: str = "text") -> Callable[[DataFrame]
 def letter_encoder(column: str = "text") -> Callable[[DataFrame], DataFrame]:
     """An encoder for tests that any engine can repeat: how often each letter from a to z occurs, of unit length."""
 
-    def encode(df: DataFrame) -> DataFrame:
-        low = F.lower(F.coalesce(F.col(column), F.lit("")))
-        counts = F.array(*((F.length(low) - F.length(F.replace(low, F.lit(chr(97 + i)), F.lit("")))).cast("double") for i in range(26)))
-        norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-        return df.withColumn("vector", tx.let(counts, lambda v: tx.let(norm(v), lambda n: F.transform(v, lambda x: x / F.when(n > 0, n).otherwise(1.0)))))
-
-    return encode
+    @F.arrow_udf("array<double>")
+    def letters(low: pa.Array) -> pa.Array:
+        out = [np.zeros((0, 26))]
+        for at in range(0, len(low), 2048):
+            some = low[at : at + 2048].cast(pa.large_binary())
+            ends = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
+            counts = np.zeros((len(some), 26))
+            for i in range(0, len(some), 256):
+                bounds = ends[i : i + 257]
+                own = np.frombuffer(some.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+                row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                on = (own >= 97) & (own <= 122)
+                counts[i : i + 256] = np.bincount(row[on] * 26 + (own[on] - 97), minlength=(len(bounds) - 1) * 26).reshape(-1, 26)
+            norm = np.sqrt((counts * counts).sum(1))
+            out.append(counts / np.where(norm > 0, norm, 1.0)[:, None])
+        flat = np.concatenate(out)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * 26, pa.int32()), pa.array(flat.ravel()))
+
+    # bytes from a to z are those letters in UTF-8 alone
+    return lambda df: df.withColumn("vector", letters(F.lower(F.coalesce(F.col(column), F.lit("")))))
 
 
 def overlap_scorer(query: Column, text: Column) -> Column:
